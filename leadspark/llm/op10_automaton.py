@@ -25,6 +25,8 @@ from leadspark.llm import repeats as R
 
 WORDS = 13
 GRAM = 4
+#: Runs of windows that entries of large groups are cut into.
+WIDTHS = (1,)
 
 
 class SuffixAutomaton:
@@ -121,7 +123,7 @@ def substring_dedup(docs: DataFrame, least: int = WORDS, gram: int = GRAM) -> Da
     """doc_id, text, kept (words joined by one space), n_words, n_removed of every row."""
     C.small_batches(docs.sparkSession)
     rows = C.keyed(docs)
-    found = R.repeated(rows, "words", least, gram, lambda e: match_automaton(e, least), True)
+    found = R.repeated(rows, "words", least, gram, lambda e: match_automaton(e, least), True, WIDTHS)
     both = rows.join(found, ["d", "th"], "left")
 
     def run(batches) -> Iterator[pa.RecordBatch]:

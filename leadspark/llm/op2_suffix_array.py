@@ -25,6 +25,8 @@ from leadspark.llm import repeats as R
 
 LENGTH = 400
 GRAM = 64
+#: Runs of windows that entries of large groups are cut into.
+WIDTHS = (32, 1)
 
 
 def suffix_order(data: np.ndarray, seg: np.ndarray, upto: np.ndarray, depth: int) -> np.ndarray:
@@ -159,7 +161,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """doc_id, text, kept (binary: the bytes left), n_bytes, n_removed, n_spans of every row."""
     C.small_batches(docs.sparkSession)
     rows = C.keyed(docs)
-    found = R.repeated(rows, "bytes", length, gram, lambda e: match_suffixes(e, length), False)
+    found = R.repeated(rows, "bytes", length, gram, lambda e: match_suffixes(e, length), False, WIDTHS)
     both = rows.join(found, ["d", "th"], "left")
 
     def run(batches) -> Iterator[pa.RecordBatch]:

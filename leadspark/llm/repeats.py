@@ -9,8 +9,8 @@ and the place. Rows are counted by anchor with map-side sums; anchors that occur
 once are dropped. Equal surroundings are one entry with a weight. The texts of
 the few entries whose anchor has different surroundings are then compared
 exactly, group by group, by the caller's matcher. A group with more entries
-than `GROUP` is not put into one task: its windows are compared by hash instead,
-with map-side sums (same results, other way).
+than `GROUP` is not put into one task: its entries are cut into narrower runs of
+windows, grouped by what the windows of a run share, and equal ones are one again.
 """
 
 from __future__ import annotations
@@ -159,44 +159,73 @@ def match_groups(entries: DataFrame, matcher: Matcher, at_once: int = 1 << 20) -
     return dealt.mapInArrow(run, "anchor long, outer long, spans binary")
 
 
-def by_window_hash(entries: DataFrame, kind: str, k: int, earlier_only: bool) -> DataFrame:
-    """The same spans as a matcher gives, for groups of any size: one row for each
-    window, summed by its hash before it is shuffled."""
+def split(entries: DataFrame, kind: str, k: int, width: int) -> DataFrame:
+    """Cuts each entry into runs of at most `width` window starts, aligned at the anchor. A
+    run is grouped by what all windows of such a run share, so equal windows stay together."""
 
-    def split(batches) -> Iterator[pa.RecordBatch]:
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for b in C.all_pieces(batches, AT_ONCE, "part"):
             raw, off = C.buffers(b.column("part"))
-            units, uoff, _, _ = units_of(kind, raw, off)
+            units, uoff, start, end = units_of(kind, raw, off)
+            roll = C.Rolling(units)
             f = {x: b.column(x).to_numpy() for x in ("anchor", "outer", "d", "n", "mid", "p0", "p1")}
-            size = f["p1"] - f["p0"] + 1
+            r0, r1 = (f["mid"] - f["p1"]) // width, (f["mid"] - f["p0"]) // width
+            size = r1 - r0 + 1
             row = np.repeat(np.arange(b.num_rows), size)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + f["p0"][row]
-            at = uoff[row] + place
-            cols = [f["anchor"][row], C.Rolling(units).blocks(at, at + k).view(np.int64), f["outer"][row], f["d"][row], f["n"][row], (place - f["mid"][row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["anchor", "h", "outer", "d", "n", "p"])
-
-    windows = entries.mapInArrow(split, "anchor long, h long, outer long, d long, n long, p int")
-    sums = windows.groupBy("anchor", "h").agg(F.sum("n").alias("total"), F.min("d").alias("least"))
-    hit = windows.join(sums, ["anchor", "h"]).where(F.col("least") < F.col("d") if earlier_only else F.col("total") > 1)
-    spans = hit.groupBy("anchor", "outer").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+            r = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + r0[row]
+            mid = f["mid"][row]
+            first = np.maximum(f["p0"][row], mid - (r + 1) * width + 1)
+            last = np.minimum(f["p1"][row], mid - r * width)
+            base = uoff[row]
+            core = roll.blocks(base + mid - r * width, base + mid - (r + 1) * width + 1 + k)
+            key = C.mix(core ^ f["anchor"][row].view(np.uint64)) + r.astype(np.uint64)
+            lo, hi = base + first, base + last + k
+            name = roll.blocks(lo, hi) ^ C.mix(((mid - first) << 32 | (hi - lo)).astype(np.uint64))
+            data = raw.tobytes()
+            if kind == "words":
+                part = [b" ".join(data[start[i] : end[i]] for i in range(x, y)) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            else:
+                part = [data[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            cols = [key.view(np.int64), name.view(np.int64), f["anchor"][row], f["outer"][row], f["d"][row], f["n"][row], (mid - first).astype(np.int32), np.zeros(len(row), np.int32), (last - first).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array(part, pa.binary())], names=["anchor", "outer", "a0", "o0", "d", "n", "mid", "p0", "p1", "part"])
+
+    return entries.mapInArrow(run, "anchor long, outer long, a0 long, o0 long, d long, n long, mid int, p0 int, p1 int, part binary")
+
+
+def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
+    """Spans of entries of any number: groups of up to `GROUP` by the matcher, the others
+    cut into narrower runs, where most entries are equal and so are one, and so on."""
+    sizes = entries.groupBy("anchor").agg(F.count("*").alias("size"))
+    entries = entries.join(sizes, "anchor")
+    spans = match_groups(entries.where(F.col("size") <= GROUP), matcher)
+    if not widths:
+        return spans
+    runs = split(entries.where(F.col("size") > GROUP), kind, k, widths[0])
+    one = runs.groupBy("anchor", "outer").agg(F.sum("n").alias("n"), F.min(F.struct("d", "mid", "p0", "p1", "part")).alias("r"))
+    group = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    inner = one.join(group.where("kinds > 1"), "anchor").select("anchor", "outer", "n", "r.*")
+    deeper = resolve(inner, kind, k, matcher, earlier_only, widths[1:])
+    known = one.select("anchor", "outer", F.col("n").alias("total"), F.col("r.d").alias("least")).join(deeper, ["anchor", "outer"], "left")
+    whole = F.col("d") > F.col("least") if earlier_only else F.col("total") > 1
+    hits = runs.join(known, ["anchor", "outer"]).where(whole | (F.length("spans") > 0))
+    hits = hits.select("a0", "o0", "mid", "p1", F.when(~whole, F.col("spans")).alias("spans")).groupBy("a0", "o0").agg(F.collect_list(F.struct("mid", "p1", "spans")).alias("found"))
 
     def pack(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for ps in b.column("ps").to_pylist():
-                ps = np.array(ps)
-                cutat = np.flatnonzero(np.diff(ps) > k) + 1
-                out.append(np.array([(x[0], x[-1] + k) for x in np.split(ps, cutat)], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("anchor"), b.column("outer"), pa.array(out, pa.binary())], names=["anchor", "outer", "spans"])
+            for found in b.column("found").to_pylist():
+                pairs = [np.array([-x["mid"], x["p1"] - x["mid"] + k], np.int32).tobytes() if x["spans"] is None else x["spans"] for x in found]
+                out.append(b"".join(pairs))
+            yield pa.RecordBatch.from_arrays([b.column("a0"), b.column("o0"), pa.array(out, pa.binary())], names=["anchor", "outer", "spans"])
 
-    return spans.mapInArrow(pack, "anchor long, outer long, spans binary")
+    return spans.unionByName(hits.mapInArrow(pack, "anchor long, outer long, spans binary"))
 
 
-def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool) -> DataFrame:
-    """docs: (d, th, text). (d, th, spans): for each row with repeats the spans in
-    units, as packed pairs of int32, that repeated windows cover. earlier_only: a
-    window counts if it also starts in a row with a smaller d; otherwise if it
-    starts anywhere else."""
+def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
+    """docs: (d, th, text). (d, th, found): for each row with repeats the spans in units that
+    repeated windows cover. earlier_only: a window counts if it also starts in a row with a
+    smaller d; otherwise if it starts anywhere else. widths: of the runs that entries of a
+    large group are cut into, ever narrower, the last 1."""
     occ = occurrences(docs, kind, k, m)
     if earlier_only:
         anchor = occ.groupBy("anchor").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("anchor")
@@ -207,18 +236,14 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     entry = found.groupBy("anchor", "outer").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "lo", "mid", "hi", "p0", "p1")).alias("r"))
     group = entry.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("fewest"), F.min("r.d").alias("a"), F.max("r.d").alias("b"))
     group = group.where("size > 1 and " + ("a < b" if earlier_only else "fewest = 1")).select("anchor", "size")
-    wanted = entry.join(group, "anchor").select("anchor", "outer", "n", "size", "r.*")
-    wanted = C.settle(wanted)
-    parts = cut(docs, wanted.select("d", "th", "anchor", "outer", "n", "lo", "mid", "hi", "p0", "p1"), kind)
-    hot = wanted.where(F.col("size") > GROUP).select("anchor").distinct()
-    parts = C.settle(parts)
-    spans = match_groups(parts.join(hot, "anchor", "left_anti"), matcher)
-    spans = spans.unionByName(by_window_hash(parts.join(hot, "anchor", "left_semi"), kind, k, earlier_only))
-
-    known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least"))
-    known = known.where(F.col("n") > 1).join(spans, ["anchor", "outer"], "left").unionByName(
-        known.where(F.col("n") == 1).join(spans, ["anchor", "outer"])
-    )
+    wanted = C.settle(entry.join(group, "anchor").select("anchor", "outer", "n", "size", "r.*"))
+    fields = ["d", "th", "anchor", "outer", "n", "lo", "mid", "hi", "p0", "p1"]
+    spans = match_groups(cut(docs, wanted.where(F.col("size") <= GROUP).select(*fields), kind), matcher)
+    if wanted.where(F.col("size") > GROUP).limit(1).count():
+        hot = cut(docs, wanted.where(F.col("size") > GROUP).select(*fields), kind).dropDuplicates(["anchor", "outer"])
+        spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths))
+
+    known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least")).join(spans, ["anchor", "outer"], "left").where("n > 1 or spans is not null")
     whole = F.col("d") > F.col("least") if earlier_only else F.col("n") > 1
     at = found.join(known, ["anchor", "outer"]).select("d", "th", "lo", "hi", "mid", F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"))
     at = at.where(F.col("whole") | (F.length("spans") > 0))
