@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,9 +59,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written to the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage: the rows are written as a table in the shared folder and read from
+    there. The tables of an application share one folder, removed when the driver ends.
+    The collection lets Spark's cleaner drop the shuffle files that the table replaces."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone: the folder stays for the cluster's clean-up
+        pass
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

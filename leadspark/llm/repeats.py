@@ -29,7 +29,25 @@ GROUP = 256
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 21
 
-OCC = "anchor long, outer long, d long, th long, lo int, mid int, hi int, p0 int, p1 int"
+OCC = "anchor long, outer long, d long, th long, at long"
+#: A run's place in one number: the anchor's place, and four distances from it.
+FIELD = 9
+
+
+def pack(mid, lo, hi, p0, p1):
+    parts = (mid - lo, hi - mid, mid - p0, mid - p1)
+    out = mid.astype(np.int64)
+    for x in parts:
+        out = out << FIELD | x
+    return out
+
+
+def unpack(at: np.ndarray):
+    """mid, lo, hi, p0, p1 of packed places."""
+    low = (1 << FIELD) - 1
+    a, b, c, d = ((at >> FIELD * i) & low for i in (3, 2, 1, 0))
+    mid = at >> 4 * FIELD
+    return mid, mid - a, mid + b, mid - c, mid - d
 
 
 def units_of(kind: str, raw: np.ndarray, off: np.ndarray):
@@ -73,6 +91,7 @@ def anchors(units: np.ndarray, off: np.ndarray, k: int, m: int):
 
 def occurrences(docs: DataFrame, kind: str, k: int, m: int) -> DataFrame:
     """docs: (d, th, text). A row for each run of windows with one anchor."""
+    assert k < 1 << FIELD
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in C.all_pieces(batches, AT_ONCE):
@@ -87,16 +106,16 @@ def occurrences(docs: DataFrame, kind: str, k: int, m: int) -> DataFrame:
             outer = roll.blocks(lo, hi) ^ C.mix((((mid - lo) << 32) | (hi - lo)).astype(np.uint64))
             base = uoff[row]
             cols = [gram.view(np.int64), outer.view(np.int64), b.column("d").to_numpy()[row], b.column("th").to_numpy()[row]]
-            cols += [(x - base).astype(np.int32) for x in (lo, mid, hi, p0, p1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=OCC.replace(" long", "").replace(" int", "").split(", "))
+            cols.append(pack(*(x - base for x in (mid, lo, hi, p0, p1))))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=OCC.replace(" long", "").split(", "))
 
     return docs.mapInArrow(run, OCC)
 
 
 def cut(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """wanted: (d, th, anchor, outer, n, lo, mid, hi, p0, p1). Adds the units of
-    [lo, hi) as text, words joined by one space."""
-    lists = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "outer", "n", "lo", "mid", "hi", "p0", "p1")).alias("w"))
+    """wanted: (d, th, anchor, outer, n, at). Adds the units that a run can reach as
+    text, words joined by one space."""
+    lists = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "outer", "n", "at")).alias("w"))
     both = docs.join(lists, ["d", "th"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -108,15 +127,16 @@ def cut(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             size = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             row = np.repeat(np.arange(b.num_rows), size)
-            f = {name: flat.field(name).to_numpy() for name in ("anchor", "outer", "n", "lo", "mid", "hi", "p0", "p1")}
-            lo, hi = f["lo"] + uoff[row], f["hi"] + uoff[row]
+            f = {name: flat.field(name).to_numpy() for name in ("anchor", "outer", "n", "at")}
+            mid, left, right, p0, p1 = unpack(f["at"])
+            lo, hi = left + uoff[row], right + uoff[row]
             if kind == "words":
                 part = [b" ".join(data[start[i] : end[i]] for i in range(x, y)) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             else:
                 part = [data[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             mine = b.column("d").to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(f["anchor"]), pa.array(f["outer"]), pa.array(mine), pa.array(f["n"]), *(pa.array((f[x] - f["lo"]).astype(np.int32)) for x in ("mid", "p0", "p1")), pa.array(part, pa.binary())],
+                [pa.array(f["anchor"]), pa.array(f["outer"]), pa.array(mine), pa.array(f["n"]), *(pa.array((x - left).astype(np.int32)) for x in (mid, p0, p1)), pa.array(part, pa.binary())],
                 names=["anchor", "outer", "d", "n", "mid", "p0", "p1", "part"],
             )
 
@@ -210,7 +230,7 @@ def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_onl
     hits = runs.join(known, ["anchor", "outer"]).where(whole | (F.length("spans") > 0))
     hits = hits.select("a0", "o0", "mid", "p1", F.when(~whole, F.col("spans")).alias("spans")).groupBy("a0", "o0").agg(F.collect_list(F.struct("mid", "p1", "spans")).alias("found"))
 
-    def pack(batches) -> Iterator[pa.RecordBatch]:
+    def join_up(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for found in b.column("found").to_pylist():
@@ -218,7 +238,7 @@ def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_onl
                 out.append(b"".join(pairs))
             yield pa.RecordBatch.from_arrays([b.column("a0"), b.column("o0"), pa.array(out, pa.binary())], names=["anchor", "outer", "spans"])
 
-    return spans.unionByName(hits.mapInArrow(pack, "anchor long, outer long, spans binary"))
+    return spans.unionByName(hits.mapInArrow(join_up, "anchor long, outer long, spans binary"))
 
 
 def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
@@ -227,17 +247,14 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     smaller d; otherwise if it starts anywhere else. widths: of the runs that entries of a
     large group are cut into, ever narrower, the last 1."""
     occ = occurrences(docs, kind, k, m)
-    if earlier_only:
-        anchor = occ.groupBy("anchor").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("anchor")
-    else:
-        anchor = occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    anchor = occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = C.settle(occ.join(anchor, "anchor"))
 
-    entry = found.groupBy("anchor", "outer").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "lo", "mid", "hi", "p0", "p1")).alias("r"))
+    entry = found.groupBy("anchor", "outer").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "at")).alias("r"))
     group = entry.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("fewest"), F.min("r.d").alias("a"), F.max("r.d").alias("b"))
     group = group.where("size > 1 and " + ("a < b" if earlier_only else "fewest = 1")).select("anchor", "size")
     wanted = C.settle(entry.join(group, "anchor").select("anchor", "outer", "n", "size", "r.*"))
-    fields = ["d", "th", "anchor", "outer", "n", "lo", "mid", "hi", "p0", "p1"]
+    fields = ["d", "th", "anchor", "outer", "n", "at"]
     spans = match_groups(cut(docs, wanted.where(F.col("size") <= GROUP).select(*fields), kind), matcher)
     if wanted.where(F.col("size") > GROUP).limit(1).count():
         hot = cut(docs, wanted.where(F.col("size") > GROUP).select(*fields), kind).dropDuplicates(["anchor", "outer"])
@@ -245,21 +262,22 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
 
     known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least")).join(spans, ["anchor", "outer"], "left").where("n > 1 or spans is not null")
     whole = F.col("d") > F.col("least") if earlier_only else F.col("n") > 1
-    at = found.join(known, ["anchor", "outer"]).select("d", "th", "lo", "hi", "mid", F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"))
+    at = found.join(known, ["anchor", "outer"]).select("d", "th", "at", F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"))
     at = at.where(F.col("whole") | (F.length("spans") > 0))
-    return at.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "mid", "hi", "whole", "spans")).alias("found"))
+    return at.groupBy("d", "th").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
 
 
 def covered(found: pa.ListArray, row: int, units: int) -> np.ndarray:
     """Which of a row's units its spans cover."""
     edge = np.zeros(units + 1, np.int64)
     spans = found[row].as_py() if found[row].is_valid else []
-    for s in spans or ():
-        if s["whole"]:
-            edge[s["lo"]] += 1
-            edge[s["hi"]] -= 1
-        else:
-            pair = np.frombuffer(s["spans"], np.int32).reshape(-1, 2) + s["mid"]
-            np.add.at(edge, pair[:, 0], 1)
-            np.add.at(edge, pair[:, 1], -1)
+    if spans:
+        mid, lo, hi, _, _ = unpack(np.array([s["at"] for s in spans]))
+        pairs = [
+            np.array([(lo[i], hi[i])]) if s["spans"] is None else np.frombuffer(s["spans"], np.int32).reshape(-1, 2) + mid[i]
+            for i, s in enumerate(spans)
+        ]
+        pairs = np.concatenate(pairs)
+        np.add.at(edge, pairs[:, 0], 1)
+        np.add.at(edge, pairs[:, 1], -1)
     return np.cumsum(edge)[:units] > 0
