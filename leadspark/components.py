@@ -16,24 +16,42 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 80) -> DataFrame:
     """(node, label) of every node that has an edge; label is the smallest node of its component.
 
-    Each round every node takes the smallest label among its neighbours' (summed on the
-    map side, so a hub costs its neighbours one row each), then its label's own label.
-    Rounds grow with the logarithm of a component's diameter; lineage is cut each round.
+    Each round, every node with a smaller neighbour hooks on to its smallest one (a minimum
+    that is summed on the map side, so a hub is one row for each task), hooks are followed
+    twice, and the edges are drawn between what their ends hooked on to. At least half of
+    the nodes leave in a round, so rounds grow with the logarithm of the nodes, and the
+    edges of a round are fewer than those before.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = settle(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
-    labels = settle(labels)
+    u, v = F.col(a), F.col(b)
+    left = edges.where(u.isNotNull() & v.isNotNull() & (u != v))
+    left = settle(left.select(F.when(u > v, u).otherwise(v).alias("u"), F.when(u > v, v).otherwise(u).alias("v")).distinct())
+    all_low = left.select(F.col("v").alias("node"))
+    labels: DataFrame | None = None
     for _ in range(most_rounds):
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.u, "left").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        step = settle(step.join(up, "label", "left").select("node", "was", F.least("label", "above").alias("label")))
-        moved = step.where("label <> was").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+        if not left.limit(1).count():
+            break
+        hook = left.groupBy("u").agg(F.min("v").alias("to"))
+        for _ in range(2):
+            up = hook.select(F.col("u").alias("to"), F.col("to").alias("above"))
+            hook = hook.join(up, "to", "left").select("u", F.coalesce("above", "to").alias("to"))
+        hook = settle(hook)
+        new = hook.select(F.col("u").alias("node"), F.col("to").alias("label"))
+        if labels is None:
+            labels = new
+        else:
+            # A node that hooks on now was nobody's inner node before: it is a label, and itself one row.
+            step = labels.join(hook.withColumnRenamed("u", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = settle(step.unionByName(new.join(labels.select("node"), "node", "left_anti")))
+        high = left.join(hook, "u").select(F.col("to").alias("x"), "v")
+        both = high.join(hook.select(F.col("u").alias("v"), F.col("to").alias("y")), "v", "left").select("x", F.coalesce("y", "v").alias("y"))
+        both = both.where("x <> y").select(F.when(F.col("x") > F.col("y"), F.col("x")).otherwise(F.col("y")).alias("u"), F.when(F.col("x") > F.col("y"), F.col("y")).otherwise(F.col("x")).alias("v"))
+        left = settle(both.distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    if labels is None:
+        return all_low.select("node", F.col("node").alias("label"))
+    roots = all_low.distinct().join(labels.select("node"), "node", "left_anti")
+    return labels.unionByName(roots.select("node", F.col("node").alias("label")))
