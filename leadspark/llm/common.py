@@ -69,9 +69,14 @@ def settle(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    drop_shuffles(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 _FOLDERS: set[str] = set()
