@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # They decide results and are stated as they are.
 STATES = {
@@ -47,7 +48,7 @@ ROLES = [
 RETRYABLE = ["rate_limit", "timeout", "provider_error", "network", "ai_schema"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
@@ -148,10 +149,10 @@ def state(c: Column) -> Column:
     """Code, name, or the first name in declared order that a prefix of four letters fits."""
     upper = F.upper(F.trim(c))
     key = F.trim(F.regexp_replace(F.lower(fold(F.trim(c))), r"[^a-z\s]", ""))
-    names = F.array(*(F.lit(n) for n in STATES))
     codes = F.create_map(*(F.lit(x) for kv in STATES.items() for x in kv))
-    first = F.get(F.filter(names, lambda n: n.startswith(key)), F.lit(0))
-    return F.when(upper.isin(list(STATES.values())), upper).when(F.try_element_at(codes, key).isNotNull(), F.try_element_at(codes, key)).when(F.length(key) >= 4, F.try_element_at(codes, first))
+    first = F.coalesce(*(F.when(F.startswith(F.lit(n), key), F.lit(code)) for n, code in STATES.items()))
+    known = F.try_element_at(codes, key)
+    return F.when(upper.isin(list(STATES.values())), upper).when(known.isNotNull(), known).when(F.length(key) >= 4, first)
 
 
 def city(c: Column) -> Column:
@@ -216,7 +217,7 @@ def name_similarity(a: Column, b: Column) -> Column:
 def wording_seed(c: Column) -> Column:
     """A stable 32-bit number of an ASCII text: h * 33 + code of each character, from 5381."""
     step = lambda h, x: (h * 33 + F.ascii(x)) % 4294967296
-    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(5381).cast("long"), step)
+    return F.aggregate(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != ""), F.lit(5381).cast("long"), step)
 
 
 def pick(variants: list[str], seed: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from leadspark.plans import scalar_queries
+
+MODULES = [scalar_queries]
 
 
 def queries() -> dict:
