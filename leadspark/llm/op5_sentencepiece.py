@@ -31,6 +31,8 @@ from leadspark.llm import common as C
 SIGN = "▁"
 #: Chunks with their ids that a worker keeps.
 KEPT = 400_000
+#: Characters of new chunks that are indexed at once; their edges take some 200 bytes each.
+AT_ONCE = 400_000
 #: Longer chunks (in characters) are merged one by one from the same edges.
 LONG = 64
 _CHUNK = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
@@ -189,7 +191,14 @@ class Pieces:
             if len(self.cache) + len(new) > KEPT:
                 self.cache.clear()
                 new = list(set().union(*cut))
-            self.cache.update(zip(new, self.encode_new(new), strict=True))
+            part: list[str] = []
+            size = 0
+            for i, chunk in enumerate(new, 1):
+                part.append(chunk)
+                size += len(chunk)
+                if size >= AT_ONCE or i == len(new):
+                    self.cache.update(zip(part, self.encode_new(part), strict=True))
+                    part, size = [], 0
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -217,7 +226,7 @@ def _column(docs: DataFrame, source: str, to: str, kind: str, arrow: pa.DataType
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in C.all_pieces(batches, 1 << 23, source):
+        for b in C.all_pieces(batches, 1 << 21, source):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(apply(b.column(source).to_pylist()), arrow)], names=[*names, to])
 
     return docs.select(*names).mapInArrow(run, f"{schema}, `{to}` {kind}")
