@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.plans import scalar_queries
+from leadspark.plans import lead_queries, report_queries, scalar_queries
 
-MODULES = [scalar_queries]
+MODULES = [scalar_queries, report_queries, lead_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["q04_campaign_funnel"](spark, sf_dir)

@@ -79,7 +79,7 @@ COMPANIES: Named = {
     "state": "n_name",
     "niche": "c_mktsegment",
     "followers": "cast(floor(abs(c_acctbal)) * 3 as bigint)",
-    "website_domain": "case when c_custkey % 3 <> 0 then concat('shop', cast(c_custkey % 500 as string), '.com') end",
+    "website_domain": "case when c_custkey % 3 <> 0 then concat('shop', cast(c_custkey % 60 as string), '.com') end",
     "phone": "case when c_custkey % 4 <> 0 then concat('+1', cast(2000000000 + c_custkey % 700 as string)) end",
 }
 
