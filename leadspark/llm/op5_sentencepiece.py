@@ -30,7 +30,7 @@ from leadspark.llm import common as C
 
 SIGN = "▁"
 #: Chunks with their ids that a worker keeps.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Characters of new chunks that are indexed at once; their edges take some 200 bytes each.
 AT_ONCE = 400_000
 #: Longer chunks (in characters) are merged one by one from the same edges.

@@ -37,7 +37,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"IDTABLE1"
 FOOTER = struct.Struct("<QQQQQQ8s")
 #: Chunks with their ids that a worker keeps.
-KEPT = 500_000
+KEPT = 1_400_000
 
 # White space as the tokenizer's pattern has it. A chunk is a word with the one space
 # before it, or the white space before that; the pattern never reaches over its edges.
@@ -269,7 +269,8 @@ def read_tables(shards: DataFrame) -> DataFrame:
                     start += int(size.sum())
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(starts), pa.array(ids, pa.binary())], names=["d", "start", "ids"])
 
-    return shards.select("path", "start").repartition("path").mapInArrow(run, "d long, start long, ids binary")
+    # A task for each shard or two: the rows are few, but each stands for a file.
+    return shards.select("path", "start").repartition(max(1, shards.count()), "path").mapInArrow(run, "d long, start long, ids binary")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
