@@ -70,7 +70,15 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     drop_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes settled tables that no later job reads."""
+    for t in tables:
+        _remove(t.sparkSession, t.settled_at)
 
 
 def drop_shuffles(spark: SparkSession) -> None:

@@ -260,11 +260,14 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
         hot = cut(docs, wanted.where(F.col("size") > GROUP).select(*fields), kind).dropDuplicates(["anchor", "outer"])
         spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths))
 
+    spans = C.settle(spans)
     known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least")).join(spans, ["anchor", "outer"], "left").where("n > 1 or spans is not null")
     whole = F.col("d") > F.col("least") if earlier_only else F.col("n") > 1
     at = found.join(known, ["anchor", "outer"]).select("d", "th", "at", F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"))
     at = at.where(F.col("whole") | (F.length("spans") > 0))
-    return at.groupBy("d", "th").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
+    done = C.settle(at.groupBy("d", "th").agg(F.collect_list(F.struct("at", "spans")).alias("found")))
+    C.forget(found, wanted, spans)
+    return done
 
 
 def covered(found: pa.ListArray, row: int, units: int) -> np.ndarray:
