@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leadspark.config import rules as R
 from leadspark.functions import scalars as S
 from leadspark.operators import cleaning as CL
+from leadspark.operators import dedup as DD
 from leadspark.operators import identity as ID
 from leadspark.operators import scoring as SC
 from leadspark.plans import scalar_queries as SQ
@@ -77,7 +78,13 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ID.key_components(table(spark, sf_dir, "companies"), "company_id", {"website_domain": "website_domain", "phone_e164": "phone"})
 
 
+def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = leads(spark, sf_dir).withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
+    return DD.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
+
+
 QUERIES = {
+    "d03_dedupe_batch": _deduped,
     "c01_personal": lambda s, d: cleaned(s, d).select("id", "personal_score", F.array_join("personal_signals", "|").alias("signals")),
     "c03_location": lambda s, d: cleaned(s, d).select("id", "location_reason"),
     "c04_clean_leads": lambda s, d: cleaned(s, d).select("id", "keep", F.array_join("reasons", "|").alias("reasons"), "suspected_reseller", F.array_join("niche_hits", "|").alias("hits")),
