@@ -212,19 +212,25 @@ def split(entries: DataFrame, kind: str, k: int, width: int) -> DataFrame:
     return entries.mapInArrow(run, "anchor long, outer long, a0 long, o0 long, d long, n long, mid int, p0 int, p1 int, part binary")
 
 
-def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
+def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...], used: list[DataFrame]) -> DataFrame:
     """Spans of entries of any number: groups of up to `GROUP` by the matcher, the others
-    cut into narrower runs, where most entries are equal and so are one, and so on."""
+    cut into narrower runs, where most entries are equal and so are one, and so on. Every
+    step is settled, so plans stay small; `used` gathers the tables."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        used.append(C.settle(df))
+        return used[-1]
+
     sizes = entries.groupBy("anchor").agg(F.count("*").alias("size"))
-    entries = entries.join(sizes, "anchor")
+    entries = keep(entries.join(sizes, "anchor"))
     spans = match_groups(entries.where(F.col("size") <= GROUP), matcher)
-    if not widths:
-        return spans
-    runs = split(entries.where(F.col("size") > GROUP), kind, k, widths[0])
+    if not widths or not entries.where(F.col("size") > GROUP).limit(1).count():
+        return keep(spans)
+    runs = keep(split(entries.where(F.col("size") > GROUP), kind, k, widths[0]))
     one = runs.groupBy("anchor", "outer").agg(F.sum("n").alias("n"), F.min(F.struct("d", "mid", "p0", "p1", "part")).alias("r"))
     group = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
     inner = one.join(group.where("kinds > 1"), "anchor").select("anchor", "outer", "n", "r.*")
-    deeper = resolve(inner, kind, k, matcher, earlier_only, widths[1:])
+    deeper = resolve(inner, kind, k, matcher, earlier_only, widths[1:], used)
     known = one.select("anchor", "outer", F.col("n").alias("total"), F.col("r.d").alias("least")).join(deeper, ["anchor", "outer"], "left")
     whole = F.col("d") > F.col("least") if earlier_only else F.col("total") > 1
     hits = runs.join(known, ["anchor", "outer"]).where(whole | (F.length("spans") > 0))
@@ -238,7 +244,7 @@ def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_onl
                 out.append(b"".join(pairs))
             yield pa.RecordBatch.from_arrays([b.column("a0"), b.column("o0"), pa.array(out, pa.binary())], names=["anchor", "outer", "spans"])
 
-    return spans.unionByName(hits.mapInArrow(join_up, "anchor long, outer long, spans binary"))
+    return keep(spans.unionByName(hits.mapInArrow(join_up, "anchor long, outer long, spans binary")))
 
 
 def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
@@ -255,10 +261,11 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     group = group.where("size > 1 and " + ("a < b" if earlier_only else "fewest = 1")).select("anchor", "size")
     wanted = C.settle(entry.join(group, "anchor").select("anchor", "outer", "n", "size", "r.*"))
     fields = ["d", "th", "anchor", "outer", "n", "at"]
+    used: list[DataFrame] = []
     spans = match_groups(cut(docs, wanted.where(F.col("size") <= GROUP).select(*fields), kind), matcher)
     if wanted.where(F.col("size") > GROUP).limit(1).count():
         hot = cut(docs, wanted.where(F.col("size") > GROUP).select(*fields), kind).dropDuplicates(["anchor", "outer"])
-        spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths))
+        spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths, used))
 
     spans = C.settle(spans)
     known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least")).join(spans, ["anchor", "outer"], "left").where("n > 1 or spans is not null")
@@ -266,7 +273,7 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     at = found.join(known, ["anchor", "outer"]).select("d", "th", "at", F.when(~whole, F.col("spans")).alias("spans"), whole.alias("whole"))
     at = at.where(F.col("whole") | (F.length("spans") > 0))
     done = C.settle(at.groupBy("d", "th").agg(F.collect_list(F.struct("at", "spans")).alias("found")))
-    C.forget(found, wanted, spans)
+    C.forget(found, wanted, spans, *used)
     return done
 
 
