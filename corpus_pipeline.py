@@ -1,7 +1,8 @@
 """A training corpus from documents, in stages; each is an operator of leadspark.llm.
 
 Each stage works on all that the one before kept. A text that loses all its lines stays
-as an empty document: only the stages that judge documents drop them.
+as an empty document: only the stages that judge documents drop them. The input of a stage is a written table:
+a stage begins with the removal of what earlier ones have settled.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    C.begin_stage(spark, docs)
     return op9.judge(docs, docs.columns).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; n_chars is counted anew."""
+    C.begin_stage(spark, docs)
     gone = op3.lines_to_drop(C.keyed(docs))
     rows = _named(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     out = op3.without_lines(rows, gone).withColumn("text", F.col("kept"))
@@ -38,6 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
+    C.begin_stage(spark, docs)
     classes = C.settle(op6.ngram_classes(C.keyed(docs)).where("d = class"))
     keep = classes.groupBy("d").agg(F.min("th").alias("th"))
     out = _named(docs).join(keep, ["d", "th"], "left_semi")
@@ -48,12 +52,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    C.begin_stage(spark, docs)
     found = op4.contaminated(docs, C.read(spark, sf_dir, "benchmark")).select("d", "th").distinct()
     return _named(docs).join(found, ["d", "th"], "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, exact: the ids, decoded again, give the text."""
+    C.begin_stage(spark, docs)
     return op5.round_trip(docs, op5.model_path()).drop("text")
 
 

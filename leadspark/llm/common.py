@@ -72,6 +72,7 @@ def settle(df: DataFrame) -> DataFrame:
     drop_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    _SETTLED.append(path)
     return out
 
 
@@ -79,6 +80,18 @@ def forget(*tables: DataFrame) -> None:
     """Removes settled tables that no later job reads."""
     for t in tables:
         _remove(t.sparkSession, t.settled_at)
+        if t.settled_at in _SETTLED:
+            _SETTLED.remove(t.settled_at)
+
+
+def begin_stage(spark: SparkSession, *but: DataFrame) -> None:
+    """Removes all settled tables but those given. For the stages of a pipeline, whose
+    predecessors' results are written tables and need nothing else any more."""
+    stay = {getattr(t, "settled_at", None) for t in but}
+    for path in [p for p in _SETTLED if p not in stay]:
+        _remove(spark, path)
+        _SETTLED.remove(path)
+    drop_shuffles(spark)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -88,6 +101,7 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 
 _FOLDERS: set[str] = set()
+_SETTLED: list[str] = []
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
