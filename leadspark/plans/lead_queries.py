@@ -10,6 +10,7 @@ from leadspark.functions import scalars as S
 from leadspark.operators import cleaning as CL
 from leadspark.operators import dedup as DD
 from leadspark.operators import identity as ID
+from leadspark.operators import relevance as RV
 from leadspark.operators import scoring as SC
 from leadspark.plans import scalar_queries as SQ
 from leadspark.plans.inputs import table, with_sql
@@ -83,7 +84,29 @@ def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DD.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows with a company name that may name another kind of business."""
+    kind = F.expr(_KINDS)
+    return table(spark, sf_dir, "raw").select("id", "niche", "bio", F.lit(None).cast("string").alias("industry"), "category", F.concat_ws(" ", "name", kind).alias("company_name"))
+
+
+_KINDS = "case id % 11 when 0 then 'School of beauty' when 1 then 'Hotel' when 2 then 'cafe' when 3 then 'Dental Smile' when 4 then 'botox' when 5 then 'Dept' else null end"
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    match, kind = RV.relevance(F.when(c("niche") == "medspas", "medspa").otherwise("dental"), c("company_name"), F.coalesce("category", F.lit("")))
+    return _typed(spark, sf_dir).select("id", match.alias("niche_match"), kind.alias("detected_type"))
+
+
+def _exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, words = RV.exclusion("company_name", "category", "bio")
+    return _typed(spark, sf_dir).select("id", kind.alias("kind"), words.alias("words"))
+
+
 QUERIES = {
+    "r01_exclusion": _exclusion,
+    "r02_file_niche": lambda s, d: RV.file_niches(_typed(s, d), "niche"),
+    "r03_relevance": _relevance,
     "d03_dedupe_batch": _deduped,
     "c01_personal": lambda s, d: cleaned(s, d).select("id", "personal_score", F.array_join("personal_signals", "|").alias("signals")),
     "c03_location": lambda s, d: cleaned(s, d).select("id", "location_reason"),
@@ -178,7 +201,24 @@ _SUM = (
 )
 _FAIL = f"list_filter([case when h is null then 'no_instagram' end, case when st is not null and st not in {SQ._list(_CAMP['states'])} then 'outside_target_state' end, case when n < 300 then 'below_absolute_min_followers' end, case when n > 250000 then 'above_absolute_max_followers' end], lambda x: x is not null)"
 
+def _when(text: str, rules: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when regexp_matches({text}, '(?i){p}') then '{n}'" for n, p in rules) + " end"
+
+
+_TYPED = with_sql("select 1 from raw").replace(" select 1 from raw", f", ty as (select id, niche, bio, category, concat_ws(' ', name, {_KINDS}) as company_name from raw)")
+_XT = "concat_ws(' ', company_name, nullif(category, ''), nullif(bio, ''))"
+_NT = "concat_ws(' ', coalesce(category, ''), '')"
+_RT = "concat_ws(' ', company_name, coalesce(category, ''))"
+_EXP = "case niche when 'medspas' then regexp_matches({0}, '(?i){1}') else regexp_matches({0}, '(?i){2}') end".format(_RT, RV.EXPECTED["medspa"], RV.EXPECTED["dental"])
+_BEST = "greatest(" + ", ".join(RV.EXPECTED) + ")"
+
 ORACLES = {
+    "r01_exclusion": f"{_TYPED} select id, kind, case kind " + " ".join(f"when '{n}' then regexp_extract({_XT}, '(?i){p}')" for n, p in RV.EXCLUSIONS) + f" end as words from (select *, {_when(_XT, RV.EXCLUSIONS)} as kind from ty) t",
+    "r02_file_niche": f"{_TYPED}, v as (select niche, count(*) as n_rows, " + ", ".join(f"count(*) filter (where regexp_matches({_NT}, '(?i){p}')) as {n}" for n, p in RV.EXPECTED.items())
+    + f" from ty group by 1) select niche, case when {_BEST} = 0 or {_BEST} < 0.3 * n_rows then 'generic' " + " ".join(f"when {n} = {_BEST} then '{n}'" for n in RV.EXPECTED)
+    + f" end as niche_key, case when {_BEST} = 0 or {_BEST} < 0.3 * n_rows then 'LOW' when {_BEST} > 0.6 * n_rows then 'HIGH' else 'MEDIUM' end as confidence, {_BEST} as matched from v",
+    "r03_relevance": f"{_TYPED}, w as (select *, coalesce({_when('company_name', RV.TYPES)}, {_when('category', RV.TYPES)}) as wrong, {_EXP} as ok from ty)"
+    " select id, case when wrong is not null then 'OFF_NICHE' when ok then 'IN_NICHE' else 'UNCERTAIN' end as niche_match, case when wrong is not null then wrong when ok then case niche when 'medspas' then 'medspa' else 'dental' end end as detected_type from w",
     "c01_personal": f"{_CLEAN} select id, ps as personal_score, array_to_string(psig, '|') as signals from cl",
     "c03_location": f"{_CLEAN} select id, loc as location_reason from cl",
     "c04_clean_leads": f"{_CLEAN} select id, len(reasons) = 0 as keep, array_to_string(reasons, '|') as reasons, reseller as suspected_reseller, array_to_string(hits, '|') as hits from cl",
