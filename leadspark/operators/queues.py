@@ -46,3 +46,14 @@ def send_queue(outreach: DataFrame, leads: DataFrame, companies: DataFrame) -> D
 def followups_due(followups: DataFrame, leads: DataFrame, now: str) -> DataFrame:
     open_leads = leads.where(c("replied_at").isNull() & ~c("status").isin(R.STOP_STATUSES)).select("lead_id", "stage", "icp_score")
     return followups.where(c("due_at") <= F.lit(now).cast("timestamp")).join(open_leads, "lead_id")
+
+
+def next_batch(leads: DataFrame, offset: int, size: int) -> DataFrame:
+    """A page of leads: with a website first, then by score, then by key; the order is total."""
+    return leads.orderBy(c("website_domain").isNull(), c("icp_score").desc_nulls_last(), "lead_id").offset(offset).limit(size)
+
+
+def send_list(rows: DataFrame, min_score: int) -> DataFrame:
+    """Rows with a message and enough score, best first; a missing handle is marked."""
+    ready = rows.where(c("message").isNotNull() & (c("icp_score") >= min_score))
+    return ready.withColumn("handle", F.coalesce("instagram_handle", F.lit("(missing)"))).orderBy(c("icp_score").desc(), "lead_id")

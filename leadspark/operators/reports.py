@@ -104,3 +104,24 @@ def companies_in_campaigns(leads: DataFrame) -> DataFrame:
 
 def small_samples(performance: DataFrame, least: int = 20) -> DataFrame:
     return performance.withColumn("small_sample", c("sent") < least)
+
+
+def leads_full(leads: DataFrame, companies: DataFrame, outreach: DataFrame) -> DataFrame:
+    """Leads with their company and their latest message draft."""
+    last = outreach.groupBy("lead_id").agg(F.max_by(F.struct("kind", "variation", c("status").alias("message_status"), "created_at"), F.struct("created_at", "line", "part", "cost")).alias("o"))
+    rows = leads.join(companies, "company_id").join(last, "lead_id", "left")
+    return rows.select(*leads.columns, "name", "state", "niche", "website_domain", "o.kind", "o.variation", "o.message_status", c("o.created_at").alias("drafted_at"))
+
+
+def export(full: DataFrame) -> DataFrame:
+    """The columns of the shared sheet, qualified leads only."""
+    return full.where("qualified").select(c("lead_id").alias("Lead"), c("name").alias("Business"), c("state").alias("State"), c("niche").alias("Niche"), c("icp_score").alias("Score"), c("stage").alias("Stage"), c("website_domain").alias("Website"))
+
+
+def run_summary(leads: DataFrame) -> DataFrame:
+    """One row: leads by band, with a score, and whether all wait for approval."""
+    s = c("icp_score")
+    return leads.agg(
+        F.count("*").alias("n"), n(s >= 80).alias("best"), n((s >= 65) & (s < 80)).alias("good"), n((s >= 50) & (s < 65)).alias("review"), n(s < 50).alias("bad"),
+        n(s.isNull()).alias("unscored"), F.bool_and(c("approved_at").isNull()).alias("all_pending"),
+    )

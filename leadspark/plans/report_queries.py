@@ -66,7 +66,20 @@ def _slots(t) -> DataFrame:
     return t("messages").select("event_id", L.next_slot(c("sent_at")).alias("slot"))
 
 
+def _full(t) -> DataFrame:
+    return Q.leads_full(t("leads"), t("companies"), t("outreach"))
+
+
+def _batch(t) -> DataFrame:
+    rows = t("leads").join(t("companies").select("company_id", "website_domain"), "company_id")
+    return T.next_batch(rows, 10, 40).select("lead_id", "icp_score", "website_domain")
+
+
 QUERIES = {
+    "q01_leads_full": _q(lambda t: _full(t).select("lead_id", "stage", "name", "state", "niche", "kind", "variation", "message_status", "drafted_at")),
+    "q11_export": _q(lambda t: Q.export(_full(t))),
+    "q12_run_summary": _q(lambda t: Q.run_summary(t("leads"))),
+    "t01_next_batch": _q(_batch),
     "q03_lead_progress": _q(lambda t: Q.lead_progress(t("leads"))),
     "q04_campaign_funnel": _q(lambda t: Q.campaign_funnel(t("leads"))),
     "q05_performance_by_niche": _q(lambda t: Q.performance(t("leads"), t("companies"), "niche")),
@@ -131,7 +144,18 @@ def _planned(body: str) -> str:
     return head.replace(" select 1 from leads", f", {_PLAN} {body}")
 
 
+_LAST = "(select lead_id, kind, variation, status as message_status, created_at as drafted_at from (select *, row_number() over (partition by lead_id order by created_at desc, line desc, part desc, cost desc) as r from outreach) t where r = 1)"
+
 ORACLES = {
+    "q01_leads_full": with_sql(f"select lead_id, stage, name, state, niche, kind, variation, message_status, drafted_at from leads join companies using (company_id) left join {_LAST} o using (lead_id)"),
+    "q11_export": with_sql('select lead_id as "Lead", name as "Business", state as "State", niche as "Niche", icp_score as "Score", stage as "Stage", website_domain as "Website" from leads join companies using (company_id) where qualified'),
+    "q12_run_summary": with_sql(
+        "select count(*) as n, count(*) filter (where icp_score >= 80) as best, count(*) filter (where icp_score >= 65 and icp_score < 80) as good, count(*) filter (where icp_score >= 50 and icp_score < 65) as review,"
+        " count(*) filter (where icp_score < 50) as bad, count(*) filter (where icp_score is null) as unscored, bool_and(approved_at is null) as all_pending from leads"
+    ),
+    "t01_next_batch": with_sql(
+        "select lead_id, icp_score, website_domain from leads join companies using (company_id) order by (website_domain is null), icp_score desc nulls last, lead_id limit 40 offset 10"
+    ),
     "q03_lead_progress": with_sql(
         f"select lead_id, stage, {_POSITION} as position, cleaned_at is not null as cleaned, enriched_at is not null as enriched, qualified_at is not null as evaluated, researched_at is not null as researched,"
         " message_generated_at is not null as generated, approved_at is not null as approved, first_sent_at is not null as sent, replied_at is not null as replied from leads"
