@@ -60,7 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, exact: the ids, decoded again, give the text."""
     C.begin_stage(spark, docs)
-    return op5.round_trip(docs, op5.model_path()).drop("text")
+    return op5.round_trip(docs, op5.model_path())
 
 
 STAGES = [

@@ -54,6 +54,10 @@ def test_round_trip(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = op5.round_trip(docs, op5.model_path()).collect()
     assert len(got) == len(rows) and all(r.exact for r in got)
+    sp = sentencepiece.SentencePieceProcessor(model_file=op5.model_path())
+    assert sorted(r.n_tokens for r in got) == sorted(len(sp.encode(t or "")) for _, t, _ in rows)
+    back = op5.decode(op5.encode(docs.where("text is not null"), op5.model_path()), op5.model_path()).collect()
+    assert all(r.decoded == r.text.replace("▁", " ") for r in back)
     assert op5.round_trip(docs.limit(0), op5.model_path()).count() == 0
 
 
