@@ -99,3 +99,36 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert op9.judge(empty).count() == 0 and op1.scan_secrets(empty).count() == 0
     assert math.isclose(op9.fit([], 3)[0], 0.9)
+
+
+def prose(i, n=120):
+    """n different words of a text, plain."""
+    return " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}ord" + ("." if k % 12 == 11 else "") for k in range(n))
+
+
+def junked(i):
+    return " ".join(w + "$#*"[(i + k) % 3] * 3 for k, w in enumerate(prose(i).split(" ")))
+
+
+def kept_ids(spark, texts):
+    out = op9.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id for r in out if r.kept}
+
+
+def test_one_vote_against_does_not_reject(spark):
+    capitals = prose(1).upper()
+    table = prose(2).replace(". ", ". | ")
+    table = table + " |" * 6
+    unspaced = " ".join("这是一个没有空格的文字系统的句子" + chr(0x4E00 + k) for k in range(80))
+    texts = [prose(i) for i in range(30)] + [capitals, table, unspaced] + [junked(i) for i in range(10)] + [capitals.replace(" ", "!! ")]
+    assert kept_ids(spark, texts) == set(range(33))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    n = [[r[k] for k in op9.votes()] for r in op9.features(rows, ["doc_id"]).orderBy("doc_id").select(*(v.alias(k) for k, v in op9.votes().items())).collect()]
+    assert [x.count(-1) for x in n[30:33]] == [1, 1, 1] and all(x.count(1) > 3 for x in n[30:33])
+    assert all(x.count(-1) > 1 for x in n[33:])
+
+
+def test_clean_texts_stay_among_nine_tenths_junk(spark):
+    shout = lambda i: prose(i).upper().replace(" ", "!! ") + "!!"
+    texts = [prose(i) for i in range(20)] + [junked(i) for i in range(120)] + [shout(i) for i in range(60)]
+    assert kept_ids(spark, texts) == set(range(20))
