@@ -40,13 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies the row with the smallest (doc_id, text hash) stays."""
     C.begin_stage(spark, docs)
-    classes = C.settle(op6.ngram_classes(C.keyed(docs)).where("d = class"))
-    keep = classes.groupBy("d").agg(F.min("th").alias("th"))
-    out = _named(docs).join(keep, ["d", "th"], "left_semi")
-    if classes.groupBy("d", "th").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["d", "th"])
+    first = C.settle(op6.ngram_classes(C.keyed(docs)).where("d = class and th = class_th").select("d", "th", "n_links"))
+    rows = _named(docs)
+    linked = first.where("n_links > 0")
+    if linked.groupBy("d", "th").count().where("count > 1").limit(1).count():
+        # Only repeats with words are copies; texts without words are classes of their own.
+        once = rows.join(linked.select("d", "th").distinct(), ["d", "th"], "left_semi").dropDuplicates(["d", "th"])
+        out = once.unionByName(rows.join(first.where("n_links = 0").select("d", "th").distinct(), ["d", "th"], "left_semi"))
+    else:
+        out = rows.join(first.select("d", "th").distinct(), ["d", "th"], "left_semi")
     return out.select(*docs.columns)
 
 

@@ -11,7 +11,8 @@ with their exact sets. Only sums of links and a spanning forest leave a block pa
 Defined results: a text of fewer than five words has all its words as its one gram; a
 text without words (null, empty) has no links and is a class of its own; every row
 counts, so exactly repeated rows link; a null doc_id is the smallest id and stays null;
-further columns are ignored; an empty table gives an empty result.
+classes led by different texts of one id differ in class_th, the text hash of the first
+row; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -197,7 +198,8 @@ def compare_blocks(members: DataFrame, least: float) -> DataFrame:
 
 
 def ngram_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs: (d, th, text). (d, th, class, n_links) of every row; class is the smallest d."""
+    """docs: (d, th, text). (d, th, class, class_th, n_links) of every row; (class, class_th) is
+    the smallest (d, th) of the class: texts that share an id, or have none, stay apart."""
     rows = C.settle(entries(docs))
     sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("d", "th")).alias("r"), F.first("bands").alias("bands"))
     sets = C.settle(sets)
@@ -218,18 +220,18 @@ def ngram_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     links = found.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     true = connected_components(found.select(name.alias("a"), F.struct(F.col("root1").alias("s1"), F.col("root2").alias("s2")).alias("b")))
     true = true.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.col("label").alias("c"))
-    known = sets.select("s1", "s2", "copies", F.col("r.d").alias("least")).join(links, ["s1", "s2"], "left").join(true, ["s1", "s2"], "left")
+    known = sets.select("s1", "s2", "copies", F.col("r").alias("least")).join(links, ["s1", "s2"], "left").join(true, ["s1", "s2"], "left")
     known = known.select("s1", "s2", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("c", name).alias("c"))
-    low = known.groupBy("c").agg(F.min("least").alias("class"))
-    known = known.join(low, "c").select("s1", "s2", "class", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    low = known.groupBy("c").agg(F.min("least").alias("least")).select("c", F.col("least.d").alias("class"), F.col("least.th").alias("class_th"))
+    known = known.join(low, "c").select("s1", "s2", "class", "class_th", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     # Rows without grams share one name; they stay apart.
-    found_rows = rows.where("n > 0").join(known, ["s1", "s2"]).select("d", "th", "class", "n_links")
-    return found_rows.unionByName(rows.where("n = 0").select("d", "th", F.col("d").alias("class"), F.lit(0).cast("long").alias("n_links")))
+    found_rows = rows.where("n > 0").join(known, ["s1", "s2"]).select("d", "th", "class", "class_th", "n_links")
+    return found_rows.unionByName(rows.where("n = 0").select("d", "th", F.col("d").alias("class"), F.col("th").alias("class_th"), F.lit(0).cast("long").alias("n_links")))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_classes(C.keyed(C.documents(spark, sf_dir)))
-    return out.select(C.doc_id_back(), C.doc_id_back("class").alias("class_id"), "n_links")
+    return out.select(C.doc_id_back(), C.doc_id_back("class").alias("class_id"), "n_links", "class_th")
 
 
 QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}

@@ -3,6 +3,7 @@ import sentencepiece
 import corpus_pipeline as cp
 from leadspark.llm import common as C
 from leadspark.llm import op5_sentencepiece as op5
+from leadspark.llm import op6_ngram_join as op6
 from tests.llm.test_op3 import brute as brute_lines
 from tests.llm.test_op4 import brute as brute_items
 from tests.llm.test_op6 import brute as brute_classes
@@ -42,3 +43,13 @@ def test_nulls_and_clashing_columns(spark):
     docs = docs.drop("d")
     assert cp.ngram_join(spark, docs, "").count() == 2
     assert cp.line_dedup(spark, docs, "").count() == 4
+
+
+def test_different_texts_on_one_id_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (None, text(3)), (None, ""), (None, ""), (9, text(1))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.ngram_join(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(None, text(k)) for k in (1, 2, 3)] + [(7, text(4)), (7, text(5)), (None, ""), (None, "")], key=repr)
+    classes = op6.ngram_classes(C.keyed(docs))
+    assert classes.select("class", "class_th").distinct().count() == 6
