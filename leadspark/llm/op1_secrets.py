@@ -40,7 +40,7 @@ NAMES = {
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "undefined", "required", "redacted", "localhost", "disabled"}
 LEAST = 0.6
 
-_NAME = r"""[A-Za-z_][A-Za-z0-9_.\-]*|"[A-Za-z_][A-Za-z0-9_.\- ]{0,63}"|'[A-Za-z_][A-Za-z0-9_.\- ]{0,63}'"""
+_NAME = r"""[A-Za-z_][A-Za-z0-9_.\-]*|"[A-Za-z_][A-Za-z0-9_.\- ]*"|'[A-Za-z_][A-Za-z0-9_.\- ]*'"""
 _TERM = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\$\{[A-Za-z_][\w.]*\}|[^\s,;+"'{}()\[\]<>|]+"""
 _PAIR = re.compile(rf"(?<![\w.$-])(?:{_NAME})[ \t]*(?:=>|:=|=|:)(?!=)[ \t]*(?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*")
 _HEAD = re.compile(rf"({_NAME})[ \t]*(?:=>|:=|=|:)[ \t]*")
@@ -68,41 +68,96 @@ def literal_score(name_score: float, value: str) -> float:
     return name_score * mixed * min(1.0, entropy(value) / 2.5)
 
 
+class Joined:
+    """What `literal_score` asks of a value, kept without the value, so that joining is cheap."""
+
+    def __init__(self, value: str = "") -> None:
+        self.counts = Counter(value)
+        self.size, self.head, self.space = len(value), value[:16], not value.strip()
+        self.lead = value[: len(value) - len(value.lstrip())].count(" ")
+        self.trail = value[len(value.rstrip()) :].count(" ")
+
+    def add(self, more: Joined) -> None:
+        self.lead = self.counts[" "] + more.lead if self.space else self.lead
+        self.trail = self.trail + more.counts[" "] if more.space else more.trail
+        self.space = self.space and more.space
+        self.head = (self.head + more.head)[:16] if self.size < 16 else self.head
+        self.size += more.size
+        self.counts.update(more.counts)
+
+    def score(self, name_score: float) -> float:
+        placeholder = self.size <= 16 and self.head.lower() in PLACEHOLDERS
+        inner = not self.space and self.counts[" "] > self.lead + self.trail
+        if self.size < 8 or placeholder or inner or self.head.startswith(("http:", "https:", "//")):
+            return 0.0
+        seen = [c for c, k in self.counts.items() if k]
+        mixed = 1.0 if any(c.isdecimal() for c in seen) and any(c.isascii() and c.isalpha() for c in seen) else 0.75
+        bits = -sum(k / self.size * math.log2(k / self.size) for k in self.counts.values() if k)
+        return name_score * mixed * min(1.0, bits / 2.5)
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
-    """Spans of literals that reach a sensitive name, with their scores."""
+    """Spans of literals that reach a sensitive name, with their scores. An assignment keeps
+    links to its literals and to the assignments that its names stand for; scores go down
+    the links once, so the work is in proportion to the links, not to what reaches a name."""
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[int, int, str]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    bound: dict[str, int] = {}
+    terms: list[list[int | tuple[int, int, str]]] = []  # of each assignment
+    own: list[float] = []
     for pair in _PAIR.finditer(text):
         head = _HEAD.match(text, pair.start(), pair.end())
         if head is None:
             continue
         name = head.group(1).strip("\"'")
-        reached: list[tuple[int, int, str]] = []
+        mine: list[int | tuple[int, int, str]] = []
         for term in _EACH.finditer(text, head.end(), pair.end()):
             t = term.group()
             if t[0] in "\"'":
-                reached.append((term.start() + 1, term.end() - 1, t[1:-1]))
+                mine.append((term.start() + 1, term.end() - 1, t[1:-1]))
             elif t.startswith("${"):
-                reached += bound.get(t[2:-1], [])
+                if t[2:-1] in bound:
+                    mine.append(bound[t[2:-1]])
             elif t in bound:
-                reached += bound[t]
+                mine.append(bound[t])
             elif t != "+":
-                reached.append((term.start(), term.end(), t))
-        reached = reached[:64]
-        bound[name] = reached
+                mine.append((term.start(), term.end(), t))
+        bound[name] = len(terms)
         if "." in name:
-            bound[name.rpartition(".")[2]] = reached
-        score = sensitivity(name)
-        if score:
-            joined = "".join(v for _, _, v in reached)
-            for start, end, value in reached:
-                s = literal_score(score, value)
-                if len(reached) > 1:  # parts of one secret
-                    s = max(s, literal_score(score, joined)) if len(value) >= 4 else s
+            bound[name.rpartition(".")[2]] = len(terms)
+        terms.append(mine)
+        own.append(sensitivity(name))
+    if not any(own):
+        return []
+    parts: list[int] = []  # 0, 1, or 2 for more
+    for mine in terms:
+        parts.append(min(2, sum(parts[t] if isinstance(t, int) else 1 for t in mine)))
+    reach, need = own[:], [s > 0 and n > 1 for s, n in zip(own, parts, strict=True)]
+    for i in range(len(terms) - 1, -1, -1):
+        for t in terms[i]:
+            if isinstance(t, int):
+                reach[t] = max(reach[t], reach[i])
+                need[t] = need[t] or need[i]
+    values: list[Joined | None] = []
+    whole = [0.0] * len(terms)  # score of the best joined value that an assignment is part of
+    for i, mine in enumerate(terms):
+        value = Joined() if need[i] else None
+        if value is not None:
+            for t in mine:
+                value.add(values[t] if isinstance(t, int) else Joined(t[2]))
+            if own[i] and parts[i] > 1:
+                whole[i] = value.score(own[i])
+        values.append(value)
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(terms) - 1, -1, -1):
+        for t in terms[i]:
+            if isinstance(t, int):
+                whole[t] = max(whole[t], whole[i])
+            elif reach[i]:
+                s = literal_score(reach[i], t[2])
+                s = max(s, whole[i]) if len(t[2]) >= 4 else s
                 if s >= LEAST:
-                    best[start, end] = max(s, best.get((start, end), 0.0))
+                    best[t[0], t[1]] = s
     return sorted((s, e, v) for (s, e), v in best.items())
 
 

@@ -57,6 +57,16 @@ def test_propagated_literals():
     assert op1.sensitivity("dbApiKey") == 1.0 and op1.sensitivity("monkey") == 0
 
 
+def test_all_parts_of_a_long_key():
+    lines = ["private_key = ''"] + [f"private_key = private_key + 'aB{i:04d}xZ'" for i in range(3000)]
+    text = "\n".join([*lines, "double = private_key", *["double = double + double"] * 80, "db_secret = double"])
+    found = [text[s:e] for s, e, _ in op1.literals(text)]
+    assert found == [f"aB{i:04d}xZ" for i in range(3000)]
+    name = "x" * 80 + "_password"
+    (span,) = op1.literals(f'"{name}": "f9K2m3Xq8"')
+    assert span[:2] == (len(name) + 5, len(name) + 14)
+
+
 def plain(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
