@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: White space that separates words, in every operator that counts words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -33,8 +36,11 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, th, text): d is doc_id with null as the smallest id, th a hash of the
+    """(d, th, text): d is doc_id, an integer, with null as the smallest id; th a hash of the
     text, so that (d, th) names a row up to exact repetition."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}: ids are compared as numbers")
     rows = texts(docs)
     return rows.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"),
@@ -48,10 +54,13 @@ def doc_id_back(col: str = "d") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where it
+    is unset, a folder of this machine if Spark runs in one process, else an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -72,7 +81,8 @@ def settle(df: DataFrame) -> DataFrame:
     drop_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    _SETTLED.append(path)
+    if _IN_STAGE:
+        _OF_STAGES.append(path)
     return out
 
 
@@ -80,18 +90,33 @@ def forget(*tables: DataFrame) -> None:
     """Removes settled tables that no later job reads."""
     for t in tables:
         _remove(t.sparkSession, t.settled_at)
-        if t.settled_at in _SETTLED:
-            _SETTLED.remove(t.settled_at)
+        if t.settled_at in _OF_STAGES:
+            _OF_STAGES.remove(t.settled_at)
 
 
-def begin_stage(spark: SparkSession, *but: DataFrame) -> None:
-    """Removes all settled tables but those given. For the stages of a pipeline, whose
-    predecessors' results are written tables and need nothing else any more."""
-    stay = {getattr(t, "settled_at", None) for t in but}
-    for path in [p for p in _SETTLED if p not in stay]:
-        _remove(spark, path)
-        _SETTLED.remove(path)
-    drop_shuffles(spark)
+def begin_stage(docs: DataFrame) -> None:
+    """Removes what earlier stages of a pipeline have settled, but for the table docs itself."""
+    stay = getattr(docs, "settled_at", None)
+    for path in [p for p in _OF_STAGES if p != stay]:
+        _remove(docs.sparkSession, path)
+        _OF_STAGES.remove(path)
+    drop_shuffles(docs.sparkSession)
+
+
+def stage(f: Callable) -> Callable:
+    """A stage of a pipeline: what it settles goes when the next stage begins. Its result
+    must be written before that."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begin_stage(docs)
+        _IN_STAGE.append(f.__name__)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _IN_STAGE.pop()
+
+    return run
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -101,7 +126,8 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 
 _FOLDERS: set[str] = set()
-_SETTLED: list[str] = []
+_IN_STAGE: list[str] = []
+_OF_STAGES: list[str] = []
 
 
 def _remove(spark: SparkSession, folder: str) -> None:

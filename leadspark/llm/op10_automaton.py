@@ -25,8 +25,10 @@ from leadspark.llm import repeats as R
 
 WORDS = 13
 GRAM = 4
-#: Runs of windows that entries of large groups are cut into.
-WIDTHS = (1,)
+#: Sequences in a shard; a group with more is cut into runs of windows.
+SHARD = 2048
+#: Windows in the runs that sequences of larger groups are cut into.
+WIDTHS = (5, 1)
 
 
 class SuffixAutomaton:
@@ -123,7 +125,7 @@ def substring_dedup(docs: DataFrame, least: int = WORDS, gram: int = GRAM) -> Da
     """doc_id, text, kept (words joined by one space), n_words, n_removed of every row."""
     C.small_batches(docs.sparkSession)
     rows = C.keyed(docs)
-    found = R.repeated(rows, "words", least, gram, lambda e: match_automaton(e, least), True, WIDTHS)
+    found = R.repeated(rows, "words", least, gram, lambda e: match_automaton(e, least), True, WIDTHS, SHARD, False)
     both = rows.join(found, ["d", "th"], "left")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def substring_dedup(docs: DataFrame, least: int = WORDS, gram: int = GRAM) -> Da
                 x, y = int(woff[i]), int(woff[i + 1])
                 pairs = zip(start[x:y].tolist(), end[x:y].tolist(), strict=True)
                 if lists[i].is_valid:
-                    cover = R.covered(lists, i, y - x)
+                    cover = R.covered(lists, i, y - x, least)
                     gone.append(int(cover.sum()))
                     kept.append(b" ".join([data[s:e] for (s, e), c in zip(pairs, cover.tolist(), strict=True) if not c]).decode())
                 else:

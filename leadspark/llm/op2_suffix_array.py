@@ -25,14 +25,16 @@ from leadspark.llm import repeats as R
 
 LENGTH = 400
 GRAM = 64
-#: Runs of windows that entries of large groups are cut into.
+#: Entries whose suffixes are sorted together; a group with more is cut into runs of windows.
+ENTRIES = 256
+#: Windows in the runs that entries of larger groups are cut into.
 WIDTHS = (32, 1)
 
 
-def suffix_order(data: np.ndarray, seg: np.ndarray, upto: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(data: np.ndarray, seg: np.ndarray, since: np.ndarray, upto: np.ndarray, depth: int) -> np.ndarray:
     """Places in suffix order, comparing at least `depth` bytes. seg: offsets of the
-    segments; a suffix ends with its segment. upto: how many places of each segment
-    are asked for; the rest of a segment serves only as tail."""
+    segments; a suffix ends with its segment. since, upto: the first place of each segment
+    that is asked for and the one after the last; what follows serves only as tail."""
     n = len(data)
     end = np.repeat(seg[1:], np.diff(seg))
     place = np.arange(n)
@@ -43,7 +45,8 @@ def suffix_order(data: np.ndarray, seg: np.ndarray, upto: np.ndarray, depth: int
     stop = np.flatnonzero(differs)[np.searchsorted(np.flatnonzero(differs), place)]
     small = ~last[stop] & (data[stop] < data[np.minimum(stop + 1, n - 1)])
     # Places asked for, and what follows up to the next small suffix or the end.
-    asked = place < np.repeat(seg[:-1] + upto, np.diff(seg))
+    size = np.diff(seg)
+    asked = (place < np.repeat(seg[:-1] + upto, size)) & (place >= np.repeat(seg[:-1] + since, size))
     small_at = np.flatnonzero(small | last)
     need = asked.copy()
     tail = np.minimum(seg[:-1] + upto, seg[1:] - 1)
@@ -127,7 +130,7 @@ def match_suffixes(entries: list[tuple], length: int = LENGTH) -> list[list[tupl
     data = np.frombuffer(b"".join(parts), np.uint8)
     p0 = np.array([e[5] for e in entries])
     p1 = np.array([e[6] for e in entries])
-    order = suffix_order(data, seg, p1 + 1, length)
+    order = suffix_order(data, seg, p0, p1 + 1, length)
     entry = np.searchsorted(seg, order, "right") - 1
     mine = (order >= seg[entry] + p0[entry]) & (order <= seg[entry] + p1[entry])
     order, entry = order[mine], entry[mine]
@@ -161,7 +164,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """doc_id, text, kept (binary: the bytes left), n_bytes, n_removed, n_spans of every row."""
     C.small_batches(docs.sparkSession)
     rows = C.keyed(docs)
-    found = R.repeated(rows, "bytes", length, gram, lambda e: match_suffixes(e, length), False, WIDTHS)
+    found = R.repeated(rows, "bytes", length, gram, lambda e: match_suffixes(e, length), False, WIDTHS, ENTRIES, True)
     both = rows.join(found, ["d", "th"], "left")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
                 raw = text.encode()
                 size.append(len(raw))
                 if lists[i].is_valid:
-                    cover = R.covered(lists, i, len(raw))
+                    cover = R.covered(lists, i, len(raw), length)
                     kept.append(np.frombuffer(raw, np.uint8)[~cover].tobytes())
                     gone.append(int(cover.sum()))
                     spans.append(len(C.runs(cover)[0]))

@@ -9,7 +9,7 @@ and the place. Rows are counted by anchor with map-side sums; anchors that occur
 once are dropped. Equal surroundings are one entry with a weight. The texts of
 the few entries whose anchor has different surroundings are then compared
 exactly, group by group, by the caller's matcher. A group with more entries
-than `GROUP` is not put into one task: its entries are cut into narrower runs of
+than the caller allows is not put into one task: its entries are cut into narrower runs of
 windows, grouped by what the windows of a run share, and equal ones are one again.
 """
 
@@ -24,30 +24,29 @@ from pyspark.sql import functions as F
 
 from leadspark.llm import common as C
 
-#: Entries (different surroundings) of one anchor that one task compares.
-GROUP = 256
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 21
 
 OCC = "anchor long, outer long, d long, th long, at long"
-#: A run's place in one number: the anchor's place, and four distances from it.
+#: A run's place in one number: the anchor's place (45 bits) and how far ahead of it the
+#: run's first and last windows start, each less than the window's length.
 FIELD = 9
 
 
-def pack(mid, lo, hi, p0, p1):
-    parts = (mid - lo, hi - mid, mid - p0, mid - p1)
-    out = mid.astype(np.int64)
-    for x in parts:
-        out = out << FIELD | x
-    return out
+def pack(mid, p0, p1):
+    return (mid.astype(np.int64) << FIELD | (mid - p0)) << FIELD | (mid - p1)
 
 
 def unpack(at: np.ndarray):
-    """mid, lo, hi, p0, p1 of packed places."""
+    """mid, p0, p1 of packed places."""
     low = (1 << FIELD) - 1
-    a, b, c, d = ((at >> FIELD * i) & low for i in (3, 2, 1, 0))
-    mid = at >> 4 * FIELD
-    return mid, mid - a, mid + b, mid - c, mid - d
+    mid = at >> 2 * FIELD
+    return mid, mid - (at >> FIELD & low), mid - (at & low)
+
+
+def reach(mid, size, k: int, m: int):
+    """The units that windows with an anchor at mid can hold, in a row of that size."""
+    return np.maximum(0, mid - (k - m)), np.minimum(size, mid + k)
 
 
 def units_of(kind: str, raw: np.ndarray, off: np.ndarray):
@@ -101,18 +100,17 @@ def occurrences(docs: DataFrame, kind: str, k: int, m: int) -> DataFrame:
             if found is None:
                 continue
             roll, row, mid, p0, p1, gram = found
-            lo = np.maximum(uoff[row], mid - (k - m))
-            hi = np.minimum(uoff[row + 1], mid + k)
-            outer = roll.blocks(lo, hi) ^ C.mix((((mid - lo) << 32) | (hi - lo)).astype(np.uint64))
             base = uoff[row]
+            lo, hi = (x + base for x in reach(mid - base, uoff[row + 1] - base, k, m))
+            outer = roll.blocks(lo, hi) ^ C.mix((((mid - lo) << 32) | (hi - lo)).astype(np.uint64))
             cols = [gram.view(np.int64), outer.view(np.int64), b.column("d").to_numpy()[row], b.column("th").to_numpy()[row]]
-            cols.append(pack(*(x - base for x in (mid, lo, hi, p0, p1))))
+            cols.append(pack(*(x - base for x in (mid, p0, p1))))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=OCC.replace(" long", "").split(", "))
 
     return docs.mapInArrow(run, OCC)
 
 
-def cut(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+def cut(docs: DataFrame, wanted: DataFrame, kind: str, k: int, m: int) -> DataFrame:
     """wanted: (d, th, anchor, outer, n, at). Adds the units that a run can reach as
     text, words joined by one space."""
     lists = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("anchor", "outer", "n", "at")).alias("w"))
@@ -128,7 +126,8 @@ def cut(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             flat = lists.flatten()
             row = np.repeat(np.arange(b.num_rows), size)
             f = {name: flat.field(name).to_numpy() for name in ("anchor", "outer", "n", "at")}
-            mid, left, right, p0, p1 = unpack(f["at"])
+            mid, p0, p1 = unpack(f["at"])
+            left, right = reach(mid, np.diff(uoff)[row], k, m)
             lo, hi = left + uoff[row], right + uoff[row]
             if kind == "words":
                 part = [b" ".join(data[start[i] : end[i]] for i in range(x, y)) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
@@ -212,8 +211,8 @@ def split(entries: DataFrame, kind: str, k: int, width: int) -> DataFrame:
     return entries.mapInArrow(run, "anchor long, outer long, a0 long, o0 long, d long, n long, mid int, p0 int, p1 int, part binary")
 
 
-def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...], used: list[DataFrame]) -> DataFrame:
-    """Spans of entries of any number: groups of up to `GROUP` by the matcher, the others
+def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...], most: int, used: list[DataFrame]) -> DataFrame:
+    """Spans of entries of any number: groups of up to `most` by the matcher, the others
     cut into narrower runs, where most entries are equal and so are one, and so on. Every
     step is settled, so plans stay small; `used` gathers the tables."""
 
@@ -223,14 +222,14 @@ def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_onl
 
     sizes = entries.groupBy("anchor").agg(F.count("*").alias("size"))
     entries = keep(entries.join(sizes, "anchor"))
-    spans = match_groups(entries.where(F.col("size") <= GROUP), matcher)
-    if not widths or not entries.where(F.col("size") > GROUP).limit(1).count():
+    spans = match_groups(entries.where(F.col("size") <= most), matcher)
+    if not widths or not entries.where(F.col("size") > most).limit(1).count():
         return keep(spans)
-    runs = keep(split(entries.where(F.col("size") > GROUP), kind, k, widths[0]))
+    runs = keep(split(entries.where(F.col("size") > most), kind, k, widths[0]))
     one = runs.groupBy("anchor", "outer").agg(F.sum("n").alias("n"), F.min(F.struct("d", "mid", "p0", "p1", "part")).alias("r"))
     group = one.groupBy("anchor").agg(F.count("*").alias("kinds"))
     inner = one.join(group.where("kinds > 1"), "anchor").select("anchor", "outer", "n", "r.*")
-    deeper = resolve(inner, kind, k, matcher, earlier_only, widths[1:], used)
+    deeper = resolve(inner, kind, k, matcher, earlier_only, widths[1:], most, used)
     known = one.select("anchor", "outer", F.col("n").alias("total"), F.col("r.d").alias("least")).join(deeper, ["anchor", "outer"], "left")
     whole = F.col("d") > F.col("least") if earlier_only else F.col("total") > 1
     hits = runs.join(known, ["anchor", "outer"]).where(whole | (F.length("spans") > 0))
@@ -247,14 +246,20 @@ def resolve(entries: DataFrame, kind: str, k: int, matcher: Matcher, earlier_onl
     return keep(spans.unionByName(hits.mapInArrow(join_up, "anchor long, outer long, spans binary")))
 
 
-def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...]) -> DataFrame:
+def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earlier_only: bool, widths: tuple[int, ...], most: int, write_first: bool) -> DataFrame:
     """docs: (d, th, text). (d, th, found): for each row with repeats the spans in units that
     repeated windows cover. earlier_only: a window counts if it also starts in a row with a
-    smaller d; otherwise if it starts anywhere else. widths: of the runs that entries of a
-    large group are cut into, ever narrower, the last 1."""
+    smaller d; otherwise if it starts anywhere else. most: entries (different surroundings) of
+    one anchor that one task compares; widths: of the runs that entries of a larger group are
+    cut into, ever narrower, the last 1. write_first: whether the runs are written before
+    they are counted, or found a second time."""
     occ = occurrences(docs, kind, k, m)
+    if write_first:
+        occ = C.settle(occ)
     anchor = occ.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     found = C.settle(occ.join(anchor, "anchor"))
+    if write_first:
+        C.forget(occ)
 
     entry = found.groupBy("anchor", "outer").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "at")).alias("r"))
     group = entry.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("fewest"), F.min("r.d").alias("a"), F.max("r.d").alias("b"))
@@ -262,10 +267,10 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     wanted = C.settle(entry.join(group, "anchor").select("anchor", "outer", "n", "size", "r.*"))
     fields = ["d", "th", "anchor", "outer", "n", "at"]
     used: list[DataFrame] = []
-    spans = match_groups(cut(docs, wanted.where(F.col("size") <= GROUP).select(*fields), kind), matcher)
-    if wanted.where(F.col("size") > GROUP).limit(1).count():
-        hot = cut(docs, wanted.where(F.col("size") > GROUP).select(*fields), kind).dropDuplicates(["anchor", "outer"])
-        spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths, used))
+    spans = match_groups(cut(docs, wanted.where(F.col("size") <= most).select(*fields), kind, k, m), matcher)
+    if wanted.where(F.col("size") > most).limit(1).count():
+        hot = cut(docs, wanted.where(F.col("size") > most).select(*fields), kind, k, m).dropDuplicates(["anchor", "outer"])
+        spans = spans.unionByName(resolve(hot, kind, k, matcher, earlier_only, widths, most, used))
 
     spans = C.settle(spans)
     known = entry.select("anchor", "outer", "n", F.col("r.d").alias("least")).join(spans, ["anchor", "outer"], "left").where("n > 1 or spans is not null")
@@ -277,14 +282,14 @@ def repeated(docs: DataFrame, kind: str, k: int, m: int, matcher: Matcher, earli
     return done
 
 
-def covered(found: pa.ListArray, row: int, units: int) -> np.ndarray:
+def covered(found: pa.ListArray, row: int, units: int, k: int) -> np.ndarray:
     """Which of a row's units its spans cover."""
     edge = np.zeros(units + 1, np.int64)
     spans = found[row].as_py() if found[row].is_valid else []
     if spans:
-        mid, lo, hi, _, _ = unpack(np.array([s["at"] for s in spans]))
+        mid, p0, p1 = unpack(np.array([s["at"] for s in spans]))
         pairs = [
-            np.array([(lo[i], hi[i])]) if s["spans"] is None else np.frombuffer(s["spans"], np.int32).reshape(-1, 2) + mid[i]
+            np.array([(p0[i], p1[i] + k)]) if s["spans"] is None else np.frombuffer(s["spans"], np.int32).reshape(-1, 2) + mid[i]
             for i, s in enumerate(spans)
         ]
         pairs = np.concatenate(pairs)

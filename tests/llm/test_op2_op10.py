@@ -61,7 +61,8 @@ def made(seed):
 
 @pytest.mark.parametrize("seed,group", [(1, 256), (2, 3)])
 def test_against_brute_force(spark, monkeypatch, seed, group):
-    monkeypatch.setattr("leadspark.llm.repeats.GROUP", group)
+    monkeypatch.setattr(op2, "ENTRIES", group)
+    monkeypatch.setattr(op10, "SHARD", group)
     rows = made(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for length, gram in ((60, 12), (400, 64)):
@@ -89,6 +90,16 @@ def test_suffix_order_matches_sorting():
     parts = ["".join(r.choice("ab") for _ in range(r.randint(1, 80))).encode() for _ in range(30)]
     seg = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
     data = np.frombuffer(b"".join(parts), np.uint8)
-    got = op2.suffix_order(data, seg, np.diff(seg), 1000).tolist()
+    got = op2.suffix_order(data, seg, 0 * np.diff(seg), np.diff(seg), 1000).tolist()
     suffix = {int(s) + i: p[i:] for s, p in zip(seg, parts) for i in range(len(p))}
     assert [suffix[p] for p in got] == sorted(suffix.values())
+
+
+def test_places_beyond_2_to_the_27():
+    import numpy as np
+
+    from leadspark.llm import repeats
+
+    mid = np.array([5, 2**31, 2**40])
+    back = repeats.unpack(repeats.pack(mid, mid - 336, mid - 5))
+    assert [x.tolist() for x in back] == [mid.tolist(), (mid - 336).tolist(), (mid - 5).tolist()]
