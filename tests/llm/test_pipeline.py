@@ -53,3 +53,21 @@ def test_different_texts_on_one_id_stay(spark):
     assert got == sorted([(None, text(k)) for k in (1, 2, 3)] + [(7, text(4)), (7, text(5)), (None, ""), (None, "")], key=repr)
     classes = op6.ngram_classes(C.keyed(docs))
     assert classes.select("class", "class_th").distinct().count() == 6
+
+
+def test_a_stage_leaves_tables_of_others(spark):
+    from leadspark.llm import op9_quality as op9
+
+    sf = "/root/testdata/sf0.001"
+    docs = C.documents(spark, sf).where("doc_id < 10")
+    before = op9.judge(docs, ["doc_id"])
+    first = C.settle(cp.quality_rules(spark, docs, sf))
+    cp.decontaminate(spark, first, sf).count()
+    assert before.count() == docs.count()
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(None, None, None, None, None), (1, "a\xa0b \u3000 c", "en", "s", 3), (2, "", "en", None, 0), (2, "x " * 60, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.decontaminate(spark, docs, "/root/testdata/sf0.001").count() == 4
+    assert cp.sentencepiece(spark, docs, "").count() == 4
