@@ -1,8 +1,9 @@
 """A training corpus from documents, in stages; each is an operator of leadspark.llm.
 
 Each stage works on all that the one before kept. A text that loses all its lines stays
-as an empty document: only the stages that judge documents drop them. The input of a stage is a written table:
-a stage begins with the removal of what earlier ones have settled.
+as an empty document: only the stages that judge documents drop them. The input of a stage
+is a written table: a stage begins with the removal of what earlier stages (and nothing
+else) have settled.
 """
 
 from __future__ import annotations
@@ -24,24 +25,24 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "th": F.xxhash64(text)})
 
 
+@C.stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    C.begin_stage(spark, docs)
     return op9.judge(docs, docs.columns).where("kept").select(*docs.columns)
 
 
+@C.stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; n_chars is counted anew."""
-    C.begin_stage(spark, docs)
     gone = op3.lines_to_drop(C.keyed(docs))
     rows = _named(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     out = op3.without_lines(rows, gone).withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@C.stage
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the row with the smallest (doc_id, text hash) stays."""
-    C.begin_stage(spark, docs)
     first = C.settle(op6.ngram_classes(C.keyed(docs)).where("d = class and th = class_th").select("d", "th", "n_links"))
     rows = _named(docs)
     linked = first.where("n_links > 0")
@@ -54,16 +55,16 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@C.stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    C.begin_stage(spark, docs)
     found = op4.contaminated(docs, C.read(spark, sf_dir, "benchmark")).select("d", "th").distinct()
     return _named(docs).join(found, ["d", "th"], "left_anti").select(*docs.columns)
 
 
+@C.stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, exact: the ids, decoded again, give the text."""
-    C.begin_stage(spark, docs)
     return op5.round_trip(docs, op5.model_path())
 
 
@@ -80,7 +81,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = C.settle(docs)
+            out = C.settle(out)
+            if i:
+                C.forget(docs)
+        docs = out
     return docs
