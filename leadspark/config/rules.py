@@ -46,3 +46,17 @@ STOP_STAGES = ["REPLIED", "CONVERSATION", "INTERESTED", "NURTURE", "NOT_INTEREST
 FOLLOWUP_KINDS = ["followup_1", "followup_2", "followup_3_final"]
 DAY_OFFSETS = [2, 5, 9]
 POSITIVE_REPLIES = ["interested", "curious", "positive", "wants_details", "pricing", "question"]
+
+# Points of the signals for each service, and the limits of scores and offers.
+SUPPORT_POINTS = {
+    "Sells online": 30, "Sizeable product catalogue": 15, "Published returns or refunds policy": 12, "Multiple customer contact channels": 14,
+    "Live chat already in place": 14, "Help centre or customer service page": 10, "Customer-facing hiring": 20, "Actively hiring": 6, "High public review volume": 10,
+}
+VOICE_POINTS = {
+    "Appointment booking in use": 26, "Call-to-action asks customers to phone": 22, "Phone is a prominent contact channel": 20, "After-hours availability advertised": 14,
+    "Appointment-led customer journey": 14, "Appointment-based business category": 8, "Phone-heavy business category": 8, "Phone number published": 6, "High public review volume": 10,
+}
+CAVEATS = ["Website could not be read", "No website on file"]
+V1_BANDS = [("BEST", 80), ("GOOD", 65), ("REVIEW", 50), ("BAD", 0)]
+NO_WEBSITE_CAP, UNREADABLE_SITE_CAP = 45, 55
+MIN_FIT, BOTH_MIN, BOTH_MIN_SIGNALS = 45, 55, 2

@@ -62,7 +62,17 @@ def stop_reason(replied_at: Column, status: Column, stage: Column) -> Column:
 
 
 def cancel(followups: DataFrame, leads: DataFrame) -> DataFrame:
-    """Pending follow-ups of stopped leads become CANCELLED with the reason."""
-    why = leads.select("lead_id", stop_reason(c("replied_at"), c("status"), c("stage")).alias("why"))
+    """followups: (lead_id, step, state, cancel_reason and more). Those of stopped leads that did
+    not go out yet (PENDING, SCHEDULED) become CANCELLED with the reason; all others stay."""
+    why = leads.select("lead_id", stop_reason(c("replied_at"), c("status"), c("stage")).alias("_why"))
     rows = followups.join(why, "lead_id", "left")
-    return rows.withColumn("state", F.when(c("why").isNotNull(), "CANCELLED").otherwise("SCHEDULED"))
+    stop = c("_why").isNotNull() & c("state").isin("PENDING", "SCHEDULED")
+    return rows.withColumns({"state": F.when(stop, "CANCELLED").otherwise(c("state")), "cancel_reason": F.when(stop, c("_why")).otherwise(c("cancel_reason"))}).drop("_why")
+
+
+def reject_drafts(outreach: DataFrame, leads: DataFrame) -> DataFrame:
+    """Drafts of follow-ups that were not sent yet are rejected once their lead is stopped."""
+    stopped = leads.where(stop_reason(c("replied_at"), c("status"), c("stage")).isNotNull()).select("lead_id", F.lit(True).alias("_stop"))
+    rows = outreach.join(stopped, "lead_id", "left")
+    out = c("_stop") & c("status").isin("DRAFT", "PENDING_REVIEW", "APPROVED") & c("sent_at").isNull() & (c("kind") != "initial")
+    return rows.withColumn("status", F.when(out, "REJECTED").otherwise(c("status"))).drop("_stop")

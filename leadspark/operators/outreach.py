@@ -17,14 +17,14 @@ def retry_after_seconds(retries: Column) -> Column:
 
 def fail_leads(leads: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """failures: (lead_id, message, error_type, at). (leads, error rows with next_retry_at)."""
-    n = failures.groupBy("lead_id").agg(F.count("*").alias("n"), F.max_by("message", "at").alias("message"), F.max("at").alias("at"))
+    n = failures.groupBy("lead_id").agg(F.count("*").alias("n"), F.max_by("message", F.struct("at", "message")).alias("message"), F.max("at").alias("at"))
     rows = leads.join(n, "lead_id", "left")
     failed = c("n").isNotNull()
     out = rows.withColumns(
         {
             "retry_count": c("retry_count") + F.coalesce("n", F.lit(0)).cast("int"),
             "status": F.when(failed, "ERROR").otherwise(c("status")),
-            "last_error": F.substring("message", 1, 500),
+            "last_error": F.when(failed, F.substring("message", 1, 500)).otherwise(c("last_error")),
             "updated_at": F.coalesce("at", "updated_at"),
         }
     ).drop("n", "message", "at")
@@ -46,9 +46,9 @@ def decide(outreach: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFr
     changed = rows.withColumns(
         {
             "status": F.when(yes, "APPROVED").when(c("verdict") == "reject", "REJECTED").otherwise(c("status")),
-            "message_edited": F.when(yes, c("edited")),
+            "message_edited": F.when(yes, c("edited")).otherwise(c("message_edited")),
             "variation": F.when(yes & c("edited").isNotNull(), "custom").otherwise(c("variation")),
-            "approved_at": F.when(yes, c("decided_at")),
+            "approved_at": F.when(yes, c("decided_at")).otherwise(c("approved_at")),
         }
     ).drop("verdict", "edited")
     return changed, known.where(c("why").isNotNull()).select("outreach_id", "verdict", "by", "at", "why")
@@ -67,9 +67,10 @@ def mark_sent(outreach: DataFrame, sent: DataFrame, conversations: DataFrame) ->
 
 
 def set_outcomes(leads: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """outcomes: (lead_id, outcome, note, at). The last outcome stands, notes are appended in order."""
+    """outcomes: (lead_id, outcome, note, at). The last outcome stands (of equal times the last by
+    name), notes are appended in order."""
     by = outcomes.groupBy("lead_id").agg(
-        F.max_by("outcome", "at").alias("outcome"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x["note"]), "\n").alias("more")
+        F.max_by("outcome", F.struct("at", "outcome")).alias("outcome"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x["note"]), "\n").alias("more")
     )
     rows = leads.join(by, "lead_id", "left")
     return rows.withColumns({"status": F.coalesce("outcome", "status"), "stage": F.coalesce("outcome", "stage"), "notes": F.nullif(F.concat_ws("\n", "notes", "more"), F.lit(""))}).drop("outcome", "more")
@@ -90,7 +91,7 @@ def after_last_step(leads: DataFrame, followups: DataFrame, days: int = 90) -> D
     last = followups.where((c("kind") == "followup_3_final") & (c("state") == "SENT")).select("lead_id", c("due_at").alias("_last"))
     rows = leads.join(last.groupBy("lead_id").agg(F.max("_last").alias("_last")), "lead_id", "left")
     quiet = c("_last").isNotNull() & c("replied_at").isNull()
-    return rows.withColumns({"stage": F.when(quiet, "NURTURE").otherwise(c("stage")), "status": F.when(quiet, "NO_RESPONSE").otherwise(c("status")), "recheck_at": F.when(quiet, F.date_add("_last", days))}).drop("_last")
+    return rows.withColumns({"stage": F.when(quiet, "NURTURE").otherwise(c("stage")), "status": F.when(quiet, "NO_RESPONSE").otherwise(c("status")), "recheck_at": F.when(quiet, F.date_add("_last", days)).otherwise(c("recheck_at"))}).drop("_last")
 
 
 def match_replies(replies: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:

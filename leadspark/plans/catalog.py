@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.plans import lead_queries, report_queries, scalar_queries
+from leadspark.plans import lead_queries, report_queries, scalar_queries, v1_queries
 
-MODULES = [scalar_queries, report_queries, lead_queries]
+MODULES = [scalar_queries, report_queries, lead_queries, v1_queries]
 
 
 def queries() -> dict:

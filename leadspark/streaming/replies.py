@@ -32,18 +32,20 @@ def thread_counters(messages: DataFrame) -> DataFrame:
         F.count("*").alias("message_count"),
         F.min(inbound).alias("replied_at"),
         F.max("sent_at").alias("last_message_at"),
+        F.max_by("event_id", F.struct("sent_at", "event_id")).alias("last_event_id"),
         F.max_by("direction", F.struct("sent_at", "event_id")).alias("last_direction"),
     )
 
 
 def merge_counters(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Counters of two sets of messages together."""
+    """Counters of two sets of messages together; of messages at one time the last by event id stands."""
     both = old.unionByName(new)
     return both.groupBy("lead_id").agg(
         F.sum("message_count").alias("message_count"),
         F.min("replied_at").alias("replied_at"),
         F.max("last_message_at").alias("last_message_at"),
-        F.max_by("last_direction", "last_message_at").alias("last_direction"),
+        F.max_by("last_event_id", F.struct("last_message_at", "last_event_id")).alias("last_event_id"),
+        F.max_by("last_direction", F.struct("last_message_at", "last_event_id")).alias("last_direction"),
     )
 
 
@@ -54,6 +56,7 @@ def stop_sequences(replies: DataFrame, followups: Callable[[], DataFrame], save:
     def batch(rows: DataFrame, number: int) -> None:
         first = rows.where(c("direction") == "inbound").groupBy("lead_id").agg(F.min("sent_at").alias("replied_at"))
         leads = first.withColumns({"status": F.lit("REPLIED"), "stage": F.lit("REPLIED")})
-        save(L.cancel(followups(), leads).where(c("state") == "CANCELLED"), number)
+        mine = followups().join(leads.select("lead_id"), "lead_id", "left_semi")
+        save(L.cancel(mine, leads).where(c("state") == "CANCELLED"), number)
 
     return replies.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

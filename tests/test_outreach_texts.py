@@ -3,25 +3,27 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from leadspark.functions import texts as X
+from leadspark.operators import lifecycle as L
 from leadspark.operators import outreach as O
 
 T = lambda d: dt.datetime(2026, 1, d)
 
 
 def test_failures_and_backoff(spark):
-    leads = spark.createDataFrame([(1, 2, "NEW", T(1)), (2, 0, "NEW", T(1))], "lead_id int, retry_count int, status string, updated_at timestamp")
+    leads = spark.createDataFrame([(1, 2, "NEW", T(1), None), (2, 0, "NEW", T(1), "before")], "lead_id int, retry_count int, status string, updated_at timestamp, last_error string")
     bad = spark.createDataFrame([(1, "x", "timeout", T(2)), (1, "y" * 900, "timeout", T(3))], "lead_id int, message string, error_type string, at timestamp")
     out, errors = O.fail_leads(leads, bad)
     got = {r.lead_id: (r.retry_count, r.status, r.last_error and len(r.last_error)) for r in out.collect()}
-    assert got == {1: (4, "ERROR", 500), 2: (0, "NEW", None)}
+    assert got == {1: (4, "ERROR", 500), 2: (0, "NEW", 6)}
     assert {(r.next_retry_at - r.at).seconds for r in errors.collect()} == {16}
 
 
 def test_decisions_and_sending(spark):
-    drafts = spark.createDataFrame([(1, 10, "DRAFT", "a", None), (2, 10, "SENT", "a", T(1)), (3, 11, "DRAFT", "b", None)], "outreach_id int, lead_id int, status string, variation string, sent_at timestamp")
+    drafts = spark.createDataFrame([(1, 10, "DRAFT", "a", None, None, None), (2, 10, "SENT", "a", T(1), T(1), "mine"), (3, 11, "DRAFT", "b", None, None, None)], "outreach_id int, lead_id int, status string, variation string, sent_at timestamp, approved_at timestamp, message_edited string")
     d = spark.createDataFrame([(1, "approve", "edit", "me", T(2)), (1, "reject", None, "me", T(3)), (2, "approve", None, "me", T(2)), (9, "approve", None, "me", T(2)), (3, "reject", None, "me", T(2))], "outreach_id int, verdict string, edited string, by string, at timestamp")
     out, rejects = O.decide(drafts, d)
     assert {r.outreach_id: (r.status, r.variation) for r in out.collect()} == {1: ("APPROVED", "custom"), 2: ("SENT", "a"), 3: ("REJECTED", "b")}
+    assert {r.outreach_id: (r.approved_at, r.message_edited) for r in out.collect()} == {1: (T(2), "edit"), 2: (T(1), "mine"), 3: (None, None)}
     assert sorted((r.outreach_id, r.why) for r in rejects.collect()) == [(1, "already decided"), (2, "not open"), (9, "unknown outreach")]
     talks = spark.createDataFrame([], "lead_id int, channel string, opened_at timestamp")
     sent = spark.createDataFrame([(1, T(5)), (2, T(6))], "outreach_id int, sent_at timestamp")
@@ -32,7 +34,7 @@ def test_decisions_and_sending(spark):
 
 
 def test_outcomes_opt_out_and_nurture(spark):
-    leads = spark.createDataFrame([(1, 7, "h", "NEW", "DM_SENT", None, None), (2, 8, None, "NEW", "DM_SENT", "old", T(1))], "lead_id int, company_id int, instagram_handle string, status string, stage string, notes string, replied_at timestamp")
+    leads = spark.createDataFrame([(1, 7, "h", "NEW", "DM_SENT", None, None, None), (2, 8, None, "NEW", "DM_SENT", "old", T(1), T(4))], "lead_id int, company_id int, instagram_handle string, status string, stage string, notes string, replied_at timestamp, recheck_at timestamp")
     o = spark.createDataFrame([(2, "CLOSED", "b", T(3)), (2, "INTERESTED", "a", T(2))], "lead_id int, outcome string, note string, at timestamp")
     got = {r.lead_id: (r.status, r.notes) for r in O.set_outcomes(leads, o).collect()}
     assert got == {1: ("NEW", None), 2: ("CLOSED", "old\na\nb")}
@@ -40,7 +42,7 @@ def test_outcomes_opt_out_and_nurture(spark):
     assert {r.lead_id: r.status for r in out.collect()} == {1: "OPTED_OUT", 2: "NEW"} and sup.count() == 2
     f = spark.createDataFrame([(1, "followup_3_final", "SENT", T(9)), (2, "followup_3_final", "SENT", T(9))], "lead_id int, kind string, state string, due_at timestamp")
     got = {r.lead_id: (r.stage, str(r.recheck_at)) for r in O.after_last_step(leads, f).collect()}
-    assert got == {1: ("NURTURE", "2026-04-09"), 2: ("DM_SENT", "None")}
+    assert got == {1: ("NURTURE", "2026-04-09 00:00:00"), 2: ("DM_SENT", "2026-01-04 00:00:00")}
 
 
 def test_replies_and_companies(spark):
@@ -63,3 +65,10 @@ def test_texts(spark):
     assert r.s.startswith("...word") and r.s.endswith("word...") and r.whole == page
     sig = spark.sql("select array(named_struct('signal', 's', 'evidence', 'e', 'confidence', 'HIGH')) as x").select(X.numbered_signals(F.col("x")).alias("n")).first().n
     assert sig == "1. s [HIGH]: e"
+
+
+def test_sent_followups_stay_sent(spark):
+    f = spark.createDataFrame([(1, 1, "SENT", None), (1, 2, "SCHEDULED", None), (2, 1, "SENT", None), (2, 2, "PENDING", None), (3, 1, "SCHEDULED", None)], "lead_id int, step int, state string, cancel_reason string")
+    leads = spark.createDataFrame([(1, None, "NEW", "DM_SENT"), (2, T(3), "REPLIED", "REPLIED"), (3, None, "OPTED_OUT", "DM_SENT")], "lead_id int, replied_at timestamp, status string, stage string")
+    got = {(r.lead_id, r.step): (r.state, r.cancel_reason) for r in L.cancel(f, leads).collect()}
+    assert got == {(1, 1): ("SENT", None), (1, 2): ("SCHEDULED", None), (2, 1): ("SENT", None), (2, 2): ("CANCELLED", "reply_received"), (3, 1): ("CANCELLED", "status_opted_out")}
