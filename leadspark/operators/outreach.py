@@ -111,3 +111,48 @@ def resolve_companies(incoming: DataFrame, known_keys: DataFrame) -> tuple[DataF
     resolved = incoming.select("seq").join(best, "seq", "left")
     fresh = keys.join(known_keys.select("key_type", "key_value"), ["key_type", "key_value"], "left_anti").groupBy("key_type", "key_value").agg(F.min("seq").alias("seq"))
     return resolved, fresh.join(resolved, "seq", "left")
+
+
+# Where a class of reply leads, and which classes a person always answers.
+ROUTES = {"opt_out": "opt_out", "not_interested": "NOT_INTERESTED", "maybe_later": "NURTURE", "auto_reply": "none"}
+SENSITIVE = ["pricing", "objection", "opt_out", "wrong_person", "not_interested"]
+UNUSABLE = {
+    "classification": "unclear", "intent": "could not classify automatically", "sentiment": "neutral", "urgency": "medium",
+    "recommended_action": "route_to_human", "suggested_stage": "REPLIED",
+}
+
+
+def route_replies(replies: DataFrame) -> DataFrame:
+    """L10. replies: usable (the classifier's output passed its checks), the fields of that output, and
+    needs_review (of the drafted answer). A reply without usable output is unclear and goes to a person."""
+    ok = F.coalesce(c("usable"), F.lit(False))
+    rows = replies.withColumns({k: F.when(ok, c(k)).otherwise(v) for k, v in UNUSABLE.items()} | {k: F.when(ok, c(k)).otherwise(True) for k in ("requires_human", "stop_followups")})
+    routes = F.create_map(*(F.lit(x) for pair in ROUTES.items() for x in pair))
+    return rows.withColumns(
+        {
+            "fallback": ~ok,
+            "route": F.coalesce(F.try_element_at(routes, c("classification")), F.lit("assistant")),
+            "requires_human_review": F.coalesce(c("needs_review"), F.lit(True)) | F.coalesce(c("classification").isin(SENSITIVE), F.lit(False)),
+        }
+    )
+
+
+def apply_messages(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """L12. threads: conv_id, message_count, last_message_at, last_direction, state; messages: conv_id, id,
+    sent_at, direction. A message in makes the thread wait for us; a message out ends such a wait.
+    Messages count in the order (sent_at, id), so the result is the same however they arrive."""
+    order = F.struct("sent_at", "id")
+    new = messages.groupBy("conv_id").agg(
+        F.count("*").alias("_n"), F.max("sent_at").alias("_at"), F.max_by("direction", order).alias("_last"), F.max(c("direction") == "inbound").alias("_in")
+    )
+    rows = threads.join(new, "conv_id", "left")
+    waited = c("_in") | F.coalesce(c("state") == "AWAITING_US", F.lit(False))
+    state = F.when(c("_last") == "inbound", "AWAITING_US").when((c("_last") == "outbound") & waited, "AWAITING_PROSPECT").otherwise(c("state"))
+    return rows.withColumns(
+        {
+            "message_count": c("message_count") + F.coalesce("_n", F.lit(0)),
+            "last_message_at": F.coalesce("_at", "last_message_at"),
+            "last_direction": F.coalesce("_last", "last_direction"),
+            "state": state,
+        }
+    ).drop("_n", "_at", "_last", "_in")

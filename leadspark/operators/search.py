@@ -53,3 +53,14 @@ def rendered(template: str) -> tuple[Column, Column]:
     parts.append(F.lit(template[at:]))
     lacking = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
     return F.concat(*parts), lacking
+
+
+def hashtags(campaigns: DataFrame) -> DataFrame:
+    """P6. campaigns: (campaign_id, cities, tags). Each tag of a campaign once, at its first place; a tag
+    with {city_slug} stands for one of each city."""
+    t = campaigns.select("campaign_id", "cities", F.posexplode("tags").alias("i", "tag"))
+    filled = t.where(c("tag").contains("{city_slug}")).select("campaign_id", "i", F.posexplode("cities").alias("j", "city"), "tag")
+    name = F.replace(F.replace(F.replace("tag", F.lit("{city_slug}"), S.slug(c("city"))), F.lit("{city}"), c("city")), F.lit("{state}"), F.lit(""))
+    filled = filled.select("campaign_id", "i", "j", S.squeeze(F.replace(name, F.lit("{state_slug}"), F.lit(""))).alias("tag"))
+    plain = t.where(~c("tag").contains("{city_slug}")).select("campaign_id", "i", F.lit(0).alias("j"), "tag")
+    return filled.unionByName(plain).groupBy("campaign_id", "tag").agg(F.min(F.struct("i", "j")).alias("x")).select("campaign_id", "tag", "x.i", "x.j")
