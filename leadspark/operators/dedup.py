@@ -8,6 +8,7 @@ and state that no single row had) and by blocks of near names in a city.
 
 from __future__ import annotations
 
+from bisect import insort
 from functools import lru_cache
 
 import pandas as pd
@@ -19,8 +20,6 @@ from leadspark.functions import scalars as S
 from leadspark.operators import identity as ID
 
 c = F.col
-#: Rows of one component that a worker merges; more is an error with the component's label.
-COMPONENT = 200_000
 COUNTS = ["ig_followers", "ig_following", "ig_posts", "products_count"]
 
 
@@ -90,6 +89,10 @@ def fill(base: dict, more: dict) -> dict:
     return out
 
 
+def _place(row: dict) -> tuple[str, str]:
+    return (row.get("city") or "").lower(), (row.get("state") or "").upper()
+
+
 def _near(a: dict, b: dict, threshold: float) -> bool:
     for k in ("instagram_handle", "website_domain"):
         if not _blank(a.get(k)) and not _blank(b.get(k)) and a[k] != b[k]:
@@ -104,6 +107,7 @@ def merge_in_order(rows: list[dict], threshold: float, strict: bool) -> list[tup
     """(row, seq of the survivor it went into, key kind) of each row; survivors come merged."""
     kept: list[dict] = []
     owner: dict[tuple[str, str], int] = {}
+    there: dict[tuple[str, str], list[int]] = {}
     gone = []
     for row in rows:
         keys = _keys(row)
@@ -111,16 +115,20 @@ def merge_in_order(rows: list[dict], threshold: float, strict: bool) -> list[tup
         if to is not None and strict and any(not _blank(row.get(k)) and not _blank(kept[to].get(k)) and row[k] != kept[to][k] for k in ("instagram_handle", "website_domain")):
             to = None
         if to is None:
-            to = next((i for i, other in enumerate(kept) if _near(other, row, threshold)), None)
+            to = next((i for i in there.get(_place(row), ()) if _near(kept[i], row, threshold)), None)
             kind = "name_city"
         if to is None:
             kept.append(dict(row))
             to = len(kept) - 1
+            there.setdefault(_place(row), []).append(to)
             for k in keys:
                 owner[k] = to
         else:
             gone.append((row, kept[to]["seq"], kind))
+            was = _place(kept[to])
             kept[to] = fill(kept[to], {k: v for k, v in row.items() if k != "seq"})
+            if _place(kept[to]) != was:
+                insort(there.setdefault(_place(kept[to]), []), to)
             for k in _keys(kept[to]):
                 owner.setdefault(k, to)
     return [(r, None, None) for r in kept] + gone
@@ -145,8 +153,6 @@ def _merged(leads: DataFrame, keys: DataFrame, merge) -> DataFrame:
     names = leads.columns
 
     def component(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > COMPONENT:
-            raise ValueError(f"component {pdf['label'].iloc[0]} has {len(pdf)} rows")
         items = []
         for r in pdf.sort_values("seq")[names].to_dict("records"):
             items.append({k: (list(v) if hasattr(v, "tolist") and not isinstance(v, (str, int, float)) and getattr(v, "shape", None) else (None if _blank(v) else v)) for k, v in r.items()})
@@ -161,6 +167,72 @@ def _merged(leads: DataFrame, keys: DataFrame, merge) -> DataFrame:
     return joined.unionByName(alone.select(*joined.columns))
 
 
+FULL = ["website", "phone_e164", "email", "address", "city", "state", "rating", "review_count", "instagram", "company_description"]
+
+
+def verdict(a: dict, b: dict) -> tuple[str, str | None]:
+    """As compare, for two rows in a worker."""
+    same = lambda k: not _blank(a.get(k)) and a[k] == b.get(k)
+    low = lambda r, k: (r.get(k) or "").lower()
+    name = same("name_normalized") or similarity(a.get("name_normalized"), b.get("name_normalized")) >= 0.90
+    city = low(a, "city") != "" and low(a, "city") == low(b, "city") and low(a, "state") == low(b, "state")
+    site = low(a, "website") != "" and low(a, "website").rstrip("/") == low(b, "website").rstrip("/")
+    rules = [
+        (same("domain") and site and (name or city), "duplicate", "website"),
+        (same("domain") and name, "duplicate", "domain+name"),
+        (same("domain") and city, "duplicate", "domain+city"),
+        (same("domain"), "related_location", "domain"),
+        (name and city, "duplicate", "company+city"),
+        (name and same("phone_e164"), "duplicate", "company+phone"),
+        (same("phone_e164"), "related_location", "phone"),
+        (name and same("email"), "duplicate", "company+email"),
+    ]
+    return next(((v, on) for holds, v, on in rules if holds), ("distinct", None))
+
+
+def merge_by_verdict(rows: list[dict]) -> list[tuple[dict, int | None, str | None]]:
+    """The V1 pass: a row joins the first kept row of its domain, its name and city, or its phone that
+    it is a duplicate of; the fuller of the two survives, and the other fills its gaps."""
+    kept: list[dict] = []
+    blocks: dict[tuple[str, str], list[int]] = {}
+    members: list[list[tuple[dict, str]]] = []
+    for row in rows:
+        keys = [(k, row[k]) for k in ("domain", "name_city", "phone_e164") if not _blank(row.get(k))]
+        if not _blank(row.get("name_normalized")) and not _blank(row.get("city")):
+            keys.insert(len([k for k, _ in keys if k == "domain"]), ("name_city", f"{row['name_normalized']}|{row['city'].lower()}"))
+        near = dict.fromkeys(i for k in keys for i in blocks.get(k, ()))
+        to, on = next(((i, on) for i in near for v, on in [verdict(kept[i], row)] if v == "duplicate"), (None, None))
+        if to is None:
+            kept.append(dict(row))
+            members.append([])
+            for k in keys:
+                blocks.setdefault(k, []).append(len(kept) - 1)
+            continue
+        full = lambda r: sum(not _blank(r.get(k)) and r[k] != 0 for k in FULL)
+        best, other = (dict(row), kept[to]) if full(row) > full(kept[to]) else (kept[to], row)
+        members[to].append((other, on))
+        kept[to] = {k: other.get(k) if _blank(v) and not isinstance(v, list) else v for k, v in best.items()}
+    return [(r, None, None) for r in kept] + [(r, kept[i]["seq"], on) for i, m in enumerate(members) for r, on in m]
+
+
+def dedupe_leads(leads: DataFrame) -> DataFrame:
+    """Leads with a unique `seq`, and domain, website, name_normalized, city, state, phone_e164 and
+    email. The same rows with duplicate_of (the last survivor of the place, null for survivors) and
+    matched_on. A survivor stays filed under the keys of the first row of its place."""
+    named = F.when(c("name_normalized").isNotNull() & c("city").isNotNull(), F.concat(F.lit("name|"), "name_normalized", F.lit("|"), F.lower("city")))
+    keys = F.array_compact(F.array(F.concat(F.lit("domain|"), "domain"), named, F.concat(F.lit("phone|"), "phone_e164")))
+    return _merged(leads, leads.select("seq", F.explode(keys).alias("k")), merge_by_verdict)
+
+
+def related_locations(unique: DataFrame) -> DataFrame:
+    """Survivors of dedupe_leads that share a domain, or a phone under different domains: each one with
+    the first of its group by seq. A group of n gives n - 1 rows, not all pairs."""
+    keys = F.array_compact(F.array(*(F.when(c(k).isNotNull(), F.struct(F.lit(n).alias("matched_on"), c(k).alias("value"))) for n, k in (("domain", "domain"), ("phone", "phone_e164")))))
+    rows = unique.select("seq", F.explode(keys).alias("k")).select("seq", "k.*")
+    hub = rows.groupBy("matched_on", "value").agg(F.min("seq").alias("first"), F.count("*").alias("members")).where("members > 1")
+    return rows.join(hub, ["matched_on", "value"]).where("seq <> first").select("seq", "first", "matched_on", "members")
+
+
 def compare(a: str, b: str) -> Column:
     """struct(verdict, matched_on) of two leads given as struct columns: duplicate,
     related_location or distinct."""

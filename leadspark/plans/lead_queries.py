@@ -79,6 +79,31 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ID.key_components(table(spark, sf_dir, "companies"), "company_id", {"website_domain": "website_domain", "phone_e164": "phone"})
 
 
+#: Rows of a sheet: a dozen share sites, names and phones among them.
+SHEET = {
+    "seq": "c_custkey",
+    "name_normalized": "case when c_custkey % 11 <> 0 then concat('glow shop ', cast(floor(c_custkey / 12) as string), case c_custkey % 3 when 0 then ' spa' when 1 then ' dental' else '' end) end",
+    "website": "case c_custkey % 4 when 0 then concat('https://shop', cast(floor(c_custkey / 6) as string), '.com/') when 1 then concat('https://shop', cast(floor(c_custkey / 6) as string), '.com') end",
+    "domain": "case when c_custkey % 4 <> 3 then concat('shop', cast(floor(c_custkey / 6) as string), '.com') end",
+    "phone_e164": "case when c_custkey % 5 <> 0 then concat('+1', cast(floor(c_custkey / 4) as string)) end",
+    "email": "case when c_custkey % 3 = 0 then lower(c_name) end",
+    "state": "case when c_custkey % 7 <> 0 then 'CA' end",
+    "city": "case c_custkey % 5 when 0 then 'Los Angeles' when 1 then 'los angeles' when 2 then 'San Diego' when 3 then 'Fresno' end",
+}
+
+
+def _v1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*(f"{e} as {n}" for n, e in SHEET.items()))
+
+
+def _v1_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DD.dedupe_leads(_v1_rows(spark, sf_dir))
+
+
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DD.related_locations(_v1_deduped(spark, sf_dir).where("duplicate_of is null"))
+
+
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = leads(spark, sf_dir).withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
     return DD.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
@@ -108,6 +133,8 @@ QUERIES = {
     "r02_file_niche": lambda s, d: RV.file_niches(_typed(s, d), "niche"),
     "r03_relevance": _relevance,
     "d03_dedupe_batch": _deduped,
+    "d08_dedupe_leads": _v1_deduped,
+    "d08_related_locations": _related,
     "c01_personal": lambda s, d: cleaned(s, d).select("id", "personal_score", F.array_join("personal_signals", "|").alias("signals")),
     "c03_location": lambda s, d: cleaned(s, d).select("id", "location_reason"),
     "c04_clean_leads": lambda s, d: cleaned(s, d).select("id", "keep", F.array_join("reasons", "|").alias("reasons"), "suspected_reseller", F.array_join("niche_hits", "|").alias("hits")),
@@ -232,9 +259,4 @@ ORACLES = {
    {{'key_type': 'instagram_handle', 'key_value': h, 'priority': 0}}, {{'key_type': 'website_domain', 'key_value': domain, 'priority': 1}}, {{'key_type': 'phone_e164', 'key_value': phone_e164, 'priority': 3}},
    {{'key_type': 'email', 'key_value': address, 'priority': 4}}, {{'key_type': 'name_city', 'key_value': name_key || '|' || lower(coalesce(town, '')) || '|' || upper(coalesce(st, '')), 'priority': 5}}]) as k from lead2) t where k.key_value is not null""",
     "d09_shared_domains": with_sql("select website_domain, count(*) as n, string_agg(cast(company_id as string), ',' order by company_id) as members from companies where website_domain is not null group by 1 having count(*) > 1"),
-    "d03_key_components": with_sql(
-        """select node, min(label) as label from (select a.company_id as node, least(min(b.company_id), min(d.company_id)) as label from companies a
-   left join companies b on b.website_domain = a.website_domain left join companies d on d.phone = a.phone group by 1) t group by 1"""
-    ),
 }
-del ORACLES["d03_key_components"]  # a closure of unknown depth: tested against union-find

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leadspark.operators import dedup as D
 from leadspark.operators import identity as ID
-from leadspark.plans.lead_queries import leads
+from leadspark.plans.lead_queries import _v1_rows, leads
 
 SCHEMA = "seq long, instagram_handle string, website_domain string, phone_e164 string, email string, name_normalized string, city string, state string, ig_followers long, products_services array<string>, products_count long"
 
@@ -60,3 +60,38 @@ def test_on_derived_leads(spark):
     rows = leads(spark, "/root/testdata/sf0.001").withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
     got = D.dedupe_batch(rows)
     assert got.count() == rows.count() and got.where("duplicate_of is not null").count() > 0
+
+
+def test_v1_components_change_nothing(spark):
+    rows = _v1_rows(spark, "/root/testdata/sf0.001")
+    names = rows.columns
+    want = D.merge_by_verdict([r.asDict() for r in rows.orderBy("seq").collect()])
+    got = D.dedupe_leads(rows.repartition(5)).collect()
+    by_seq = lambda rows: sorted(rows, key=lambda r: r[0])
+    assert by_seq([(r.seq, r.duplicate_of, r.matched_on) for r in got]) == by_seq([(r["seq"], to, on) for r, to, on in want])
+    merged = lambda rows: by_seq([tuple(r[n] for n in names) for r in rows])
+    assert merged(r for r in got if r.duplicate_of is None) == merged(r for r, to, _ in want if to is None)
+    assert any(r.duplicate_of is not None for r in got)
+
+
+def test_v1_merge(spark):
+    row = lambda seq, **k: dict(dict.fromkeys(V1), seq=seq, **k)
+    data = [
+        row(1, domain="a.com", website="https://a.com", name_normalized="glow", city="LA", state="CA"),
+        row(2, domain="a.com", website="https://a.com/", name_normalized="glow", city="LA", state="CA", email="m@a.com", phone_e164="+1"),  # fuller: survives
+        row(3, domain="a.com", name_normalized="bright", city="SF", state="CA"),  # another place of one site
+        row(4, name_normalized="Zed", phone_e164="+9"),
+        row(5, name_normalized="other", phone_e164="+9"),  # a switchboard
+        row(6, name_normalized="glow", city="la", state="ca"),
+        row(7),
+    ]
+    schema = "seq long, domain string, website string, name_normalized string, city string, state string, phone_e164 string, email string"
+    df = D.dedupe_leads(spark.createDataFrame([tuple(r[k] for k in ["seq", *V1]) for r in data], schema))
+    got = {r.seq: (r.duplicate_of, r.matched_on) for r in df.collect()}
+    assert got == {1: (2, "website"), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (2, "company+city"), 7: (None, None)}
+    links = D.related_locations(df.where("duplicate_of is null")).collect()
+    assert sorted((r.seq, r["first"], r.matched_on, r.members) for r in links) == [(3, 2, "domain", 2), (5, 4, "phone", 2)]
+    assert D.dedupe_leads(df.limit(0).drop("duplicate_of", "matched_on")).count() == 0
+
+
+V1 = "domain website name_normalized city state phone_e164 email".split()
