@@ -269,3 +269,36 @@ def next_stage(stage: Column) -> Column:
     path = [s for s, p, _ in STAGES if p <= 90]
     known = F.create_map(*(F.lit(x) for a, b in zip(path, path[1:]) for x in (a, b)))
     return F.try_element_at(known, stage)
+
+
+def is_terminal(stage: Column) -> Column:
+    return F.coalesce(stage.isin([s for s, _, end in STAGES if end]), F.lit(False))
+
+
+def can_advance(a: Column, b: Column) -> Column:
+    """Stages never go back."""
+    return stage_position(b) >= stage_position(a)
+
+
+#: The steps of a lead in order, each with the column of its time and the stage that does it.
+STEPS = [
+    ("Scraped", "discovered_at", None), ("Cleaned", "cleaned_at", "CLEANED"), ("Enriched", "enriched_at", "ENRICHED"), ("Qualified", "qualified_at", "QUALIFIED"),
+    ("AI Research", "researched_at", "RESEARCHED"), ("Message Generated", "message_generated_at", "MESSAGE_GENERATED"), ("Approved", "approved_at", "PENDING_APPROVAL"),
+    ("Sent", "first_sent_at", "READY_FOR_OUTREACH"), ("Replied", "replied_at", None),
+]
+
+
+def resume_stage() -> Column:
+    """The first stage whose work has no time yet; none after the last, or for a lead that failed to qualify."""
+    out: Column | None = None
+    for _, at, stage in STEPS:
+        if stage == "RESEARCHED":
+            out = out.when(F.coalesce(~F.col("qualified"), F.lit(False)), F.lit(None).cast("string"))
+        if stage:
+            out = F.when(F.col(at).isNull(), stage) if out is None else out.when(F.col(at).isNull(), stage)
+    return out
+
+
+def progress() -> Column:
+    """array<struct<step, done>> of a lead."""
+    return F.array(*(F.struct(F.lit(step).alias("step"), F.col(at).isNotNull().alias("done")) for step, at, _ in STEPS))

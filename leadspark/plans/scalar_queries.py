@@ -109,6 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         }
     ),
     "s12_days_since": lambda spark, d: table(spark, d, "leads").select("lead_id", S.days_since(col("replied_at"), NOW).alias("days")),
+    "s22_resume": lambda spark, d: table(spark, d, "leads").select(
+        "lead_id", S.resume_stage().alias("resume"), S.is_terminal(col("stage")).alias("terminal"), S.can_advance(col("stage"), F.lit("REPLIED")).alias("may_reply"),
+        F.array_join(F.transform(F.filter(S.progress(), lambda p: p["done"]), lambda p: p["step"]), ", ").alias("done"),
+    ),
     "s22_stage": lambda spark, d: table(spark, d, "leads").select("lead_id", S.stage_position(col("stage")).alias("position"), S.next_stage(col("stage")).alias("following")),
 }
 
@@ -154,5 +158,13 @@ ORACLES: dict[str, str] = {
         f"select id, k as kind, {_RETRYABLE} and attempt < 3 as retry, case when {_RETRYABLE} then cast(least(300000, 2000 * 2 ** greatest(0, attempt - 1)) as bigint) else 0 end as delay_ms from (select *, {_KIND} as k from raw) t"
     ),
     "s12_days_since": with_sql(f"select lead_id, cast(floor((epoch(timestamp '{NOW}') - epoch(replied_at)) / 86400) as bigint) as days from leads"),
+    "s22_resume": with_sql(
+        "select lead_id, case when cleaned_at is null then 'CLEANED' when enriched_at is null then 'ENRICHED' when qualified_at is null then 'QUALIFIED' when not qualified then null when researched_at is null then 'RESEARCHED'"
+        " when message_generated_at is null then 'MESSAGE_GENERATED' when approved_at is null then 'PENDING_APPROVAL' when first_sent_at is null then 'READY_FOR_OUTREACH' end as resume,"
+        f" stage in ('NOT_INTERESTED', 'CLOSED', 'DISQUALIFIED') as terminal, {_STAGE_CASE} <= 100 as may_reply, concat_ws(', ', 'Scraped', case when cleaned_at is not null then 'Cleaned' end,"
+        " case when enriched_at is not null then 'Enriched' end, case when qualified_at is not null then 'Qualified' end, case when researched_at is not null then 'AI Research' end,"
+        " case when message_generated_at is not null then 'Message Generated' end, case when approved_at is not null then 'Approved' end, case when first_sent_at is not null then 'Sent' end,"
+        " case when replied_at is not null then 'Replied' end) as done from leads"
+    ),
     "s22_stage": with_sql(f"select lead_id, {_STAGE_CASE} as position, case stage " + " ".join(f"when '{a}' then '{b}'" for a, b in zip(_NEXT, _NEXT[1:])) + " end as following from leads"),
 }
