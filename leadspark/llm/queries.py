@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leadspark.llm import op1_secrets, op2_suffix_array, op3_line_dedup, op4_decontaminate, op5_sentencepiece, op6_ngram_join, op7_lm, op8_token_tables, op9_quality, op10_automaton, op11_repair, op12_tensored
+from leadspark.llm import op1_secrets, op2_suffix_array, op3_line_dedup, op4_decontaminate, op5_sentencepiece, op6_ngram_join, op7_lm, op8_token_tables, op9_quality, op10_automaton, op11_repair, op12_tensored, op13_runs
 
-MODULES = [op1_secrets, op2_suffix_array, op3_line_dedup, op4_decontaminate, op5_sentencepiece, op6_ngram_join, op7_lm, op8_token_tables, op9_quality, op10_automaton, op11_repair, op12_tensored]
+MODULES = [op1_secrets, op2_suffix_array, op3_line_dedup, op4_decontaminate, op5_sentencepiece, op6_ngram_join, op7_lm, op8_token_tables, op9_quality, op10_automaton, op11_repair, op12_tensored, op13_runs]
 
 
 def queries() -> dict:
