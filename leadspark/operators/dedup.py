@@ -1,4 +1,4 @@
-"""One row for each real business: ordered merges inside components of shared keys.
+"""One row for each real business: verdicts on pairs and the merge by verdict.
 
 Which rows merge depends on their order, so components only bound the work: rows that share
 no key at all never meet. Inside a component an ordered pass decides, in a worker. Besides
@@ -8,7 +8,6 @@ and state that no single row had) and by blocks of near names in a city.
 
 from __future__ import annotations
 
-from bisect import insort
 from functools import lru_cache
 
 import pandas as pd
@@ -20,7 +19,6 @@ from leadspark.functions import scalars as S
 from leadspark.operators import identity as ID
 
 c = F.col
-COUNTS = ["ig_followers", "ig_following", "ig_posts", "products_count"]
 
 
 @lru_cache(100_000)
@@ -43,106 +41,10 @@ def similarity(a: str | None, b: str | None) -> float:
     return 0.5 * (1 - _edit(a, b) / max(len(a), len(b))) + 0.5 * len(x & y) / len(x | y)
 
 
-def near_name_keys(name: str, city: str, state: str) -> Column:
-    """Blocks in which near names of one city and state meet: the set of words, and for six
-    words or more the set without each one of them."""
-    words = F.array_sort(F.array_distinct(F.split(c(name), " ")))
-    place = F.concat_ws("|", F.lower(city), F.upper(state))
-    whole = F.concat_ws("|", place, F.array_join(words, " "))
-    fewer = F.transform(words, lambda w: F.concat_ws("|", place, F.array_join(F.array_remove(words, w), " ")))
-    known = c(name).isNotNull() & c(city).isNotNull() & c(state).isNotNull()
-    return F.when(known & (F.size(words) >= 6), F.concat(F.array(whole), fewer)).when(known, F.array(whole)).otherwise(F.array().cast("array<string>"))
-
-
 def _blank(v) -> bool:
     return v is None or (isinstance(v, float) and v != v) or (isinstance(v, str) and v == "")
 
 
-def _keys(row: dict) -> list[tuple[str, str]]:
-    out = [(k, str(row[k])) for k in ID.PRIORITY[:-1] if not _blank(row.get(k))]
-    if not _blank(row.get("name_normalized")):
-        place = [row.get(k) if not _blank(row.get(k)) else "" for k in ("city", "state")]
-        out.append(("name_city", f"{row['name_normalized']}|{place[0].lower()}|{place[1].upper()}"))
-    return out
-
-
-def fill(base: dict, more: dict) -> dict:
-    """Gaps filled, lists joined in order without repeats in any case, counts at their largest."""
-    out = dict(base)
-    for k, v in more.items():
-        if isinstance(v, list):
-            have = list(out.get(k) or [])
-            low = {str(x).lower() for x in have}
-            for x in v:
-                if str(x).lower() not in low:
-                    low.add(str(x).lower())
-                    have.append(x)
-            out[k] = have
-        elif _blank(v):
-            continue
-        elif _blank(out.get(k)):
-            out[k] = v
-        elif k in COUNTS:
-            out[k] = max(out[k], v)
-    if "products_count" in out:
-        out["products_count"] = len(out.get("products_services") or []) or out["products_count"] or None
-    return out
-
-
-def _place(row: dict) -> tuple[str, str]:
-    return (row.get("city") or "").lower(), (row.get("state") or "").upper()
-
-
-def _near(a: dict, b: dict, threshold: float) -> bool:
-    for k in ("instagram_handle", "website_domain"):
-        if not _blank(a.get(k)) and not _blank(b.get(k)) and a[k] != b[k]:
-            return False
-    if any(_blank(a.get(k)) or _blank(b.get(k)) for k in ("city", "state")):
-        return False
-    same = a["city"].lower() == b["city"].lower() and a["state"].upper() == b["state"].upper()
-    return same and similarity(a.get("name_normalized"), b.get("name_normalized")) >= threshold
-
-
-def merge_in_order(rows: list[dict], threshold: float, strict: bool) -> list[tuple[dict, int | None, str | None]]:
-    """(row, seq of the survivor it went into, key kind) of each row; survivors come merged."""
-    kept: list[dict] = []
-    owner: dict[tuple[str, str], int] = {}
-    there: dict[tuple[str, str], list[int]] = {}
-    gone = []
-    for row in rows:
-        keys = _keys(row)
-        to, kind = next(((owner[k], k[0]) for k in keys if k in owner), (None, None))
-        if to is not None and strict and any(not _blank(row.get(k)) and not _blank(kept[to].get(k)) and row[k] != kept[to][k] for k in ("instagram_handle", "website_domain")):
-            to = None
-        if to is None:
-            to = next((i for i in there.get(_place(row), ()) if _near(kept[i], row, threshold)), None)
-            kind = "name_city"
-        if to is None:
-            kept.append(dict(row))
-            to = len(kept) - 1
-            there.setdefault(_place(row), []).append(to)
-            for k in keys:
-                owner[k] = to
-        else:
-            gone.append((row, kept[to]["seq"], kind))
-            was = _place(kept[to])
-            kept[to] = fill(kept[to], {k: v for k, v in row.items() if k != "seq"})
-            if _place(kept[to]) != was:
-                insort(there.setdefault(_place(kept[to]), []), to)
-            for k in _keys(kept[to]):
-                owner.setdefault(k, to)
-    return [(r, None, None) for r in kept] + gone
-
-
-def dedupe_batch(leads: DataFrame, threshold: float = 0.92, strict_conflicts: bool = False) -> DataFrame:
-    """leads: canonical rows with a unique `seq` that orders them. The same rows with
-    duplicate_of (seq, null for survivors) and matched_on; survivors hold the merged values."""
-    keys = ID.identity_keys(leads, "seq").select("seq", F.concat_ws("|", "key_type", "key_value").alias("k"))
-    names = leads.where(c("name_normalized").isNotNull()).select("seq", F.concat(F.lit("name|"), c("name_normalized")).alias("k"))
-    near = leads.select("seq", F.explode(near_name_keys("name_normalized", "city", "state")).alias("k")).select("seq", F.concat(F.lit("near|"), "k").alias("k"))
-    return _merged(leads, keys.unionByName(names).unionByName(near), lambda rows: merge_in_order(rows, threshold, strict_conflicts))
-
-
 def _merged(leads: DataFrame, keys: DataFrame, merge) -> DataFrame:
     flat = keys.distinct()
     hub = flat.groupBy("k").agg(F.min("seq").alias("b"), F.max("seq").alias("z")).where("b <> z").select("k", "b")

@@ -10,6 +10,7 @@ from leadspark.functions import scalars as S
 from leadspark.operators import cleaning as CL
 from leadspark.operators import dedup as DD
 from leadspark.operators import identity as ID
+from leadspark.operators import ordered_merge as OM
 from leadspark.operators import relevance as RV
 from leadspark.operators import scoring as SC
 from leadspark.plans import scalar_queries as SQ
@@ -106,7 +107,7 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = leads(spark, sf_dir).withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
-    return DD.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
+    return OM.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 
 from leadspark.operators import dedup as D
 from leadspark.operators import identity as ID
+from leadspark.operators import ordered_merge as OM
+from leadspark.operators.dedup import similarity
 from leadspark.plans.lead_queries import _v1_rows, leads
 
+from .ordered_pass import merge_in_order
+
 SCHEMA = "seq long, instagram_handle string, website_domain string, phone_e164 string, email string, name_normalized string, city string, state string, ig_followers long, products_services array<string>, products_count long"
 
 
@@ -20,22 +24,76 @@ def rows(n, seed):
     return out
 
 
-def test_components_change_nothing(spark):
-    for seed in (1, 2):
-        data = rows(60, seed)
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        want = D.merge_in_order([dict(zip(names, x)) for x in data], 0.92, False)
-        got = D.dedupe_batch(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
-        assert sorted((r.seq, r.duplicate_of, r.matched_on) for r in got) == sorted(((r["seq"], to, kind) for r, to, kind in want), key=lambda x: x[0])
-        mine = {r.seq: (r.instagram_handle, r.ig_followers, list(r.products_services), r.products_count) for r in got if r.duplicate_of is None}
-        assert mine == {r["seq"]: (r["instagram_handle"], r["ig_followers"], r["products_services"], r["products_count"]) for r, to, _ in want if to is None}
+def same_as_ordered(spark, data, threshold=0.92):
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    want = merge_in_order([dict(zip(names, x)) for x in data], threshold)
+    got = OM.dedupe_batch(spark.createDataFrame(data, SCHEMA).repartition(5), threshold).collect()
+    assert sorted((r.seq, r.duplicate_of, r.matched_on) for r in got) == sorted(((r["seq"], to, kind) for r, to, kind in want), key=lambda x: x[0])
+    listed = lambda v: None if v is None else list(v)
+    mine = {r.seq: tuple(listed(r[n]) if n == "products_services" else r[n] for n in names) for r in got if r.duplicate_of is None}
+    assert mine == {r["seq"]: tuple(r[n] for n in names) for r, to, _ in want if to is None}
+    return got
+
+
+def test_equal_to_the_ordered_pass(spark):
+    for seed in (1, 2, 3):
+        same_as_ordered(spark, rows(60, seed))
+
+
+def test_equal_on_a_thousand_inputs(spark):
+    """Each input has values of its own, so that one run holds them all."""
+    data = []
+    for k in range(1000):
+        for i, handle, site, phone, email, name, city, state, *rest in rows(9, 1000 + k):
+            own = lambda v, k=k: v and f"{v}{k}"
+            data.append((9 * k + i, own(handle), own(site), own(phone), email, name and f"n{k} {name}", own(city), state, *rest))
+    got = same_as_ordered(spark, data)
+    kinds = {r.matched_on for r in got}
+    assert {"instagram_handle", "website_domain", "phone_e164", "name_city", None} <= kinds
+
+
+def test_a_place_won_by_a_merge_is_compared(spark):
+    """A survivor gets its city from a row that shares its handle, then a near name of 16 words meets it there."""
+    long = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1 b2 b3 b4 b5 b6"
+    row = lambda seq, handle, name, city, state: (seq, handle, None, None, None, name, city, state, None, [], None)
+    data = [row(0, "h", f"{long} c1", None, None), row(1, "h", "else", "Austin", "TX"), row(2, None, f"{long} c2", "Austin", "TX"), row(3, "i", f"{long} c3", "Austin", "TX")]
+    got = {r.seq: (r.duplicate_of, r.matched_on) for r in same_as_ordered(spark, data)}
+    assert got == {0: (None, None), 1: (0, "instagram_handle"), 2: (0, "name_city"), 3: (None, None)}
+
+
+def test_chains_and_ties(spark):
+    """Each row shares a key with the one before: the first owns them one after the other."""
+    data = []
+    for i in range(40):
+        data.append((i, f"h{i // 2}" if i % 4 < 2 else None, f"s{(i + 1) // 2}" if i % 4 in (1, 2) else None, f"+{i // 4}" if i % 4 > 1 else None, f"m{(i + 2) // 4}" if i % 4 in (2, 3, 0) and i % 8 else None, f"n {i}", None, None, i, [f"P{i % 3}", "p1"], None))
+    same_as_ordered(spark, data)
+    same_as_ordered(spark, [(i, None, None, None, None, None, None, None, None, None, None) for i in range(5)])
+
+
+def test_blocks_hold_all_near_names(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    names = []
+    for _ in range(60):
+        base = r.sample(words, r.randint(1, 18))
+        for _ in range(4):
+            near = list(base)
+            for _ in range(r.randint(0, 2)):
+                near[r.randrange(len(near))] = r.choice(words)
+            r.random() < 0.3 and r.shuffle(near)
+            names.append(" ".join(near))
+    names = sorted(set(names))
+    for threshold in (0.92, 0.8):
+        blocks = {x.name_normalized: set(x.blocks) for x in OM.name_blocks(spark.createDataFrame([(n,) for n in names], "name_normalized string"), threshold).collect()}
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[:i] if similarity(a, b) >= threshold]
+        assert len(pairs) >= 10 and all(blocks[a] & blocks[b] for a, b in pairs)
 
 
 def test_merged_rows_merge_no_more(spark):
     data = [x for x in rows(40, 3)]
-    once = D.dedupe_batch(spark.createDataFrame(data, SCHEMA)).where("duplicate_of is null").drop("duplicate_of", "matched_on")
+    once = OM.dedupe_batch(spark.createDataFrame(data, SCHEMA)).where("duplicate_of is null").drop("duplicate_of", "matched_on")
     names = once.columns
-    again = D.merge_in_order([{k: (list(v) if isinstance(v, list) else v) for k, v in zip(names, r)} for r in sorted(once.collect(), key=lambda r: r.seq)], 0.92, False)
+    again = merge_in_order([{k: (list(v) if isinstance(v, list) else v) for k, v in zip(names, r)} for r in sorted(once.collect(), key=lambda r: r.seq)], 0.92)
     assert sum(to is not None for _, to, _ in again) <= 2  # a merged row may have won a new key
 
 
@@ -58,7 +116,7 @@ def test_compare_and_likely_same(spark):
 
 def test_on_derived_leads(spark):
     rows = leads(spark, "/root/testdata/sf0.001").withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
-    got = D.dedupe_batch(rows)
+    got = OM.dedupe_batch(rows)
     assert got.count() == rows.count() and got.where("duplicate_of is not null").count() > 0
 
 
