@@ -1,8 +1,8 @@
-"""Decisions, sent messages, outcomes and replies as tables applied to tables."""
+"""Failures, replies and companies as tables applied to tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.operators import identity as ID
@@ -32,60 +32,6 @@ def fail_leads(leads: DataFrame, failures: DataFrame) -> tuple[DataFrame, DataFr
     return out, errors.withColumn("next_retry_at", c("at") + F.make_interval(secs=retry_after_seconds(c("retry_count"))))
 
 
-def decide(outreach: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """decisions: (outreach_id, verdict, edited, by, at), verdict approve or reject. Drafts take
-    the first decision; the others come back as rejects with the reason."""
-    first = decisions.withColumn("r", F.row_number().over(Window.partitionBy("outreach_id").orderBy("at", "by")))
-    known = first.join(outreach.select("outreach_id", c("status").alias("was")), "outreach_id", "left")
-    open_ = c("was").isin("DRAFT", "PENDING_REVIEW")
-    why = F.when(c("was").isNull(), "unknown outreach").when(~open_, "not open").when(c("r") > 1, "already decided")
-    known = known.withColumn("why", why)
-    taken = known.where(c("why").isNull()).select("outreach_id", "verdict", "edited", c("by").alias("decided_by"), c("at").alias("decided_at"))
-    rows = outreach.join(taken, "outreach_id", "left")
-    yes = c("verdict") == "approve"
-    changed = rows.withColumns(
-        {
-            "status": F.when(yes, "APPROVED").when(c("verdict") == "reject", "REJECTED").otherwise(c("status")),
-            "message_edited": F.when(yes, c("edited")).otherwise(c("message_edited")),
-            "variation": F.when(yes & c("edited").isNotNull(), "custom").otherwise(c("variation")),
-            "approved_at": F.when(yes, c("decided_at")).otherwise(c("approved_at")),
-        }
-    ).drop("verdict", "edited")
-    return changed, known.where(c("why").isNotNull()).select("outreach_id", "verdict", "by", "at", "why")
-
-
-def mark_sent(outreach: DataFrame, sent: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sent: (outreach_id, sent_at). Idempotent: what was sent before keeps its time. (outreach,
-    conversations with a new one for each lead and channel that had none)."""
-    first = sent.groupBy("outreach_id").agg(F.min("sent_at").alias("_at"))
-    rows = outreach.join(first, "outreach_id", "left")
-    now = c("_at").isNotNull() & c("sent_at").isNull()
-    new = rows.where(now).select("lead_id", F.lit("instagram").alias("channel"), c("_at").alias("opened_at"))
-    new = new.groupBy("lead_id", "channel").agg(F.min("opened_at").alias("opened_at")).join(conversations.select("lead_id", "channel"), ["lead_id", "channel"], "left_anti")
-    out = rows.withColumns({"status": F.when(now, "SENT").otherwise(c("status")), "sent_at": F.coalesce("sent_at", "_at")}).drop("_at")
-    return out, conversations.unionByName(new)
-
-
-def set_outcomes(leads: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """outcomes: (lead_id, outcome, note, at). The last outcome stands (of equal times the last by
-    name), notes are appended in order."""
-    by = outcomes.groupBy("lead_id").agg(
-        F.max_by("outcome", F.struct("at", "outcome")).alias("outcome"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x["note"]), "\n").alias("more")
-    )
-    rows = leads.join(by, "lead_id", "left")
-    return rows.withColumns({"status": F.coalesce("outcome", "status"), "stage": F.coalesce("outcome", "stage"), "notes": F.nullif(F.concat_ws("\n", "notes", "more"), F.lit(""))}).drop("outcome", "more")
-
-
-def opt_out(leads: DataFrame, requests: DataFrame, suppressions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """requests: (lead_id). (leads, suppressions with the company and its handle)."""
-    rows = leads.join(requests.select("lead_id").distinct().withColumn("_out", F.lit(True)), "lead_id", "left")
-    gone = rows.where("_out")
-    pairs = F.array(F.struct(F.lit("company_id").alias("key_type"), c("company_id").cast("string").alias("key_value")), F.struct(F.lit("instagram_handle").alias("key_type"), c("instagram_handle").alias("key_value")))
-    new = gone.select(F.explode(pairs).alias("k")).select("k.*").where("key_value is not null")
-    out = rows.withColumn("status", F.when(c("_out"), "OPTED_OUT").otherwise(c("status"))).drop("_out")
-    return out, suppressions.unionByName(new).dropDuplicates(["key_type", "key_value"])
-
-
 def after_last_step(leads: DataFrame, followups: DataFrame, days: int = 90) -> DataFrame:
     """Leads whose last follow-up went out without a reply: to NURTURE, to be looked at again."""
     last = followups.where((c("kind") == "followup_3_final") & (c("state") == "SENT")).select("lead_id", c("due_at").alias("_last"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import settle
 from leadspark.config import rules as R
 from leadspark.functions import scalars as S
 from leadspark.operators import cleaning as CL
@@ -107,7 +108,8 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = leads(spark, sf_dir).withColumnRenamed("id", "seq").withColumn("products_count", F.size("products_services").cast("long"))
-    return OM.dedupe_batch(rows).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
+    # The derived rows are costly expressions that the merge reads several times.
+    return OM.dedupe_batch(settle(rows)).select("seq", "duplicate_of", "matched_on", "instagram_handle", "website_domain", "phone_e164", "products_count")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,50 +83,6 @@ def _failed(t) -> DataFrame:
     return O.fail_leads(leads, bad)[0].select("lead_id", "retry_count", "status", "last_error", "updated_at")
 
 
-_DRAFT = {
-    "outreach_id": "lead_id * 10 + line",
-    "status": "case when line = 1 then 'APPROVED' when lead_id % 2 = 0 then 'DRAFT' else 'SENT' end",
-    "approved_at": "case when line = 1 then created_at end",
-    "message_edited": "case when line = 1 then 'before' end",
-}
-
-
-def _drafts(t) -> DataFrame:
-    """One draft for each lead and line."""
-    return t("outreach").groupBy("lead_id", "line").agg(*(F.min(x).alias(x) for x in ("created_at", "variation", "status", "sent_at")))
-
-
-_ONE_DRAFT = "(select lead_id, line, min(created_at) as created_at, min(variation) as variation, min(status) as status, min(sent_at) as sent_at from outreach group by all)"
-
-
-def _decided(t) -> DataFrame:
-    rows = _drafts(t).selectExpr("lead_id", "line", "created_at", "variation", *(f"{e} as {n}" for n, e in _DRAFT.items()))
-    say = rows.where("lead_id % 3 = 0").select(
-        "outreach_id", F.when(c("line") % 2 == 0, "approve").otherwise("reject").alias("verdict"), F.when(c("lead_id") % 5 == 0, "better").alias("edited"), F.lit("me").alias("by"), c("created_at").alias("at")
-    )
-    return O.decide(rows, say)[0].select("outreach_id", "status", "variation", "message_edited", "approved_at")
-
-
-def _sent(t) -> DataFrame:
-    rows = _drafts(t).selectExpr("lead_id", "lead_id * 10 + line as outreach_id", "status", "sent_at")
-    news = _drafts(t).where("line <= 2").selectExpr("lead_id * 10 + line as outreach_id", "created_at + interval '3' day as sent_at")
-    known = t("leads").where("lead_id % 4 = 0").select("lead_id", F.lit("instagram").alias("channel"), c("discovered_at").alias("opened_at"))
-    return O.mark_sent(rows, news, known)[1].select("lead_id", "channel", F.col("opened_at").cast("timestamp").alias("opened_at"))
-
-
-def _outcomes(t) -> DataFrame:
-    leads = t("leads").withColumn("notes", F.when(c("lead_id") % 2 == 0, "old"))
-    said = t("messages").where("direction = 'inbound' and classification is not null").select("lead_id", F.upper("classification").alias("outcome"), c("kind").alias("note"), c("sent_at").alias("at"))
-    return O.set_outcomes(leads, said).select("lead_id", "status", "stage", "notes")
-
-
-def _opted_out(t) -> DataFrame:
-    leads = t("leads").withColumn("instagram_handle", F.when(c("lead_id") % 3 == 0, F.concat(F.lit("h"), c("company_id").cast("string"))))
-    asked = t("messages").where("classification = 'complaint'").select("lead_id")
-    known = leads.where("lead_id % 50 = 0").select(F.lit("company_id").alias("key_type"), c("company_id").cast("string").alias("key_value"))
-    return O.opt_out(leads, asked, known.distinct())[1].select("key_type", "key_value")
-
-
 def _nurture(t) -> DataFrame:
     leads = t("leads").withColumn("recheck_at", F.when(c("lead_id") % 2 == 0, F.lit("2020-01-01").cast("date")))
     return O.after_last_step(leads, _in_progress(t)).select("lead_id", "stage", "status", "recheck_at")
@@ -178,10 +134,6 @@ QUERIES = {
     "l05_cancel": _q(lambda t: L.cancel(_in_progress(t), t("leads")).select("lead_id", "step", "state", "cancel_reason")),
     "l05_reject_drafts": _q(lambda t: L.reject_drafts(t("outreach"), t("leads")).select("lead_id", "line", "part", "kind", "status")),
     "l02_failures": _q(_failed),
-    "l06_decisions": _q(_decided),
-    "l07_sent": _q(_sent),
-    "l08_outcomes": _q(_outcomes),
-    "l09_opt_out": _q(_opted_out),
     "l11_nurture": _q(_nurture),
     "st3_counters": _q(_counters),
 }
@@ -318,23 +270,6 @@ ORACLES = {
         """select lead_id, retry_count + coalesce(n, 0) as retry_count, case when n is null then status else 'ERROR' end as status,
   case when n is null then case when lead_id % 3 = 0 then 'earlier' end else message end as last_error, coalesce(failed_at, updated_at) as updated_at
   from leads left join (select lead_id, count(*) as n, last(kind order by sent_at, kind) as message, max(sent_at) as failed_at from messages where event_id % 3 = 1 group by 1) f using (lead_id)"""
-    ),
-    "l06_decisions": with_sql(
-        f"""select outreach_id, case when hit and line % 2 = 0 then 'APPROVED' when hit then 'REJECTED' else status end as status, case when hit and line % 2 = 0 and lead_id % 5 = 0 then 'custom' else variation end as variation,
-  case when hit and line % 2 = 0 then case when lead_id % 5 = 0 then 'better' end else message_edited end as message_edited, case when hit and line % 2 = 0 then created_at else approved_at end as approved_at
-  from (select lead_id, line, created_at, variation, {', '.join(f'{e} as {n}' for n, e in _DRAFT.items())}, lead_id % 3 = 0 and line > 1 and lead_id % 2 = 0 as hit from {_ONE_DRAFT} d) t"""
-    ),
-    "l07_sent": with_sql(
-        f"""select lead_id, 'instagram' as channel, cast(discovered_at as timestamp) as opened_at from leads where lead_id % 4 = 0
-  union all select lead_id, 'instagram', min(created_at + interval '3' day) from {_ONE_DRAFT} d where line <= 2 and sent_at is null and lead_id % 4 <> 0 group by 1"""
-    ),
-    "l08_outcomes": with_sql(
-        """select lead_id, coalesce(outcome, status) as status, coalesce(outcome, stage) as stage, nullif(concat_ws(chr(10), case when lead_id % 2 = 0 then 'old' end, more), '') as notes from leads left join
-  (select lead_id, last(upper(classification) order by sent_at, upper(classification)) as outcome, string_agg(kind, chr(10) order by sent_at, kind) as more from messages where direction = 'inbound' and classification is not null group by 1) o using (lead_id)"""
-    ),
-    "l09_opt_out": with_sql(
-        """select distinct * from (select 'company_id' as key_type, cast(company_id as varchar) as key_value from leads where lead_id % 50 = 0 or lead_id in (select lead_id from messages where classification = 'complaint')
-  union all select 'instagram_handle', concat('h', company_id) from leads where lead_id % 3 = 0 and lead_id in (select lead_id from messages where classification = 'complaint')) t"""
     ),
     "l11_nurture": _planned(
         f"""select lead_id, case when due is not null and replied_at is null then 'NURTURE' else stage end as stage, case when due is not null and replied_at is null then 'NO_RESPONSE' else status end as status,

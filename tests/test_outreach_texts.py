@@ -18,28 +18,8 @@ def test_failures_and_backoff(spark):
     assert {(r.next_retry_at - r.at).seconds for r in errors.collect()} == {16}
 
 
-def test_decisions_and_sending(spark):
-    drafts = spark.createDataFrame([(1, 10, "DRAFT", "a", None, None, None), (2, 10, "SENT", "a", T(1), T(1), "mine"), (3, 11, "DRAFT", "b", None, None, None)], "outreach_id int, lead_id int, status string, variation string, sent_at timestamp, approved_at timestamp, message_edited string")
-    d = spark.createDataFrame([(1, "approve", "edit", "me", T(2)), (1, "reject", None, "me", T(3)), (2, "approve", None, "me", T(2)), (9, "approve", None, "me", T(2)), (3, "reject", None, "me", T(2))], "outreach_id int, verdict string, edited string, by string, at timestamp")
-    out, rejects = O.decide(drafts, d)
-    assert {r.outreach_id: (r.status, r.variation) for r in out.collect()} == {1: ("APPROVED", "custom"), 2: ("SENT", "a"), 3: ("REJECTED", "b")}
-    assert {r.outreach_id: (r.approved_at, r.message_edited) for r in out.collect()} == {1: (T(2), "edit"), 2: (T(1), "mine"), 3: (None, None)}
-    assert sorted((r.outreach_id, r.why) for r in rejects.collect()) == [(1, "already decided"), (2, "not open"), (9, "unknown outreach")]
-    talks = spark.createDataFrame([], "lead_id int, channel string, opened_at timestamp")
-    sent = spark.createDataFrame([(1, T(5)), (2, T(6))], "outreach_id int, sent_at timestamp")
-    done, talks = O.mark_sent(out.select(*drafts.columns), sent, talks)
-    assert {r.outreach_id: r.sent_at for r in done.collect()} == {1: T(5), 2: T(1), 3: None} and talks.count() == 1
-    again, talks2 = O.mark_sent(done, sent, talks)
-    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, done.collect()), key=str) and talks2.count() == 1
-
-
-def test_outcomes_opt_out_and_nurture(spark):
+def test_nurture(spark):
     leads = spark.createDataFrame([(1, 7, "h", "NEW", "DM_SENT", None, None, None), (2, 8, None, "NEW", "DM_SENT", "old", T(1), T(4))], "lead_id int, company_id int, instagram_handle string, status string, stage string, notes string, replied_at timestamp, recheck_at timestamp")
-    o = spark.createDataFrame([(2, "CLOSED", "b", T(3)), (2, "INTERESTED", "a", T(2))], "lead_id int, outcome string, note string, at timestamp")
-    got = {r.lead_id: (r.status, r.notes) for r in O.set_outcomes(leads, o).collect()}
-    assert got == {1: ("NEW", None), 2: ("CLOSED", "old\na\nb")}
-    out, sup = O.opt_out(leads, spark.createDataFrame([(1,), (1,)], "lead_id int"), spark.createDataFrame([("company_id", "7")], "key_type string, key_value string"))
-    assert {r.lead_id: r.status for r in out.collect()} == {1: "OPTED_OUT", 2: "NEW"} and sup.count() == 2
     f = spark.createDataFrame([(1, "followup_3_final", "SENT", T(9)), (2, "followup_3_final", "SENT", T(9))], "lead_id int, kind string, state string, due_at timestamp")
     got = {r.lead_id: (r.stage, str(r.recheck_at)) for r in O.after_last_step(leads, f).collect()}
     assert got == {1: ("NURTURE", "2026-04-09 00:00:00"), 2: ("DM_SENT", "2026-01-04 00:00:00")}
