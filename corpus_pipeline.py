@@ -19,25 +19,29 @@ from leadspark.llm import op6_ngram_join as op6
 from leadspark.llm import op9_quality as op9
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """The rows with the keys d and th, as the operators name them."""
+def _named(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """(d, th, text, row): the keys of the operators, and the row (without some columns) as one
+    column, so that no column of the input meets one of theirs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "th": F.xxhash64(text)})
+    whole = F.struct(*(F.col(f"`{n}`") for n in docs.columns if n not in without))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), whole.alias("row"))
 
 
 @C.stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return op9.judge(docs, docs.columns).where("kept").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
+    return op9.judge(rows, ["row"]).where("kept").select("row.*")
 
 
 @C.stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; n_chars is counted anew."""
-    gone = op3.lines_to_drop(C.keyed(docs))
-    rows = _named(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    out = op3.without_lines(rows, gone).withColumn("text", F.col("kept"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = op3.without_lines(_named(docs, ("text",)), op3.lines_to_drop(C.keyed(docs)))
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*((new[n] if n in new else F.col("row")[n]).alias(n) for n in docs.columns))
 
 
 @C.stage
@@ -52,14 +56,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         out = once.unionByName(rows.join(first.where("n_links = 0").select("d", "th").distinct(), ["d", "th"], "left_semi"))
     else:
         out = rows.join(first.select("d", "th").distinct(), ["d", "th"], "left_semi")
-    return out.select(*docs.columns)
+    return out.select("row.*")
 
 
 @C.stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = op4.contaminated(docs, C.read(spark, sf_dir, "benchmark")).select("d", "th").distinct()
-    return _named(docs).join(found, ["d", "th"], "left_anti").select(*docs.columns)
+    return _named(docs).join(found, ["d", "th"], "left_anti").select("row.*")
 
 
 @C.stage
