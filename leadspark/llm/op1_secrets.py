@@ -1,10 +1,15 @@
 """Secrets in whole texts: fixed patterns, and literals assigned to sensitive names.
 
 The lexer reads assignments (`name = value`, `name: value`, `"name": value`,
-`name := value`, `name => value`) with their right sides: quoted or bare literals,
-names, `${name}`, joined by `+`. Names are bound in order of the text, so a literal
-that reaches a sensitive name through other names is found where it stands. A literal
-is scored by the most sensitive name that it reaches, its length and its entropy.
+`name := value`, `name => value`, `<name>value</name>`) with their right sides: quoted
+(also by three quotes), bare or called literals (`f("...")`: the quoted arguments), names,
+`${name}`, joined by `+`; after a colon the value may stand indented on the next line, and
+the pairs inside `name: {...}` count as that name's too. Names are bound in order of the
+text, so a literal that reaches a sensitive name through other names is found where it
+stands. A literal is scored by the most sensitive name that it reaches, its length and its
+entropy; the parts of a joined value, short ones too, by the whole value. In a sum a bare
+word is a name, and one that nothing is bound to adds nothing. Not read: conditionals,
+scopes (a name is bound for the rest of the text) and values with spaces inside.
 
 Defined results: a null text is empty and has no spans; every row gives one row, also
 exactly repeated ones; further columns are ignored; an empty table gives no rows.
@@ -41,10 +46,15 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "undefined", "
 LEAST = 0.6
 
 _NAME = r"""[A-Za-z_][A-Za-z0-9_.\-]*|"[A-Za-z_][A-Za-z0-9_.\- ]*"|'[A-Za-z_][A-Za-z0-9_.\- ]*'"""
-_TERM = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\$\{[A-Za-z_][\w.]*\}|[^\s,;+"'{}()\[\]<>|]+"""
-_PAIR = re.compile(rf"(?<![\w.$-])(?:{_NAME})[ \t]*(?:=>|:=|=|:)(?!=)[ \t]*(?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*")
-_HEAD = re.compile(rf"({_NAME})[ \t]*(?:=>|:=|=|:)[ \t]*")
+_TERM = r""""{3}[\s\S]*?"{3}|'{3}[\s\S]*?'{3}|[A-Za-z_][\w.]*\([^()\n]*\)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\$\{[A-Za-z_][\w.]*\}|[^\s,;+"'{}()\[\]<>|]+"""
+#: A value on the next line: indented, and not a pair itself.
+_NEXT = r"""[ \t]*(?:[|>][+-]?[ \t]*)?\n[ \t]+(?![^\s:"']+:(?:\s|\Z)|-\s)"""
+_PAIR = re.compile(rf"(?<![\w.$-])(?:{_NAME})[ \t]*(?:=>|:=|=|:{_NEXT}|:)(?!=)[ \t]*(?:{_TERM})(?:[ \t]*\+[ \t]*(?:{_TERM}))*")
+_HEAD = re.compile(rf"({_NAME})[ \t]*(?:=>|:=|=|:{_NEXT}|:)[ \t]*")
 _EACH = re.compile(_TERM)
+_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
+_GROUP = re.compile(rf"(?<![\w.$-])({_NAME})[ \t]*(?:=>|=|:)[ \t]*\{{([^{{}}]*)\}}")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>\s]{8,})</\1>")
 _IDENT = re.compile(r"[A-Za-z_][\w.]*\Z")
 
 
@@ -100,33 +110,46 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their scores. An assignment keeps
     links to its literals and to the assignments that its names stand for; scores go down
     the links once, so the work is in proportion to the links, not to what reaches a name."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     bound: dict[str, int] = {}
     terms: list[list[int | tuple[int, int, str]]] = []  # of each assignment
     own: list[float] = []
+    groups = [(m.start(2), m.end(2), s) for m in _GROUP.finditer(text) if (s := sensitivity(m.group(1)))] if "{" in text else []
+    inside = 0
     for pair in _PAIR.finditer(text):
         head = _HEAD.match(text, pair.start(), pair.end())
         if head is None:
             continue
         name = head.group(1).strip("\"'")
         mine: list[int | tuple[int, int, str]] = []
-        for term in _EACH.finditer(text, head.end(), pair.end()):
+        right = list(_EACH.finditer(text, head.end(), pair.end()))
+        for term in right:
             t = term.group()
-            if t[0] in "\"'":
+            if t[:3] in ('"""', "'''") and len(t) >= 6:
+                mine.append((term.start() + 3, term.end() - 3, t[3:-3]))
+            elif t[0] in "\"'":
                 mine.append((term.start() + 1, term.end() - 1, t[1:-1]))
+            elif t[-1] == ")" and "(" in t:
+                mine += [(term.start() + m.start(m.lastindex), term.start() + m.end(m.lastindex), m.group(m.lastindex)) for m in _QUOTED.finditer(t) if m.lastindex]
             elif t.startswith("${"):
                 if t[2:-1] in bound:
                     mine.append(bound[t[2:-1]])
             elif t in bound:
                 mine.append(bound[t])
-            elif t != "+":
+            elif t != "+" and not (_IDENT.match(t) and (len(right) > 1 or text[term.end() : term.end() + 1] == "(")):
                 mine.append((term.start(), term.end(), t))
         bound[name] = len(terms)
         if "." in name:
             bound[name.rpartition(".")[2]] = len(terms)
         terms.append(mine)
-        own.append(sensitivity(name))
+        while inside < len(groups) and groups[inside][1] <= pair.start():
+            inside += 1
+        around = groups[inside][2] if inside < len(groups) and groups[inside][0] <= pair.start() else 0.0
+        own.append(max(sensitivity(name), around))
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        terms.append([(m.start(2), m.end(2), m.group(2))])
+        own.append(sensitivity(m.group(1)))
     if not any(own):
         return []
     parts: list[int] = []  # 0, 1, or 2 for more
@@ -155,8 +178,8 @@ def literals(text: str) -> list[tuple[int, int, float]]:
                 whole[t] = max(whole[t], whole[i])
             elif reach[i]:
                 s = literal_score(reach[i], t[2])
-                s = max(s, whole[i]) if len(t[2]) >= 4 else s
-                if s >= LEAST:
+                s = max(s, whole[i])
+                if s >= LEAST and t[2]:
                     best[t[0], t[1]] = s
     return sorted((s, e, v) for (s, e), v in best.items())
 

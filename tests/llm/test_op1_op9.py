@@ -67,6 +67,19 @@ def test_all_parts_of_a_long_key():
     assert span[:2] == (len(name) + 5, len(name) + 14)
 
 
+def test_forms_of_assignments():
+    found = lambda text: [text[s:e] for s, e, _ in op1.literals(text)]
+    assert found('pwd = "a" + "B3" + "dE6" + "gH9" + "kL"') == ["a", "B3", "dE6", "gH9", "kL"]
+    assert found('pwd = "aB3dE6gH9kLm" + suffix') == ["aB3dE6gH9kLm"]
+    assert found('db_password = decode("aB3dE6gH9kLm", "utf8")')[0] == "aB3dE6gH9kLm"
+    assert found("token = make_token(user, 5)") == [] and found("auth_token = read_token (x)") in ([], ["read_token"])
+    assert found('secret_key = """aB3dE6gH9kLm"""') == ["aB3dE6gH9kLm"] and found("a = 1\npwd = '''x9Y8z7W6v5'''") == ["x9Y8z7W6v5"]
+    assert found("password:\n  aB3dE6gH9kLm\nnext: 1") == ["aB3dE6gH9kLm"] and found("api_secret: >-\n    aB3dE6gH9kLm") == ["aB3dE6gH9kLm"]
+    assert found("secrets:\n  name: largeandwide1\n") == [] and found("credentials: {value: aB3dE6gH9kLm, size: 3}") == ["aB3dE6gH9kLm"]
+    assert found("box: {value: aB3dE6gH9kLm}") == [] and found("<password>aB3dE6gH9kLm</password> <b>aB3dE6gH9kLm</b>") == ["aB3dE6gH9kLm"]
+    assert found("x = '' + ''\npassword = x") == []
+
+
 def plain(text):
     words = re.findall("[^\x20\x09-\x0d]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -45,6 +45,18 @@ def test_nulls_and_clashing_columns(spark):
     assert cp.line_dedup(spark, docs, "").count() == 4
 
 
+def test_columns_of_any_name_come_back(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    names = ["d", "th", "gone", "kept", "n_lines", "n_removed", "class", "class_th", "row", "n_words", "posterior", "label", "key", "name"]
+    rows = [(k, f"{good} {k}\n{'x' * 30} {k * 997}", "en", "s", 3, *(f"{n}{k}" for n in names)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (cp.quality_rules, cp.line_dedup, cp.ngram_join, cp.decontaminate):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.count() > 0
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names], stage
+
+
 def test_different_texts_on_one_id_stay(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (None, text(3)), (None, ""), (None, ""), (9, text(1))]
