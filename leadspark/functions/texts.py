@@ -72,31 +72,3 @@ def numbered_signals(signals: Column) -> Column:
     """One numbered line for each of array<struct<signal, evidence, confidence>>."""
     line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["signal"], F.lit(" ["), s["confidence"], F.lit("]: "), s["evidence"])
     return F.array_join(F.transform(signals, line), "\n")
-
-
-def _object(text: str | None) -> str | None:
-    """The first balanced JSON object of a text; braces in strings don't count."""
-    if text is None:
-        return None
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, escaped = 0, False, False
-        for i in range(at, len(text)):
-            x = text[i]
-            if quoted:
-                escaped, quoted = x == "\\" and not escaped, quoted and (x != '"' or escaped)
-            elif x == '"':
-                quoted = True
-            elif x == "{":
-                depth += 1
-            elif x == "}":
-                depth -= 1
-                if not depth:
-                    return text[at : i + 1]
-        at = text.find("{", at + 1)
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def extract_json(s: pd.Series) -> pd.Series:
-    return s.map(_object)

@@ -152,7 +152,7 @@ def accounts(leads: DataFrame) -> DataFrame:
             "business_instagram": F.coalesce(top["h"], F.get("given", F.lit(0))),
             "instagram_confidence": F.when((c("_n") > 0) & c("_clear"), "HIGH").when((c("_n") > 1) | (F.size("given") > 0), "MEDIUM").when(guess, "LOW").otherwise("NOT_FOUND"),
             "instagram_evidence": why,
-            "instagram_alternates": F.coalesce(F.transform(F.slice("ranked", F.lit(2), F.size("ranked")), lambda x: x["h"]), none),
+            "instagram_alternates": F.coalesce(F.transform(F.slice("ranked", F.lit(2), F.greatest(F.size("ranked"), F.lit(0))), lambda x: x["h"]), none),
             "instagram_candidate": F.when((c("_n") == 0) & (F.size("given") == 0) & guess, c("_guess")),
         }
     )

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leadspark.functions import contract as K
 from leadspark.functions import texts as X
 from leadspark.operators import lifecycle as L
 from leadspark.operators import outreach as O
@@ -40,7 +41,7 @@ def test_replies_and_companies(spark):
 def test_texts(spark):
     page = "<style>p{}</style><p>A &amp; B&#8217;s <b>shop</b></p><script>x<y</script><!-- no -->end"
     df = spark.createDataFrame([(page, 'Sure: {"a": "}{", "b": {"c": 1}} ok', "word " * 80)], "p string, j string, t string")
-    r = df.select(X.visible_text(F.col("p")).alias("v"), X.extract_json(F.col("j")).alias("j"), X.snippet(F.col("t"), F.lit(200), 40).alias("s"), X.snippet(F.col("p"), F.lit(1), 300).alias("whole")).first()
+    r = df.select(X.visible_text(F.col("p")).alias("v"), K.extract_json(F.col("j")).alias("j"), X.snippet(F.col("t"), F.lit(200), 40).alias("s"), X.snippet(F.col("p"), F.lit(1), 300).alias("whole")).first()
     assert r.v == "A & B’s shop end" and r.j == '{"a": "}{", "b": {"c": 1}}'
     assert r.s.startswith("...word") and r.s.endswith("word...") and r.whole == page
     sig = spark.sql("select array(named_struct('signal', 's', 'evidence', 'e', 'confidence', 'HIGH')) as x").select(X.numbered_signals(F.col("x")).alias("n")).first().n
