@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspark.config import rules as R
+from leadspark.operators.ranking import with_place
 
 c = F.col
 
@@ -27,9 +28,9 @@ def latest(history: DataFrame, key: str, *order: Column) -> DataFrame:
 def daily_release(approved: DataFrame, sent_today: DataFrame, limit: int) -> DataFrame:
     """approved: (campaign_id, is_initial, ready_at, item); sent_today: (campaign_id, is_initial, sent). Adds `released`."""
     rows = approved.join(sent_today, ["campaign_id", "is_initial"], "left")
-    order = Window.partitionBy("campaign_id", "is_initial").orderBy("ready_at", "item")
     room = F.greatest(F.lit(0), F.lit(limit) - F.coalesce("sent", F.lit(0)))
-    return rows.withColumn("rank", F.row_number().over(order)).withColumn("released", c("rank") <= room).drop("sent")
+    rows = with_place(rows, ["campaign_id", "is_initial"], [c("ready_at").asc(), c("item").asc()], "rank")
+    return rows.withColumn("released", c("rank") <= room).drop("sent")
 
 
 def priority_rank(priority: Column) -> Column:

@@ -5,10 +5,11 @@ A lead carries `signals`, an array of struct(signal, confidence, evidence) in or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.config import rules as R
+from leadspark.operators.ranking import with_place
 
 c = F.col
 VOLUME = "High public review volume"
@@ -206,5 +207,5 @@ def draft_gate(rows: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, by: str = "campaign_id") -> DataFrame:
     """T5: place in the queue of each campaign: priority, score (none last), age, key."""
-    order = Window.partitionBy(by).orderBy(F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).when(c("priority") == "low", 2).otherwise(3), c("icp_score").desc_nulls_last(), "created_at", "lead_id", "line", "part")
-    return rows.withColumn("place", F.row_number().over(order))
+    urgency = F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).when(c("priority") == "low", 2).otherwise(3)
+    return with_place(rows, [by], [urgency.asc(), c("icp_score").desc_nulls_last(), *(c(x).asc() for x in ("created_at", "lead_id", "line", "part"))])
