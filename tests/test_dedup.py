@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from leadspark.operators import dedup as D
 from leadspark.operators import identity as ID
 from leadspark.operators import ordered_merge as OM
-from leadspark.operators.dedup import similarity
 from leadspark.plans.lead_queries import _v1_rows, leads
 
-from .ordered_pass import merge_in_order
+from .ordered_pass import merge_by_verdict, merge_in_order, similarity
 
 SCHEMA = "seq long, instagram_handle string, website_domain string, phone_e164 string, email string, name_normalized string, city string, state string, ig_followers long, products_services array<string>, products_count long"
 
@@ -123,7 +122,7 @@ def test_on_derived_leads(spark):
 def test_v1_components_change_nothing(spark):
     rows = _v1_rows(spark, "/root/testdata/sf0.001")
     names = rows.columns
-    want = D.merge_by_verdict([r.asDict() for r in rows.orderBy("seq").collect()])
+    want = merge_by_verdict([r.asDict() for r in rows.orderBy("seq").collect()])
     got = D.dedupe_leads(rows.repartition(5)).collect()
     by_seq = lambda rows: sorted(rows, key=lambda r: r[0])
     assert by_seq([(r.seq, r.duplicate_of, r.matched_on) for r in got]) == by_seq([(r["seq"], to, on) for r, to, on in want])
@@ -132,6 +131,41 @@ def test_v1_components_change_nothing(spark):
     assert any(r.duplicate_of is not None for r in got)
 
 
+def v1_rows(n, seed):
+    r = random.Random(seed)
+    maybe = lambda p, xs: r.choice(xs) if r.random() < p else r.choice([None, ""])
+    names = ["glow medspa", "glow spa", "bright skin clinic of old town west", "bright skin clinic of old town wesx", "zed"]
+    return [(i, maybe(0.6, ["a.com", "b.com"]), maybe(0.5, ["https://A.com/", "https://a.com", "https://b.com"]), maybe(0.8, names), maybe(0.7, ["LA", "la", "SF"]), maybe(0.8, ["CA", "ca", "TX"]),
+             maybe(0.5, ["+1", "+2", "+3"]), maybe(0.5, ["m", "n"]), r.choice([None, 0.0, 4.5]), r.choice([None, 0, 7]), maybe(0.4, ["street"]), r.choice([None, [], ["x"]])) for i in range(n)]
+
+
+V1_SCHEMA = "seq long, domain string, website string, name_normalized string, city string, state string, phone_e164 string, email string, rating double, review_count int, address string, tags array<string>"
+
+
+def same_by_verdict(spark, data):
+    names = [x.split()[0] for x in V1_SCHEMA.split(", ")]
+    want = merge_by_verdict([dict(zip(names, x)) for x in data])
+    got = D.dedupe_leads(spark.createDataFrame(data, V1_SCHEMA).repartition(5)).collect()
+    key = lambda rows: sorted(rows, key=lambda x: x[0])
+    assert key((r.seq, r.duplicate_of, r.matched_on) for r in got) == key((r["seq"], to, on) for r, to, on in want)
+    value = lambda v, k: (tuple(v) if isinstance(v, list) else v if v != "" else None)
+    rowed = lambda r: tuple(value(r[k], k) for k in names)
+    assert key(rowed(r) for r in got) == key(rowed(r) for r, _, _ in want)
+    return got
+
+
+def test_v1_merge_equals_the_ordered_pass(spark):
+    for seed in (1, 2):
+        same_by_verdict(spark, v1_rows(70, seed))
+
+
+def test_v1_places_of_one_domain(spark):
+    """10,000 rows of one domain in some hundred cities, each led by a fuller row later on."""
+    data = [(i, "a.com", None, None, f"city {i % 100}", "CA", None, "m" if i > 9000 else None, None, None, None, None) for i in range(10_000)]
+    got = same_by_verdict(spark, data)
+    assert sum(r.duplicate_of is None for r in got) == 100 and {r.duplicate_of for r in got if r.duplicate_of} == set(range(9001, 9101))
+
+
 def test_v1_merge(spark):
     row = lambda seq, **k: dict(dict.fromkeys(V1), seq=seq, **k)
     data = [
