@@ -65,21 +65,51 @@ def lead_progress(leads: DataFrame) -> DataFrame:
     return leads.select("lead_id", "stage", S.stage_position(c("stage")).alias("position"), *(c(col).isNotNull().alias(k) for k, col in steps.items()))
 
 
-def daily_report(leads: DataFrame, outreach: DataFrame, messages: DataFrame, day: str) -> DataFrame:
-    """One grouped sum for each table, joined by campaign."""
-    on = lambda col: F.to_date(col) == F.lit(day).cast("date")
-    a = leads.groupBy("campaign_id").agg(
+#: Counters of the daily report, in its order.
+COUNTERS = [
+    "leads_discovered", "leads_enriched", "leads_evaluated", "leads_qualified", "messages_generated", "messages_approved", "messages_sent", "replies", "positive_replies",
+    "followups_due", "interested_total", "nurture_total", "not_interested_total", "errors_open",
+]
+
+
+def daily_report(campaigns: DataFrame, leads: DataFrame, outreach: DataFrame, messages: DataFrame, followups: DataFrame, errors: DataFrame, day: str) -> DataFrame:
+    """Q9: the counters of a day for each active campaign, with or without leads. followups: lead_id, state and
+    due_at; errors: lead_id, created_at and resolved. One grouped sum for each table, joined by campaign."""
+    at = F.lit(day).cast("date")
+    on = lambda col: F.to_date(col) == at
+    camp = leads.select("lead_id", "campaign_id")
+    # Rows are summed by lead before they meet the leads, so a campaign's rows never travel twice.
+    by_lead = lambda rows, **k: rows.groupBy("lead_id").agg(*(n(v).alias(name) for name, v in k.items()))
+    o = by_lead(outreach.where(on("created_at") | on("approved_at") | on("sent_at")), messages_generated=on("created_at"), messages_approved=on("approved_at"), messages_sent=on("sent_at"))
+    m = by_lead(messages.where((c("direction") == "inbound") & on("sent_at")), replies=F.lit(True), positive_replies=c("classification").isin(R.POSITIVE_REPLIES))
+    f = by_lead(followups.where((c("state") == "SCHEDULED") & (F.to_date("due_at") <= at)), followups_due=F.lit(True))
+    e = by_lead(errors.where(~c("resolved") & on("created_at")), errors_open=F.lit(True))
+    out = campaigns.where("status = 'active'").select("campaign_id")
+    own = leads.groupBy("campaign_id").agg(
         n(on("discovered_at")).alias("leads_discovered"),
+        n(on("enriched_at")).alias("leads_enriched"),
         n(on("qualified_at")).alias("leads_evaluated"),
         n(on("qualified_at") & c("qualified")).alias("leads_qualified"),
-        n(c("stage") == "INTERESTED").alias("interested_total"),
-        n(c("stage") == "NURTURE").alias("nurture_total"),
+        *(n(c("stage") == s).alias(f"{s.lower()}_total") for s in ("INTERESTED", "NURTURE", "NOT_INTERESTED")),
     )
-    camp = leads.select("lead_id", "campaign_id")
-    b = outreach.where(on("created_at") | on("sent_at")).join(camp, "lead_id").groupBy("campaign_id").agg(n(on("created_at")).alias("messages_generated"), n(on("sent_at")).alias("messages_sent"))
-    m = messages.where((c("direction") == "inbound") & on("sent_at")).join(camp, "lead_id").groupBy("campaign_id")
-    m = m.agg(F.count("*").alias("replies"), n(c("classification").isin(R.POSITIVE_REPLIES)).alias("positive_replies"))
-    return a.join(b, "campaign_id", "left").join(m, "campaign_id", "left").fillna(0, ["messages_generated", "messages_sent", "replies", "positive_replies"])
+    out = out.join(own, "campaign_id", "left")
+    for part in (o, m, f, e):
+        names = part.columns[1:]
+        sums = part.join(camp, "lead_id").groupBy("campaign_id").agg(*(F.sum(k).alias(k) for k in names))
+        out = out.join(sums, "campaign_id", "left")
+    return out.select(F.lit(day).cast("date").alias("day"), "campaign_id", *(F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in COUNTERS))
+
+
+def daily_objects(report: DataFrame, breakdowns: dict[str, DataFrame]) -> DataFrame:
+    """Q9 as objects: for each campaign and, with a null campaign_id, for all of them, the counters and each
+    breakdown (rows with a campaign_id) as a JSON list in the order of its columns. The totals are a
+    grouping set, so each table is summed once."""
+    out = report.groupingSets([["day", "campaign_id"], ["day"]], "day", "campaign_id").agg(*(F.sum(k).alias(k) for k in COUNTERS))
+    for name, rows in breakdowns.items():
+        item = F.struct(*rows.columns)
+        listed = rows.withColumn("item", item).groupingSets([["campaign_id"], []], "campaign_id").agg(F.to_json(F.sort_array(F.collect_list("item")), {"ignoreNullFields": "false"}).alias(name))
+        out = out.withColumnRenamed("campaign_id", "_id").join(listed, c("_id").eqNullSafe(c("campaign_id")), "left").drop("campaign_id").withColumnRenamed("_id", "campaign_id")
+    return out.select("day", "campaign_id", *COUNTERS, *(F.coalesce(k, F.lit("[]")).alias(k) for k in breakdowns))
 
 
 def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:

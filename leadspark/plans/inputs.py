@@ -94,12 +94,16 @@ EVENTS: Named = {
     "value": "value",
 }
 
+#: Campaigns that no lead belongs to yet, one of them at rest.
+QUIET: Named = {"campaign_id": "r_name", "status": "case when r_name = 'ASIA' then 'paused' else 'active' end"}
+
 _FROM = {
     "raw": (RAW, "customer"),
     "leads": (LEADS, "orders"),
     "outreach": (OUTREACH, "lineitem"),
     "companies": (COMPANIES, "customer join nation on c_nationkey = n_nationkey"),
     "messages": (EVENTS, "events"),
+    "quiet": (QUIET, "region"),
 }
 
 

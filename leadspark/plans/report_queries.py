@@ -94,6 +94,30 @@ def _counters(t) -> DataFrame:
     return ST.merge_counters(*halves)
 
 
+#: Messages moved to the days of the leads, drafts with a day of approval, errors from messages.
+_MOVED = "sent_at - interval '10164' day"
+_APPROVED = "case when status <> 'PENDING_REVIEW' then created_at + interval '1' day end"
+_ERRORS = {"created_at": _MOVED, "resolved": "event_id % 2 = 0"}
+
+
+def _report(t) -> DataFrame:
+    campaigns = t("quiet").unionByName(t("leads").select("campaign_id").distinct().withColumn("status", F.lit("active")))
+    messages = t("messages")
+    errors = messages.where("event_id % 3 = 1").select("lead_id", *(F.expr(e).alias(k) for k, e in _ERRORS.items()))
+    outreach = t("outreach").withColumn("approved_at", F.expr(_APPROVED))
+    return Q.daily_report(campaigns, t("leads"), outreach, messages.withColumn("sent_at", F.expr(_MOVED)), _in_progress(t), errors, DAY)
+
+
+def _objects(t) -> DataFrame:
+    leads, companies = t("leads"), t("companies")
+    replies = lambda what: Q.reply_counts(t("messages"), leads, companies, what).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+    parts = {
+        "by_niche": Q.performance(leads, companies, "niche"), "by_state": Q.performance(leads, companies, "state"), "by_angle": Q.outreach_performance(t("outreach"), leads, ["angle", "kind"]),
+        "reply_categories": replies("classification"), "objections": replies("objection"),
+    }
+    return Q.daily_objects(_report(t), parts)
+
+
 def _full(t) -> DataFrame:
     return Q.leads_full(t("leads"), t("companies"), t("outreach"))
 
@@ -120,7 +144,8 @@ QUERIES = {
     "q07_reply_categories": _q(lambda t: Q.reply_counts(t("messages"), t("leads"), t("companies"), "classification")),
     "q07_objections": _q(lambda t: Q.reply_counts(t("messages"), t("leads"), t("companies"), "objection")),
     "q08_daily_activity": _q(lambda t: Q.daily_activity(t("leads"))),
-    "q09_daily_report": _q(lambda t: Q.daily_report(t("leads"), t("outreach"), t("messages"), DAY)),
+    "q09_daily_report": _q(_report),
+    "q09_daily_objects": _q(_objects),
     "q10_small_samples": _q(lambda t: Q.small_samples(Q.performance(t("leads"), t("companies"), "niche"))),
     "q13_usage_cost": _q(lambda t: Q.usage_cost(t("messages"), _prices(t))),
     "t02_work_batch": _q(lambda t: T.work_batch(t("leads"), "REPLIED", NOW, 25).select("campaign_id", "lead_id", "rank")),
@@ -178,6 +203,51 @@ def _planned(body: str) -> str:
 
 _LAST = "(select lead_id, kind, variation, status as message_status, created_at as drafted_at from (select *, row_number() over (partition by lead_id order by created_at desc, line desc, part desc, cost desc) as r from outreach) t where r = 1)"
 
+_COUNTED = f"""select date '{DAY}' as day, campaign_id,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and discovered_at::date = date '{DAY}') as leads_discovered,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and enriched_at::date = date '{DAY}') as leads_enriched,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and qualified_at::date = date '{DAY}') as leads_evaluated,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and qualified_at::date = date '{DAY}' and qualified) as leads_qualified,
+  (select count(*) from outreach o join leads l using (lead_id) where l.campaign_id = k.campaign_id and created_at::date = date '{DAY}') as messages_generated,
+  (select count(*) from (select *, {_APPROVED} as approved_at from outreach) o join (select lead_id, campaign_id from leads) l using (lead_id)
+     where l.campaign_id = k.campaign_id and approved_at::date = date '{DAY}') as messages_approved,
+  (select count(*) from outreach o join leads l using (lead_id) where l.campaign_id = k.campaign_id and sent_at::date = date '{DAY}') as messages_sent,
+  (select count(*) from messages m join leads l using (lead_id) where l.campaign_id = k.campaign_id and direction = 'inbound' and ({_MOVED})::date = date '{DAY}') as replies,
+  (select count(*) from messages m join leads l using (lead_id) where l.campaign_id = k.campaign_id and direction = 'inbound' and ({_MOVED})::date = date '{DAY}'
+     and classification in ('interested', 'curious', 'positive', 'wants_details', 'pricing', 'question')) as positive_replies,
+  (select count(*) from (select *, {_STATE} as state from plan) p join leads l using (lead_id) where l.campaign_id = k.campaign_id and state = 'SCHEDULED' and due_at::date <= date '{DAY}') as followups_due,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and stage = 'INTERESTED') as interested_total,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and stage = 'NURTURE') as nurture_total,
+  (select count(*) from leads l where l.campaign_id = k.campaign_id and stage = 'NOT_INTERESTED') as not_interested_total,
+  (select count(*) from messages m join leads l using (lead_id) where l.campaign_id = k.campaign_id and event_id % 3 = 1 and event_id % 2 <> 0 and ({_MOVED})::date = date '{DAY}') as errors_open
+  from (select campaign_id from quiet where status = 'active' union select campaign_id from leads) k"""
+_BASE = "with " + ", ".join(with_sql(f"select 1 from {name}").removeprefix("with ").removesuffix(f" select 1 from {name}") for name in ("leads", "outreach", "messages", "quiet", "companies")) + f", {_PLAN}"
+_REPORT = f"{_BASE} {_COUNTED}"
+_PARTS = {
+    "by_niche": (_PERF.format(by="niche", r1=_rate("count(replied_at)", "count(first_sent_at)"), r2=_rate("count(*) filter (where stage = 'INTERESTED')", "count(first_sent_at)")), "niche, campaign_id, sent, replies, interested, reply_rate, positive_reply_rate"),
+    "by_state": (_PERF.format(by="state", r1=_rate("count(replied_at)", "count(first_sent_at)"), r2=_rate("count(*) filter (where stage = 'INTERESTED')", "count(first_sent_at)")), "state, campaign_id, sent, replies, interested, reply_rate, positive_reply_rate"),
+    "by_angle": (_OUT.format(by="angle, kind", r=_rate("count(replied_at)", "count(sent_at)")), "angle, kind, campaign_id, sent, replies, reply_rate"),
+} | {
+    name: (
+        f"select {what}, campaign_id, niche, count(*) as n, strftime(max(sent_at), '%Y-%m-%d %H:%M:%S') as last_seen from messages join leads using (lead_id) join companies using (company_id)"
+        f" where direction = 'inbound' and {what} is not null group by all",
+        f"{what}, campaign_id, niche, n, last_seen",
+    )
+    for name, what in (("reply_categories", "classification"), ("objections", "objection"))
+}
+
+
+def _part(name: str) -> str:
+    rows, columns = _PARTS[name]
+    names = columns.split(", ")
+    item = "{" + ", ".join(f"'{k}': {k}" for k in names) + "}"
+    order = ", ".join(f"{k} nulls first" for k in names)
+    return f"coalesce((select to_json(list({item} order by {order}))::varchar from ({rows}) x where r.campaign_id is null or x.campaign_id = r.campaign_id), '[]') as {name}"
+
+
+_OBJECTS = f"""{_BASE}, report as ({_COUNTED}), r as (select * from report union all select day, null, {", ".join(f"sum({k})" for k in Q.COUNTERS)} from report group by day)
+  select r.*, {", ".join(_part(k) for k in _PARTS)} from r"""
+
 ORACLES = {
     "q01_leads_full": with_sql(f"select lead_id, stage, name, state, niche, kind, variation, message_status, drafted_at from leads join companies using (company_id) left join {_LAST} o using (lead_id)"),
     "q11_export": with_sql('select lead_id as "Lead", name as "Business", state as "State", niche as "Niche", icp_score as "Score", stage as "Stage", website_domain as "Website" from leads join companies using (company_id) where qualified'),
@@ -211,16 +281,8 @@ ORACLES = {
     "q07_reply_categories": _replies("classification"),
     "q07_objections": _replies("objection"),
     "q08_daily_activity": with_sql("select cast(discovered_at as date) as day, campaign_id, count(*) as leads_discovered from leads group by all"),
-    "q09_daily_report": with_sql(
-        f"""select l.*, coalesce(messages_generated, 0) as messages_generated, coalesce(messages_sent, 0) as messages_sent, coalesce(replies, 0) as replies, coalesce(positive_replies, 0) as positive_replies
-  from (select campaign_id, count(*) filter (where discovered_at::date = date '{DAY}') as leads_discovered, count(*) filter (where qualified_at::date = date '{DAY}') as leads_evaluated,
-          count(*) filter (where qualified_at::date = date '{DAY}' and qualified) as leads_qualified, count(*) filter (where stage = 'INTERESTED') as interested_total,
-          count(*) filter (where stage = 'NURTURE') as nurture_total from leads group by 1) l
-  left join (select campaign_id, count(*) filter (where created_at::date = date '{DAY}') as messages_generated, count(*) filter (where sent_at::date = date '{DAY}') as messages_sent
-          from outreach join leads using (lead_id) group by 1) o using (campaign_id)
-  left join (select campaign_id, count(*) as replies, count(*) filter (where classification in {_list(R.POSITIVE_REPLIES)}) as positive_replies
-          from messages join leads using (lead_id) where direction = 'inbound' and sent_at::date = date '{DAY}' group by 1) m using (campaign_id)"""
-    ),
+    "q09_daily_report": _REPORT,
+    "q09_daily_objects": _OBJECTS,
     "q10_small_samples": _perf("niche", ", count(first_sent_at) < 20 as small_sample"),
     "q13_usage_cost": with_sql(
         "select kind, cast(sent_at as date) as day, count(*) as calls, round(avg(value), 6) as latency, round(sum(value * (length(kind) / 100)), 4) as cost from messages group by all"
