@@ -103,7 +103,7 @@ def _v1_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DD.related_locations(_v1_deduped(spark, sf_dir).where("duplicate_of is null"))
+    return DD.related_locations(settle(_v1_deduped(spark, sf_dir).where("duplicate_of is null").select("seq", "domain", "phone_e164")))
 
 
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
