@@ -20,6 +20,7 @@ PERSONAL_BIO = [
     ("personal_role", 2, r"\b(content creator|influencer|blogger|model|photographer|artist|ugc creator|student|nurse|realtor)\b"),
 ]
 BOUNDS = {"min_followers": 300, "max_followers": 250000, "max_ratio": 3.0, "min_posts": 6, "max_name": 120}
+# The terms of each niche. Other niches come as a table (operators/niches.py).
 NICHES = {
     "medspas": {
         "keywords": ["medspa", "med spa", "medical spa", "aesthetics", "botox", "filler", "injectables", "laser hair removal", "skin clinic", "iv therapy"],
@@ -29,6 +30,58 @@ NICHES = {
         "keywords": ["dentist", "dental", "family dentistry", "cosmetic dentistry", "orthodontist", "invisalign", "implants", "pediatric dentist", "endodontist"],
         "negative": ["dental lab supplier", "dental marketing", "dental billing software", "dental school", "dental staffing agency"],
     },
+    "pet_brands": {
+        "keywords": ["pet", "dog", "cat", "pet accessories", "pet care", "dog harness", "pet supplements", "pet tech", "pet feeder", "litter box"],
+        "negative": ["pet adoption shelter", "rescue nonprofit", "veterinary hospital group", "pet influencer", "dog account"],
+    },
+    "womens_bags": {
+        "keywords": ["handbags", "purses", "tote", "crossbody", "leather bags", "women's accessories", "jewelry", "scarves", "clutch"],
+        "negative": ["replica", "dupe", "reseller", "wholesale supplier directory", "thrift reseller"],
+    },
+    "home_robots": {
+        "keywords": ["robot vacuum", "robot mower", "lawn robot", "pool robot", "window cleaning robot", "home robotics", "smart home robot", "autonomous yard"],
+        "negative": ["robotics research lab", "industrial automation integrator", "robot toy", "university robotics club"],
+    },
+    "comfort_wear": {
+        "keywords": ["loungewear", "comfort wear", "sleepwear", "pajamas", "cozy apparel", "athleisure", "basics apparel", "knitwear"],
+        "negative": ["print on demand dropship course", "clothing wholesaler directory", "fashion blogger"],
+    },
+    "beauty_salons": {
+        "keywords": ["hair salon", "beauty salon", "lash studio", "brow bar", "nail studio", "blowout bar", "hair extensions"],
+        "negative": ["beauty school", "salon software", "beauty supply wholesaler"],
+    },
+    "fitness_accessories": {
+        "keywords": ["gym accessories", "fitness equipment", "resistance bands", "lifting belts", "gym bag", "supplements", "recovery tools"],
+        "negative": ["gym franchise", "personal trainer coaching program", "fitness influencer"],
+    },
+    "fashion_brands": {
+        "keywords": ["fashion brand", "clothing brand", "streetwear", "womenswear", "menswear", "boutique"],
+        "negative": ["fashion blogger", "styling course", "clothing wholesaler directory"],
+    },
+    "gym_wear": {
+        "keywords": ["gym wear", "activewear", "workout clothes", "training apparel", "performance apparel", "leggings"],
+        "negative": ["gym franchise", "fitness coaching program"],
+    },
+    "lingerie": {
+        "keywords": ["lingerie", "intimates", "bras", "sleep and intimates", "shapewear"],
+        "negative": ["adult content", "onlyfans", "modelling agency"],
+    },
+    "watches_eyewear": {
+        "keywords": ["watch brand", "watches", "eyewear", "sunglasses", "optical frames", "blue light glasses"],
+        "negative": ["watch reseller", "replica", "pawn shop", "optometrist practice"],
+    },
+    "car_accessories": {
+        "keywords": ["car accessories", "auto accessories", "car detailing products", "floor mats", "car organizer", "dash cam", "car care"],
+        "negative": ["car dealership", "auto repair shop", "car rental"],
+    },
+    "tech_products": {
+        "keywords": ["consumer electronics", "smart home", "3d printer", "gadgets", "audio brand", "charging accessories", "hardware startup"],
+        "negative": ["software agency", "IT services provider", "crypto", "app studio"],
+    },
+    "ecommerce_general": {
+        "keywords": ["shop now", "online store", "dtc brand", "product brand", "free shipping", "new drop"],
+        "negative": ["dropshipping course", "marketing agency", "print on demand tutorial", "affiliate marketer"],
+    },
 }
 CAMPAIGN = {
     "states": ["CA", "TX"],

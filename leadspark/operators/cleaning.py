@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark.config import rules as R
 from leadspark.functions import scalars as S
+from leadspark.operators import niches as N
 
 
 def _none() -> Column:
@@ -33,20 +34,6 @@ def personal_score() -> tuple[Column, Column]:
     return score, F.array_compact(F.array(*(F.when(hit, name) for name, _, hit in signals)))
 
 
-def niche_match(niche: Column) -> tuple[Column, Column]:
-    """Keyword hits (or the category that holds a keyword) and negative hits of the row's niche."""
-    text = haystack("business_name", "bio", "category", "website_description", "products_text")
-    hits, negatives = _none(), _none()
-    for name, rule in R.NICHES.items():
-        mine = niche == name
-        found = S.term_hits(text, rule["keywords"])
-        by_category = F.lower("category").rlike("|".join(S._quoted(k) for k in rule["keywords"]))
-        found = F.when((F.size(found) == 0) & F.coalesce(by_category, F.lit(False)), F.array(F.lower("category"))).otherwise(found)
-        hits = F.when(mine, found).otherwise(hits)
-        negatives = F.when(mine, S.term_hits(text, rule["negative"])).otherwise(negatives)
-    return hits, negatives
-
-
 def location_reason(campaign: dict) -> Column:
     city, state = F.lower("city"), F.col("state")
     known = state.isNotNull()
@@ -62,24 +49,28 @@ def location_reason(campaign: dict) -> Column:
 LOCATION_OK = ["city_match_state_unknown", "state_match_city_outside_list", "state_match"]
 
 
-def clean_leads(leads: DataFrame, campaign: dict | None = None, bounds: dict | None = None) -> DataFrame:
-    """Adds reasons, flags and keep; nothing is dropped."""
+def clean_leads(leads: DataFrame, campaign: dict | None = None, bounds: dict | None = None, terms: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Adds reasons, flags and keep; nothing is dropped. `key` is unique; terms: niches as in operators/niches.py
+    (the stated ones, if none are given). A row without a niche isn't judged by one."""
     campaign, b = campaign or R.CAMPAIGN, bounds or R.BOUNDS
-    rows = leads.withColumn("products_text", F.array_join("products_services", " "))
+    terms = N.term_table(leads.sparkSession, R.NICHES) if terms is None else terms
+    spoken = leads.withColumn("products_text", F.array_join("products_services", " "))
+    spoken = spoken.select(key, "niche", "category", haystack("business_name", "bio", "category", "website_description", "products_text").alias("text"))
+    rows = leads.join(N.match_niches(spoken, terms, key), key)
     text = haystack("business_name", "bio", "category", "website_description")
     score, signals = personal_score()
-    hits, negatives = niche_match(F.col("niche"))
+    following = F.col("ig_following") if "ig_following" in leads.columns else F.lit(None).cast("long")
+    ratio = (F.col("ig_followers") > 0) & (following / F.nullif("ig_followers", F.lit(0)) > b["max_ratio"])
     rows = rows.withColumns(
         {
             "blocked_terms": S.term_hits(text, R.BLOCKED_TERMS),
             "suspected_reseller": _any(text, R.RESELLER_PATTERNS),
+            "follow_ratio_suspicious": F.coalesce(ratio, F.lit(False)),
             "personal_score": score,
             "personal_signals": signals,
-            "niche_hits": hits,
-            "niche_negatives": negatives,
             "location_reason": location_reason(campaign),
         }
-    )
+    ).withColumn("city_outside_list", F.col("location_reason") == "state_match_city_outside_list")
     followers, posts = F.col("ig_followers"), F.col("ig_posts")
     checks = [
         (F.col("business_name").isNull(), "missing_business_name"),
@@ -91,12 +82,12 @@ def clean_leads(leads: DataFrame, campaign: dict | None = None, bounds: dict | N
         (F.size("blocked_terms") > 0, "blocked_business_type"),
         (_any(text, R.FAN_PATTERNS), "fan_or_parody_account"),
         (F.col("personal_score") >= R.PERSONAL_THRESHOLD, "personal_account"),
-        (F.size("niche_negatives") > 0, "niche_negative_keyword"),
-        ((F.size("niche_hits") == 0) & (F.size("niche_negatives") == 0), "outside_target_niche"),
+        (F.col("niche").isNotNull() & (F.size("niche_negatives") > 0), "niche_negative_keyword"),
+        (F.col("niche").isNotNull() & (F.size("niche_hits") == 0) & (F.size("niche_negatives") == 0), "outside_target_niche"),
         (~F.col("location_reason").isin(LOCATION_OK), "outside_target_location"),
     ]
     rows = rows.withColumn("reasons", F.array_compact(F.array(*(F.when(c, r) for c, r in checks))))
-    return rows.withColumn("keep", F.size("reasons") == 0).drop("products_text")
+    return rows.withColumn("keep", F.size("reasons") == 0)
 
 
 def drop_reasons(cleaned: DataFrame) -> DataFrame:

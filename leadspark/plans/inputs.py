@@ -33,6 +33,7 @@ RAW: Named = {
     "message": "case c_custkey % 7 when 0 then 'ECONNRESET by peer' when 1 then 'Unexpected token in JSON' when 2 then 'quota reached' when 3 then 'ETIMEDOUT' else 'odd' end",
     "attempt": "cast(c_custkey % 5 + 1 as int)",
     "posts": "cast(c_custkey % 40 as int)",
+    "following": "cast(c_custkey * 13 % 90000 as int)",
     "niche": "case c_custkey % 2 when 0 then 'medspas' else 'dental_clinics' end",
 }
 

@@ -11,6 +11,7 @@ from leadspark.functions import scalars as S
 from leadspark.operators import cleaning as CL
 from leadspark.operators import dedup as DD
 from leadspark.operators import identity as ID
+from leadspark.operators import niches as N
 from leadspark.operators import ordered_merge as OM
 from leadspark.operators import relevance as RV
 from leadspark.operators import scoring as SC
@@ -34,6 +35,7 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.city(c("city")).alias("city"),
         S.count(c("followers")).alias("ig_followers"),
         c("posts").alias("ig_posts"),
+        c("following").alias("ig_following"),
         S.product_list(c("products")).alias("products_services"),
         "bio",
         "category",
@@ -47,6 +49,30 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.clean_leads(leads(spark, sf_dir))
 
 
+#: Words of many niches, glued and bounded in different ways.
+_SPOKEN = [
+    "Dentist, botox", "med-spa or med spa", "CAT: dog harness!", "women's bags & women's accessories", "smart home robot vacuum", "dash cam.car care", "3D printer gadgets",
+    "fashion blogger", "gym franchise", "replica watches", "IT services provider", "dogs and cats", "clothing brand; streetwear", "lash studio (brow bar)", "shop now free shipping",
+    "sleep and intimates", "activewear/leggings", "loungewear_pajamas", "",
+]
+_NICHE_ROWS = {
+    "id": "c_custkey",
+    "niche": "case c_custkey % 16 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(R.NICHES)) + " end",
+    "text": "lower(concat(case c_custkey % 19 " + " ".join("when {} then '{}'".format(i, t.replace("'", "''")) for i, t in enumerate(_SPOKEN)) + " end, ' | ', c_mktsegment, ' ', case c_custkey % 17 "
+    + " ".join("when {} then '{}'".format(i, _SPOKEN[i * 7 % 19].replace("'", "''")) for i in range(17)) + " end))",
+    "category": "case c_custkey % 5 when 0 then 'Boutiques' when 1 then 'Petrol station' when 2 then 'Online Stores' when 3 then c_mktsegment end",
+}
+
+
+def _niche_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(*(f"{e} as {n}" for n, e in _NICHE_ROWS.items()))
+
+
+def _niche_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.match_niches(_niche_rows(spark, sf_dir), N.term_table(spark, R.NICHES))
+    return out.select("id", F.array_join("niche_hits", "|").alias("hits"), F.array_join("niche_negatives", "|").alias("negatives"))
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, n = S.count(c("followers")), c("posts")
     return table(spark, sf_dir, "raw").select(
@@ -139,8 +165,9 @@ QUERIES = {
     "d08_dedupe_leads": _v1_deduped,
     "d08_related_locations": _related,
     "c01_personal": lambda s, d: cleaned(s, d).select("id", "personal_score", F.array_join("personal_signals", "|").alias("signals")),
+    "c02_niche_match": _niche_match,
     "c03_location": lambda s, d: cleaned(s, d).select("id", "location_reason"),
-    "c04_clean_leads": lambda s, d: cleaned(s, d).select("id", "keep", F.array_join("reasons", "|").alias("reasons"), "suspected_reseller", F.array_join("niche_hits", "|").alias("hits")),
+    "c04_clean_leads": lambda s, d: cleaned(s, d).select("id", "keep", F.array_join("reasons", "|").alias("reasons"), "suspected_reseller", "follow_ratio_suspicious", "city_outside_list", F.array_join("niche_hits", "|").alias("hits")),
     "c05_drop_reasons": lambda s, d: CL.drop_reasons(cleaned(s, d)),
     "r04_score_parts": _scores,
     "r05_icp_score": _icp,
@@ -156,7 +183,7 @@ _CAMP = R.CAMPAIGN
 _LEADS = with_sql("select id from raw").replace(
     " select id from raw",
     f""", {SQ._URLS},
- lead as (select id, niche, bio, category, title, posts, {SQ._clean('name')} as business_name, {SQ._key('name')} as name_key, {SQ._handle('handle')} as h, {SQ._DOMAIN} as domain, {SQ._PHONE} as phone_e164,
+ lead as (select id, niche, bio, category, title, posts, following, {SQ._clean('name')} as business_name, {SQ._key('name')} as name_key, {SQ._handle('handle')} as h, {SQ._DOMAIN} as domain, {SQ._PHONE} as phone_e164,
    {_E} as address, {SQ._STATE} as st, {_CITYX} as town, {SQ._COUNTED} as n,
    coalesce(list_filter(list_transform(regexp_split_to_array(products, '[,;|\\n]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) between 2 and 120), []) as prods0 from v),
  lead2 as (select *, list_filter(prods0, lambda x, i: list_position(list_transform(prods0, lambda y: lower(y)), lower(x)) = i) as prods from lead)""",
@@ -164,7 +191,7 @@ _LEADS = with_sql("select id from raw").replace(
 
 
 def _hit(text: str, terms: list[str]) -> str:
-    each = ", ".join(f"case when regexp_matches({text}, '{S.term_pattern(t)}') then '{t}' end" for t in terms)
+    each = ", ".join(f"case when regexp_matches({text}, '{_quote(S.term_pattern(t.lower()))}') then '{_quote(t.lower())}' end" for t in terms)
     return f"list_filter([{each}], lambda x: x is not null)"
 
 
@@ -192,7 +219,7 @@ def _niche(kind: str) -> str:
     return "case niche " + " ".join(f"when '{k}' then {_hit(_NICHE_TEXT, r[kind])}" for k, r in R.NICHES.items()) + " end"
 
 
-_CATHIT = "case niche " + " ".join(f"when '{k}' then regexp_matches(lower(category), '{'|'.join(r['keywords'])}')" for k, r in R.NICHES.items()) + " end"
+_CATHIT = "case niche " + " ".join(f"when '{k}' then regexp_matches(lower(category), '{_quote('|'.join(r['keywords']))}')" for k, r in R.NICHES.items()) + " end"
 _CLEAN = f"""{_LEADS},
  f as (select *, {_PS} as ps, {_PSIG} as psig, {_LOC} as loc, {_niche('keywords')} as pos, {_niche('negative')} as neg, coalesce({_CATHIT}, false) as cathit,
    {_hit(_TEXT, R.BLOCKED_TERMS)} as blocked, regexp_matches({_TEXT}, '{'|'.join(R.RESELLER_PATTERNS)}') as reseller, regexp_matches({_TEXT}, '{'|'.join(R.FAN_PATTERNS)}') as fan from lead2),
@@ -242,7 +269,16 @@ _RT = "concat_ws(' ', company_name, coalesce(category, ''))"
 _EXP = "case niche when 'medspas' then regexp_matches({0}, '(?i){1}') else regexp_matches({0}, '(?i){2}') end".format(_RT, RV.EXPECTED["medspa"], RV.EXPECTED["dental"])
 _BEST = "greatest(" + ", ".join(RV.EXPECTED) + ")"
 
+_TERMS = ", ".join("('{}', '{}', {}, '{}')".format(k, kind, i, _quote(t.lower())) for k, r in R.NICHES.items() for kind in ("keywords", "negative") for i, t in enumerate(r[kind]))
+_OWN_NICHE = (
+    f"with terms(niche, kind, place, term) as (values {_TERMS}), r as (select {', '.join(f'{e} as {n}' for n, e in _NICHE_ROWS.items())} from customer),"
+    " m as (select id, category, kind, place, term, regexp_matches(text, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') as held, contains(lower(category), term) as fits from r left join terms using (niche)),"
+    " s as (select id, category, coalesce(string_agg(term, '|' order by place) filter (where held and kind = 'keywords'), '') as hits, coalesce(string_agg(term, '|' order by place) filter (where held and kind = 'negative'), '') as negatives,"
+    " coalesce(bool_or(fits and kind = 'keywords'), false) as by_category from m group by 1, 2)"
+)
+
 ORACLES = {
+    "c02_niche_match": f"{_OWN_NICHE} select id, case when hits = '' and by_category then lower(category) else hits end as hits, negatives from s",
     "r01_exclusion": f"{_TYPED} select id, kind, case kind " + " ".join(f"when '{n}' then regexp_extract({_XT}, '(?i){p}')" for n, p in RV.EXCLUSIONS) + f" end as words from (select *, {_when(_XT, RV.EXCLUSIONS)} as kind from ty) t",
     "r02_file_niche": f"{_TYPED}, v as (select niche, count(*) as n_rows, " + ", ".join(f"count(*) filter (where regexp_matches({_NT}, '(?i){p}')) as {n}" for n, p in RV.EXPECTED.items())
     + f" from ty group by 1) select niche, case when {_BEST} = 0 or {_BEST} < 0.3 * n_rows then 'generic' " + " ".join(f"when {n} = {_BEST} then '{n}'" for n in RV.EXPECTED)
@@ -251,7 +287,7 @@ ORACLES = {
     " select id, case when wrong is not null then 'OFF_NICHE' when ok then 'IN_NICHE' else 'UNCERTAIN' end as niche_match, case when wrong is not null then wrong when ok then case niche when 'medspas' then 'medspa' else 'dental' end end as detected_type from w",
     "c01_personal": f"{_CLEAN} select id, ps as personal_score, array_to_string(psig, '|') as signals from cl",
     "c03_location": f"{_CLEAN} select id, loc as location_reason from cl",
-    "c04_clean_leads": f"{_CLEAN} select id, len(reasons) = 0 as keep, array_to_string(reasons, '|') as reasons, reseller as suspected_reseller, array_to_string(hits, '|') as hits from cl",
+    "c04_clean_leads": f"{_CLEAN} select id, len(reasons) = 0 as keep, array_to_string(reasons, '|') as reasons, reseller as suspected_reseller, coalesce(n > 0 and following / nullif(n, 0) > 3, false) as follow_ratio_suspicious, loc = 'state_match_city_outside_list' as city_outside_list, array_to_string(hits, '|') as hits from cl",
     "c05_drop_reasons": f"{_CLEAN} select reason, count(*) as n from (select unnest(reasons) as reason from cl) t group by 1",
     "r04_score_parts": f"{_LEADS} select id, round({_FS}, 6) as followers, round({_prod('posts')}, 6) as products, round({_act('(posts * 4)')}, 6) as activity, {_BAND.format(s='(posts * 3)')} as band, {_LS} as location from lead2",
     "r05_icp_score": f"""{_CLEAN}, sc as (select id, cast(floor(greatest(0, least(100, {_SUM})) + 0.5) as int) as icp_score, {_FAIL} as fail from cl),
