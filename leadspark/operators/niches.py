@@ -8,6 +8,8 @@ and they meet the terms by equality: no expression for each term, and terms of a
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,9 @@ _EDGES = "^[^a-z0-9]+|[^a-z0-9]+$"
 
 def term_table(spark: SparkSession, niches: dict[str, dict[str, list[str]]]) -> DataFrame:
     """(niche, kind, at, term) of niches that the code states."""
-    rows = [
-        F.struct(F.lit(name).alias("niche"), F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit(term).alias("term"))
-        for name, rule in niches.items()
-        for kind in ("keywords", "negative")
-        for at, term in enumerate(rule[kind])
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [{"niche": name, "kind": kind, "at": at, "term": term} for name, rule in niches.items() for kind in ("keywords", "negative") for at, term in enumerate(rule[kind])]
+    # One literal: a thousand would take longer to plan than the join.
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<niche: string, kind: string, at: int, term: string>>")))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:

@@ -136,16 +136,84 @@ def small_samples(performance: DataFrame, least: int = 20) -> DataFrame:
     return performance.withColumn("small_sample", c("sent") < least)
 
 
-def leads_full(leads: DataFrame, companies: DataFrame, outreach: DataFrame) -> DataFrame:
-    """Leads with their company and their latest message draft."""
-    last = outreach.groupBy("lead_id").agg(F.max_by(F.struct("kind", "variation", c("status").alias("message_status"), "created_at"), F.struct("created_at", "line", "part", "cost")).alias("o"))
-    rows = leads.join(companies, "company_id").join(last, "lead_id", "left")
-    return rows.select(*leads.columns, "name", "state", "niche", "website_domain", "o.kind", "o.variation", "o.message_status", c("o.created_at").alias("drafted_at"))
+def leads_full(leads: DataFrame, companies: DataFrame, campaigns: DataFrame, niches: DataFrame, contacts: DataFrame, qualifications: DataFrame, research: DataFrame, outreach: DataFrame) -> DataFrame:
+    """Q1: each lead with its campaign and company (both must exist), niche, contact and the latest qualification,
+    research and draft. The three histories have lead_id, created_at and seq, which breaks ties; each is one
+    grouped maximum, so a lead's history never meets in a list."""
+
+    def last(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.groupBy("lead_id").agg(F.max_by(F.struct(*names), F.struct("created_at", "seq")).alias("x")).select("lead_id", "x.*")
+
+    q = last(qualifications.withColumnRenamed("reason", "qualification_reason"), "qualification_reason", "potential_pain_points")
+    r = last(research, "business_summary", "why_relevant")
+    o = last(outreach.select("lead_id", "created_at", "seq", c("message").alias("latest_message"), c("variation").alias("latest_variation"), c("status").alias("message_status"), c("sent_at").alias("last_message_sent_at")),
+             "latest_message", "latest_variation", "message_status", "last_message_sent_at")
+    co = companies.select(
+        "company_id", c("name").alias("business_name"), "instagram_handle", "instagram_url", "website", "website_domain", "niche_id", "state", "city", "ig_followers", "ig_posts", "products_count", "products_services",
+        c("email").alias("company_email"), c("phone").alias("company_phone"), "ig_last_post_at",
+    )
+    ct = contacts.select(
+        "contact_id", c("full_name").alias("decision_maker"), c("title").alias("decision_maker_title"), c("role_category").alias("decision_maker_role"), c("email").alias("decision_maker_email"),
+        c("linkedin_url").alias("decision_maker_linkedin"), c("target_reason").alias("decision_maker_reason"),
+    )
+    own = leads
+    for rows in (q, r, o):
+        own = own.join(rows, "lead_id", "left")
+    own = own.join(campaigns.select("campaign_id", c("name").alias("campaign_name")), "campaign_id").join(co, "company_id")
+    return own.join(niches.select("niche_id", c("name").alias("niche_name")), "niche_id", "left").join(ct, "contact_id", "left")
 
 
 def export(full: DataFrame) -> DataFrame:
-    """The columns of the shared sheet, qualified leads only."""
-    return full.where("qualified").select(c("lead_id").alias("Lead"), c("name").alias("Business"), c("state").alias("State"), c("niche").alias("Niche"), c("icp_score").alias("Score"), c("stage").alias("Stage"), c("website_domain").alias("Website"))
+    """Q11: the columns of the shared sheet, qualified leads only."""
+    return full.where("qualified").select(
+        c("public_ref").alias("Lead ID"), c("business_name").alias("Business Name"), c("instagram_handle").alias("Instagram"), c("website").alias("Website"), c("niche_name").alias("Niche"), c("state").alias("State"), c("city").alias("City"),
+        c("ig_followers").alias("Followers"), c("products_count").alias("Products/Services"), c("decision_maker").alias("Founder / Decision Maker"), c("decision_maker_title").alias("Decision Maker Role"),
+        F.coalesce("decision_maker_email", "company_email").alias("Email"), c("company_phone").alias("Phone"), c("icp_score").alias("ICP Score"), c("icp_band").alias("Qualification"),
+        F.get("potential_pain_points", F.lit(0)).alias("Pain Point"), c("recommended_service").alias("Recommended Service"), c("outreach_angle").alias("Outreach Angle"), c("latest_message").alias("Generated Message"),
+        c("message_status").alias("Message Status"), c("status").alias("Response Status"), c("next_followup_at").alias("Follow-up Date"), c("notes").alias("Notes"), c("campaign_id").alias("Campaign"), c("lead_id").alias("_lead_uuid"),
+    )
+
+
+def many_keys(keys: DataFrame, companies: DataFrame, most: int = 2) -> DataFrame:
+    """Company names that more identity keys than `most` lead to. Keys are summed by company before the names."""
+    rows = keys.groupBy("company_id").agg(F.count("*").alias("keys")).join(companies.select("company_id", "name"), "company_id")
+    return rows.groupBy("name").agg(F.sum("keys").alias("keys")).where(c("keys") > most)
+
+
+def waiting_after_reply(followups: DataFrame, leads: DataFrame) -> DataFrame:
+    """Steps still scheduled although the lead has replied; there should be none."""
+    replied = leads.where(c("replied_at").isNotNull()).select("lead_id", "replied_at")
+    return followups.where("state = 'SCHEDULED'").join(replied, "lead_id").select("lead_id", "replied_at", "step", "due_at")
+
+
+def open_errors(errors: DataFrame, by: list[str], now: str | None = None, hours: int = 24) -> DataFrame:
+    """Unresolved errors by columns, those of the last hours if `now` is given."""
+    rows = errors.where(~c("resolved"))
+    if now:
+        rows = rows.where(c("created_at") > F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours)))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
+
+
+def failing_stages(leads: DataFrame) -> DataFrame:
+    return leads.where("status = 'ERROR'").groupBy("stage").agg(F.count("*").alias("n"), F.max("retry_count").alias("worst"))
+
+
+def stage_status(leads: DataFrame) -> DataFrame:
+    return leads.groupBy("stage", "status").agg(F.count("*").alias("n"))
+
+
+def approval_backlog(outreach: DataFrame, leads: DataFrame) -> DataFrame:
+    """Drafts that wait for review by campaign; drafts are summed by lead before they meet the leads."""
+    waiting = outreach.where("status = 'PENDING_REVIEW'").groupBy("lead_id").agg(F.count("*").alias("waiting"))
+    return waiting.join(leads.select("lead_id", "campaign_id"), "lead_id").groupBy("campaign_id").agg(F.sum("waiting").alias("waiting"))
+
+
+def recent_runs(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    return runs.where(c("started_at") > F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(hours)))
+
+
+def steps_before_reply(leads: DataFrame) -> DataFrame:
+    return leads.where(c("replied_at").isNotNull()).groupBy("followup_step").agg(F.count("*").alias("n"))
 
 
 def run_summary(leads: DataFrame) -> DataFrame:

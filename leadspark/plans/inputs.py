@@ -98,7 +98,66 @@ EVENTS: Named = {
 #: Campaigns that no lead belongs to yet, one of them at rest.
 QUIET: Named = {"campaign_id": "r_name", "status": "case when r_name = 'ASIA' then 'paused' else 'active' end"}
 
+#: The whole view of leads: what LEADS and COMPANIES leave out, and the tables beside them.
+FULL_LEADS: Named = LEADS | {
+    "public_ref": "o_orderkey * 3 + 1",
+    "contact_id": "case when o_orderkey % 3 <> 0 then o_custkey end",
+    "icp_band": "case o_orderkey % 4 when 0 then 'HIGH_PRIORITY' when 1 then 'QUALIFIED' when 2 then 'REVIEW' end",
+    "priority": "case o_orderkey % 3 when 0 then 'high' when 1 then 'low' end",
+    "disqualified_reason": "case when o_orderkey % 11 = 0 then 'outside_target_niche' end",
+    "recommended_service": "case when o_orderkey % 5 = 0 then 'Live chat' end",
+    "outreach_angle": "case when o_orderkey % 6 = 0 then 'speed' end",
+    "next_followup_at": "case when o_orderkey % 4 = 1 then o_orderdate + interval '12' day end",
+    "followup_step": "cast(o_orderkey % 4 as int)",
+    "last_error": "case when o_orderkey % 8 = 0 then 'timeout' end",
+    "cleaning_flags": "case when o_orderkey % 9 = 0 then 'suspected_reseller' end",
+    "notes": "case when o_orderkey % 10 = 0 then concat('note ', cast(o_orderkey as string)) end",
+    "sheets_synced_at": "case when o_orderkey % 2 = 0 then o_orderdate + interval '20' day end",
+}
+FULL_COMPANIES: Named = {
+    "company_id": "c_custkey",
+    "name": "c_name",
+    "instagram_handle": "case when c_custkey % 4 <> 0 then concat('shop.', cast(c_custkey as string)) end",
+    "instagram_url": "case when c_custkey % 4 <> 0 then concat('https://instagram.com/shop.', cast(c_custkey as string)) end",
+    "website": "case when c_custkey % 3 <> 0 then concat('https://shop', cast(c_custkey % 60 as string), '.com/') end",
+    "website_domain": "case when c_custkey % 3 <> 0 then concat('shop', cast(c_custkey % 60 as string), '.com') end",
+    "niche_id": "lower(c_mktsegment)",
+    "state": "n_name",
+    "city": "case when c_custkey % 5 <> 0 then concat('City ', cast(c_custkey % 40 as string)) end",
+    "ig_followers": "cast(c_custkey * 31 % 9000 as bigint)",
+    "ig_posts": "cast(c_custkey % 70 as int)",
+    "products_count": "cast(c_custkey % 12 as int)",
+    "products_services": "concat('item ', cast(c_custkey % 12 as string))",
+    "email": "case when c_custkey % 2 = 0 then concat('info', cast(c_custkey as string), '@shop.com') end",
+    "phone": "case when c_custkey % 4 <> 0 then concat('+1', cast(2000000000 + c_custkey % 700 as string)) end",
+    "ig_last_post_at": "case when c_custkey % 6 <> 0 then timestamp '1996-01-01 00:00:00' end",
+}
+CONTACTS: Named = {
+    "contact_id": "c_custkey",
+    "full_name": "concat('Dr ', c_name)",
+    "title": "case c_custkey % 3 when 0 then 'Owner' when 1 then 'CEO' end",
+    "role_category": "case c_custkey % 3 when 0 then 'owner' when 1 then 'ceo' else 'unknown' end",
+    "email": "case when c_custkey % 3 = 0 then concat('dr', cast(c_custkey as string), '@shop.com') end",
+    "linkedin_url": "case when c_custkey % 7 = 0 then concat('https://linkedin.com/in/', cast(c_custkey as string)) end",
+    "target_reason": "case when c_custkey % 2 = 0 then 'decides' end",
+}
+#: Histories of a lead; seq is total.
+_SEQ = "concat(l_linenumber, ' ', l_partkey, ' ', l_suppkey, ' ', cast(l_extendedprice * 100 as bigint))"
+VERDICTS: Named = {"lead_id": "l_orderkey", "created_at": "l_shipdate", "seq": _SEQ, "reason": "concat('fit ', l_partkey, ' by ', l_suppkey)", "first_pain": "case when l_partkey % 4 <> 0 then concat('pain ', l_partkey) end", "odd": "l_linenumber % 2"}
+BRIEFS: Named = {"lead_id": "l_orderkey", "created_at": "l_shipdate", "seq": _SEQ, "business_summary": "case when l_partkey % 5 <> 0 then concat('sells ', l_partkey) end", "why_relevant": "concat('asks ', l_suppkey)", "odd": "l_linenumber % 3"}
+DRAFTS: Named = {
+    "lead_id": "l_orderkey", "created_at": "l_shipdate", "seq": _SEQ, "message": "concat('Hi ', l_partkey)", "variation": "l_returnflag", "status": OUTREACH["status"], "sent_at": OUTREACH["sent_at"],
+}
+RUNS: Named = {"workflow": "o_orderpriority", "status": "o_orderstatus", "items_ok": "o_orderkey % 50", "items_failed": "o_orderkey % 3", "started_at": "o_orderdate"}
+
 _FROM = {
+    "full_leads": (FULL_LEADS, "orders"),
+    "full_companies": (FULL_COMPANIES, "customer join nation on c_nationkey = n_nationkey"),
+    "contact_rows": (CONTACTS, "customer"),
+    "verdicts": (VERDICTS, "lineitem"),
+    "briefs": (BRIEFS, "lineitem"),
+    "drafts": (DRAFTS, "lineitem"),
+    "run_rows": (RUNS, "orders"),
     "raw": (RAW, "customer"),
     "leads": (LEADS, "orders"),
     "outreach": (OUTREACH, "lineitem"),
@@ -112,7 +171,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     named, source = _FROM[name]
     base = source.split()[0]
     df = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    if name == "companies":
+    if " join " in source:
         nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
         df = df.join(nation, df.c_nationkey == nation.n_nationkey)
     return df.selectExpr(*(f"{e} as {n}" for n, e in named.items()))

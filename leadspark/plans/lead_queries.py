@@ -46,7 +46,8 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CL.clean_leads(leads(spark, sf_dir))
+    # The derived rows are costly expressions, and cleaning reads its rows more than once.
+    return CL.clean_leads(settle(leads(spark, sf_dir)))
 
 
 #: Words of many niches, glued and bounded in different ways.

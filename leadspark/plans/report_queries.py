@@ -118,8 +118,30 @@ def _objects(t) -> DataFrame:
     return Q.daily_objects(_report(t), parts)
 
 
+#: The view's columns in its order.
+_VIEW = [
+    "lead_id", "public_ref", "campaign_id", "campaign_name", "company_id", "business_name", "instagram_handle", "instagram_url", "website", "website_domain", "niche_id", "niche_name", "state", "city", "ig_followers", "ig_posts",
+    "products_count", "products_services", "company_email", "company_phone", "decision_maker", "decision_maker_title", "decision_maker_role", "decision_maker_email", "decision_maker_linkedin", "decision_maker_reason", "stage", "status",
+    "icp_score", "icp_band", "priority", "qualified", "disqualified_reason", "recommended_service", "outreach_angle", "qualification_reason", "first_pain", "business_summary", "why_relevant", "latest_message", "latest_variation",
+    "message_status", "last_message_sent_at", "replied_at", "next_followup_at", "followup_step", "retry_count", "last_error", "cleaning_flags", "ig_last_post_at", "discovered_at", "notes", "sheets_synced_at", "updated_at",
+]
+
+
 def _full(t) -> DataFrame:
-    return Q.leads_full(t("leads"), t("companies"), t("outreach"))
+    leads, companies = t("full_leads"), t("full_companies")
+    campaigns = leads.where("campaign_id not like '5%'").select("campaign_id", F.concat(F.lit("Campaign "), "campaign_id").alias("name")).distinct()
+    niches = companies.where("niche_id <> 'machinery'").select("niche_id", F.initcap("niche_id").alias("name")).distinct()
+    pains = F.array_compact(F.array("first_pain", F.lit("last pain")))
+    return Q.leads_full(leads, companies, campaigns, niches, t("contact_rows"), t("verdicts").where("odd = 1").withColumn("potential_pain_points", pains), t("briefs").where("odd = 1"), t("drafts"))
+
+
+def _keys(t) -> DataFrame:
+    rows = t("companies")
+    return rows.select("company_id", F.explode(F.array_compact(F.array("website_domain", "phone", "name"))).alias("key_value"))
+
+
+def _typed_errors(t) -> DataFrame:
+    return t("messages").where("event_id % 3 = 1").select(c("kind").alias("workflow"), c("classification").alias("provider"), c("objection").alias("error_type"), *(F.expr(e).alias(k) for k, e in _ERRORS.items()))
 
 
 def _batch(t) -> DataFrame:
@@ -128,8 +150,17 @@ def _batch(t) -> DataFrame:
 
 
 QUERIES = {
-    "q01_leads_full": _q(lambda t: _full(t).select("lead_id", "stage", "name", "state", "niche", "kind", "variation", "message_status", "drafted_at")),
+    "q01_leads_full": _q(lambda t: _full(t).withColumn("first_pain", F.get("potential_pain_points", F.lit(0))).select(*_VIEW)),
     "q11_export": _q(lambda t: Q.export(_full(t))),
+    "q06_many_keys": _q(lambda t: Q.many_keys(_keys(t), t("companies"))),
+    "q06_waiting_after_reply": _q(lambda t: Q.waiting_after_reply(_in_progress(t), t("leads"))),
+    "q06_recent_errors": _q(lambda t: Q.open_errors(_typed_errors(t), ["workflow", "provider", "error_type"], f"{DAY} 00:00:00", 24 * 90)),
+    "q06_open_errors": _q(lambda t: Q.open_errors(_typed_errors(t), ["provider", "error_type"])),
+    "q06_failing_stages": _q(lambda t: Q.failing_stages(t("leads"))),
+    "q06_stage_status": _q(lambda t: Q.stage_status(t("leads"))),
+    "q06_approval_backlog": _q(lambda t: Q.approval_backlog(t("outreach"), t("leads"))),
+    "q06_recent_runs": _q(lambda t: Q.recent_runs(t("run_rows"), f"{DAY} 12:00:00", 24 * 30)),
+    "q06_steps_before_reply": _q(lambda t: Q.steps_before_reply(t("full_leads"))),
     "q12_run_summary": _q(lambda t: Q.run_summary(t("leads"))),
     "t01_next_batch": _q(_batch),
     "q03_lead_progress": _q(lambda t: Q.lead_progress(t("leads"))),
@@ -201,7 +232,23 @@ def _planned(body: str) -> str:
     return head.replace(" select 1 from leads", f", {_PLAN} {body}")
 
 
-_LAST = "(select lead_id, kind, variation, status as message_status, created_at as drafted_at from (select *, row_number() over (partition by lead_id order by created_at desc, line desc, part desc, cost desc) as r from outreach) t where r = 1)"
+_LATEST = "(select * from (select *, row_number() over (partition by lead_id order by created_at desc, seq desc) as place from {rows}) t where place = 1)"
+_VIEW_SQL = f"""select l.lead_id, l.public_ref, l.campaign_id, c.name as campaign_name, co.company_id, co.name as business_name, co.instagram_handle, co.instagram_url, co.website, co.website_domain, co.niche_id, n.name as niche_name,
+  co.state, co.city, co.ig_followers, co.ig_posts, co.products_count, co.products_services, co.email as company_email, co.phone as company_phone, ct.full_name as decision_maker, ct.title as decision_maker_title,
+  ct.role_category as decision_maker_role, ct.email as decision_maker_email, ct.linkedin_url as decision_maker_linkedin, ct.target_reason as decision_maker_reason, l.stage, l.status, l.icp_score, l.icp_band, l.priority, l.qualified,
+  l.disqualified_reason, l.recommended_service, l.outreach_angle, q.reason as qualification_reason, case when q.lead_id is not null then coalesce(q.first_pain, 'last pain') end as first_pain, r.business_summary, r.why_relevant,
+  o.message as latest_message, o.variation as latest_variation, o.status as message_status, o.sent_at as last_message_sent_at, l.replied_at, l.next_followup_at, l.followup_step, l.retry_count, l.last_error, l.cleaning_flags,
+  co.ig_last_post_at, l.discovered_at, l.notes, l.sheets_synced_at, l.updated_at
+  from full_leads l join (select distinct campaign_id, 'Campaign ' || campaign_id as name from full_leads where campaign_id not like '5%') c on c.campaign_id = l.campaign_id
+  join full_companies co on co.company_id = l.company_id
+  left join (select distinct niche_id, upper(niche_id[1]) || niche_id[2:] as name from full_companies where niche_id <> 'machinery') n on n.niche_id = co.niche_id
+  left join contact_rows ct on ct.contact_id = l.contact_id left join {_LATEST.format(rows="verdicts where odd = 1")} q on q.lead_id = l.lead_id
+  left join {_LATEST.format(rows="briefs where odd = 1")} r on r.lead_id = l.lead_id left join {_LATEST.format(rows="drafts")} o on o.lead_id = l.lead_id"""
+_SHEET = """select public_ref as "Lead ID", business_name as "Business Name", instagram_handle as "Instagram", website as "Website", niche_name as "Niche", state as "State", city as "City", ig_followers as "Followers",
+  products_count as "Products/Services", decision_maker as "Founder / Decision Maker", decision_maker_title as "Decision Maker Role", coalesce(decision_maker_email, company_email) as "Email", company_phone as "Phone", icp_score as "ICP Score",
+  icp_band as "Qualification", first_pain as "Pain Point", recommended_service as "Recommended Service", outreach_angle as "Outreach Angle", latest_message as "Generated Message", message_status as "Message Status", status as "Response Status",
+  next_followup_at as "Follow-up Date", notes as "Notes", campaign_id as "Campaign", lead_id as "_lead_uuid" from"""
+_ERROR_ROWS = f"(select kind as workflow, classification as provider, objection as error_type, {_MOVED} as created_at from messages where event_id % 3 = 1 and event_id % 2 <> 0)"
 
 _COUNTED = f"""select date '{DAY}' as day, campaign_id,
   (select count(*) from leads l where l.campaign_id = k.campaign_id and discovered_at::date = date '{DAY}') as leads_discovered,
@@ -249,8 +296,17 @@ _OBJECTS = f"""{_BASE}, report as ({_COUNTED}), r as (select * from report union
   select r.*, {", ".join(_part(k) for k in _PARTS)} from r"""
 
 ORACLES = {
-    "q01_leads_full": with_sql(f"select lead_id, stage, name, state, niche, kind, variation, message_status, drafted_at from leads join companies using (company_id) left join {_LAST} o using (lead_id)"),
-    "q11_export": with_sql('select lead_id as "Lead", name as "Business", state as "State", niche as "Niche", icp_score as "Score", stage as "Stage", website_domain as "Website" from leads join companies using (company_id) where qualified'),
+    "q01_leads_full": with_sql(_VIEW_SQL),
+    "q11_export": with_sql(f"{_SHEET} ({_VIEW_SQL}) v where qualified"),
+    "q06_many_keys": with_sql("select name, count(*) as keys from (select company_id, unnest([website_domain, phone, name]) as key_value from companies) k join companies using (company_id) where key_value is not null group by name having count(*) > 2"),
+    "q06_waiting_after_reply": _planned(f"select lead_id, replied_at, step, due_at from (select *, {_STATE} as state from plan) p join leads using (lead_id) where state = 'SCHEDULED' and replied_at is not null"),
+    "q06_recent_errors": with_sql(f"select workflow, provider, error_type, count(*) as n, max(created_at) as last_at from {_ERROR_ROWS} e where created_at > timestamp '{DAY} 00:00:00' - interval 2160 hour group by all"),
+    "q06_open_errors": with_sql(f"select provider, error_type, count(*) as n, max(created_at) as last_at from {_ERROR_ROWS} e group by all"),
+    "q06_failing_stages": with_sql("select stage, count(*) as n, max(retry_count) as worst from leads where status = 'ERROR' group by stage"),
+    "q06_stage_status": with_sql("select stage, status, count(*) as n from leads group by all"),
+    "q06_approval_backlog": with_sql("select campaign_id, count(*) as waiting from outreach o join leads l using (lead_id) where o.status = 'PENDING_REVIEW' group by 1"),
+    "q06_recent_runs": with_sql(f"select workflow, status, items_ok, items_failed, started_at from run_rows where started_at > timestamp '{DAY} 12:00:00' - interval 720 hour"),
+    "q06_steps_before_reply": with_sql("select followup_step, count(*) as n from full_leads where replied_at is not null group by 1"),
     "q12_run_summary": with_sql(
         "select count(*) as n, count(*) filter (where icp_score >= 80) as best, count(*) filter (where icp_score >= 65 and icp_score < 80) as good, count(*) filter (where icp_score >= 50 and icp_score < 65) as review,"
         " count(*) filter (where icp_score < 50) as bad, count(*) filter (where icp_score is null) as unscored, bool_and(approved_at is null) as all_pending from leads"
