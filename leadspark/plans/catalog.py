@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.plans import company_queries, compose_queries, contract_queries, event_queries, lead_queries, people_queries, provider_queries, report_queries, research_queries, scalar_queries, v1_queries
+from leadspark.plans import company_queries, compose_queries, contract_queries, event_queries, lead_queries, people_queries, provider_queries, report_queries, research_queries, scalar_queries, sink_queries, v1_queries
 
-MODULES = [scalar_queries, report_queries, lead_queries, v1_queries, research_queries, people_queries, event_queries, compose_queries, contract_queries, provider_queries, company_queries]
+MODULES = [scalar_queries, report_queries, lead_queries, v1_queries, research_queries, people_queries, event_queries, compose_queries, contract_queries, provider_queries, company_queries, sink_queries]
 
 
 def queries() -> dict:
