@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import dealt
 from leadspark.functions import contract as K
 from leadspark.plans.inputs import table, with_sql
 
@@ -38,7 +39,7 @@ RESPONSE = (
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "messages").select("event_id", F.expr(RESPONSE).alias("response"))
+    rows = dealt(table(spark, sf_dir, "messages"), "event_id").select("event_id", F.expr(RESPONSE).alias("response"))
     out = rows.select("event_id", K.parse_response(c("response"), SCHEMA).alias("r"))
     return out.select("event_id", "r.ok", F.array_join("r.errors", "; ").alias("errors"), "r.retry_prompt")
 
