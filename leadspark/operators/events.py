@@ -15,10 +15,13 @@ in order of (at, event_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadspark.components import settle
+from leadspark.components import settle as settle
+from leadspark.components import stored
 from leadspark.config import rules as R
 
 c = F.col
@@ -59,22 +62,42 @@ def _why_cancelled() -> Column:
     return F.when(_is("opt_out"), "opted_out").otherwise(F.lower("outcome"))
 
 
+def _fresh(events: DataFrame, applied: DataFrame) -> DataFrame:
+    """Events not applied yet, each id once. Ids that repeat or are applied are found first, on ids
+    alone: where they are few, whole events are not dealt by their ids."""
+    done = applied.select("event_id").distinct().withColumn("_done", F.lit(True))
+    ids = events.groupBy("event_id").agg(F.count("*").alias("_n")).join(done, "event_id", "left")
+    odd = stored(ids.where("_n > 1 or _done").select(c("event_id").alias("_id"), "_n", "_done"))
+    if not odd.limit(1).count():
+        return events
+    marked = events.join(odd, c("event_id").eqNullSafe(c("_id")), "left")
+    again = marked.where("_n > 1 and _done is null").dropDuplicates(["event_id"])
+    return marked.where("_n is null").unionByName(again).select(events.columns)
+
+
 def weigh(state: State, events: DataFrame) -> DataFrame:
-    """Every new event with its lead and draft, and `why` it does not count (null where it counts)."""
-    new = events.dropDuplicates(["event_id"]).join(state["applied"].select("event_id"), "event_id", "left_anti")
-    drafts = state["outreach"].select(
-        "outreach_id", c("lead_id").alias("_lead"), "channel", c("kind").alias("draft_kind"), c("followup_step").alias("step"), c("status").alias("_was"), c("sent_at").alias("_sent"),
-        "message", "message_edited",
-    )
+    """Every new event with its lead and draft, and `why` it does not count (null where it counts).
+
+    Events of a draft are dealt by it alone, others by their lead alone: what an event of a
+    draft must know of the lead comes with the draft."""
+    new = _fresh(events, state["applied"])
     on_draft = c("kind").isin("approve", "reject", "send")
-    rows = new.join(drafts, "outreach_id", "left").withColumn("lead_id", F.when(on_draft, c("_lead")).otherwise(c("lead_id")))
-    known = state["leads"].select("lead_id", "company_id", F.lit(True).alias("_known"))
+    of_draft = F.coalesce(on_draft & c("outreach_id").isNotNull(), F.lit(False))
     firms = state["companies"].select("company_id", F.lit(True).alias("_firm"))
-    rows = settle(rows.join(known, "lead_id", "left").join(firms, "company_id", "left"))
+    known = state["leads"].select("lead_id", "company_id", F.lit(True).alias("_known")).join(firms, "company_id", "left")
+    others = new.where(~of_draft).withColumn("lead_id", F.when(on_draft, None).otherwise(c("lead_id")))
+    others = stored(others.join(known, "lead_id", "left"))
     reaches = c("_known") & (~_is("opt_out") | c("_firm").isNotNull())
-    stops = rows.where(_cancels() & reaches).groupBy("lead_id").agg(F.min(_order()).alias("stop"))
-    first = rows.where(on_draft).groupBy("outreach_id").agg(F.min(F.when(~_is("send") | c("_sent").isNull(), _order())).alias("any"), F.min(F.when(_is("send"), _order())).alias("send"))
-    rows = rows.join(first, "outreach_id", "left").join(stops, "lead_id", "left")
+    stops = others.where(_cancels() & reaches).groupBy("lead_id").agg(F.min(_order()).alias("stop"))
+    drafts = state["outreach"].select(
+        "outreach_id", "lead_id", "channel", c("kind").alias("draft_kind"), c("followup_step").alias("step"), c("status").alias("_was"), c("sent_at").alias("_sent"),
+    ).join(known, "lead_id", "left").join(stops, "lead_id", "left")
+    own = new.where(of_draft).drop("lead_id").join(drafts, "outreach_id", "left")
+    draft = Window.partitionBy("outreach_id")
+    own = own.withColumns(
+        {"any": F.min(F.when(~_is("send") | c("_sent").isNull(), _order())).over(draft), "send": F.min(F.when(_is("send"), _order())).over(draft)}
+    )
+    rows = own.unionByName(others, allowMissingColumns=True)
     stopped = (c("draft_kind") != "initial") & c("stop").isNotNull() & (c("stop") < _order())
     why = (
         F.when(on_draft & c("_was").isNull(), "unknown outreach")
@@ -85,7 +108,7 @@ def weigh(state: State, events: DataFrame) -> DataFrame:
         .when(_is("outcome") & ~F.coalesce(c("outcome").isin(OUTCOMES), F.lit(False)), "invalid outcome")
         .when(~c("kind").isin("approve", "reject", "send", "outcome", "opt_out"), "invalid kind")
     )
-    return rows.withColumns({"why": why, "regenerate": F.coalesce("regenerate", F.lit(True))}).drop("_lead", "any", "send", "stop")
+    return rows.withColumns({"why": why, "regenerate": F.coalesce("regenerate", F.lit(True))}).drop("_was", "_sent", "_known", "_firm", "any", "send", "stop")
 
 
 def _last(value: Column, when: Column) -> Column:
@@ -142,7 +165,7 @@ def _followups(rows: DataFrame, delta: DataFrame, started: DataFrame, plans: Dat
     kinds = F.array(*(F.lit(k) for k in R.FOLLOWUP_KINDS))
     values = {"lead_id": c("lead_id"), "step": c("i") + 1, "kind": F.get(kinds, c("i")), "status": F.lit("SCHEDULED"), "due_at": c("_born.at") + F.make_interval(days=c("days")), "_born": c("_born")}
     new = begun.select(*(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in rows.dtypes), "_born").join(rows.select("lead_id", "step"), ["lead_id", "step"], "left_anti")
-    both = settle(rows.withColumn("_born", F.lit(None).cast(new.schema["_born"].dataType)).unionByName(new.select(*rows.columns, "_born")))
+    both = stored(rows.withColumn("_born", F.lit(None).cast(new.schema["_born"].dataType)).unionByName(new.select(*rows.columns, "_born")))
     begins = started.select("lead_id", c("_born").alias("_starts"))
     said = delta.join(begins, "lead_id", "left").where(_cancels() | c("kind").isin("approve", "reject", "send")).select(
         "lead_id", _order().alias("o"), "kind", c("step").alias("_step"), c("outreach_id").alias("_draft"), _cancels().alias("stops"), F.when(_cancels(), _why_cancelled()).alias("_why"), "regenerate",
@@ -227,30 +250,47 @@ def _conversations(rows: DataFrame, delta: DataFrame) -> DataFrame:
     return out.select(rows.columns)
 
 
-def apply_events(state: State, events: DataFrame) -> tuple[State, DataFrame]:
+def apply_events(state: State, events: DataFrame, wanted: Iterable[str] | None = None) -> tuple[State, DataFrame]:
     """state: leads, outreach, followups, conversations, messages, companies, suppressions, applied
     (event_id), and if wanted plans (campaign_id, day_offsets, enabled). (the tables after the events,
-    the events that did not count with the reason)."""
-    weighed = settle(weigh(state, events))
+    the events that did not count with the reason). wanted: names of tables; the others stay as they were."""
+    weighed = stored(weigh(state, events))
     delta = weighed.where("why is null")
-    steps = settle(_followups(state["followups"], delta, _started(delta, state["leads"]), state.get("plans")))
     out = dict(state)
-    out["outreach"] = _outreach(state["outreach"], delta)
-    out["followups"] = steps.select(state["followups"].columns)
-    out["leads"] = _leads(state["leads"], delta, steps)
-    out["conversations"] = _conversations(state["conversations"], delta)
-    yes = delta.where(_is("approve")).select("outreach_id", "edited")
-    body = F.coalesce("edited", "message_edited", "message")
-    said = delta.where(_is("send")).drop("edited").join(yes, "outreach_id", "left")
-    said = said.select("lead_id", "channel", "outreach_id", F.lit("outbound").alias("direction"), body.alias("body"), c("at").alias("sent_at"))
-    out["messages"] = state["messages"].unionByName(said.select(state["messages"].columns))
-    gone = delta.where(_is("opt_out")).groupBy("company_id").agg(F.max_by("reason", _order()).alias("_reason"), F.min(F.struct(_order().alias("o"), "reason")).alias("_first"))
-    firms = settle(state["companies"].join(gone.withColumn("_gone", F.lit(True)), "company_id", "left"))
-    mark = F.coalesce("_gone", F.lit(False))
-    out["companies"] = firms.withColumns({"suppressed": mark | F.coalesce("suppressed", F.lit(False)), "suppressed_reason": F.when(mark, c("_reason")).otherwise(c("suppressed_reason"))}).select(state["companies"].columns)
-    keys = F.array(F.struct(F.lit("company_id").alias("key_type"), c("company_id").cast("string").alias("key_value")), F.struct(F.lit("instagram_handle").alias("key_type"), c("instagram_handle").alias("key_value")))
-    barred = firms.where("_gone").select(F.explode(keys).alias("k"), c("_first").alias("reason")).select("k.*", "reason").where("key_value is not null")
-    barred = barred.groupBy("key_type", "key_value").agg(F.min("reason").alias("first")).select("key_type", "key_value", c("first.reason").alias("reason")).join(state["suppressions"].select("key_type", "key_value"), ["key_type", "key_value"], "left_anti")
-    out["suppressions"] = state["suppressions"].unionByName(barred)
-    out["applied"] = state["applied"].select("event_id").unionByName(weighed.select("event_id"))
+    asked = set(state if wanted is None else wanted)
+    if "outreach" in asked:
+        out["outreach"] = _outreach(state["outreach"], delta)
+    if asked & {"followups", "leads"}:
+        steps = stored(_followups(state["followups"], delta, _started(delta, state["leads"]), state.get("plans")))
+        if "followups" in asked:
+            out["followups"] = steps.select(state["followups"].columns)
+        if "leads" in asked:
+            out["leads"] = _leads(state["leads"], delta, steps)
+    if "conversations" in asked:
+        out["conversations"] = _conversations(state["conversations"], delta)
+    if "messages" in asked:
+        yes = delta.where(_is("approve")).select("outreach_id", "edited")
+        texts = state["outreach"].select("outreach_id", "message", "message_edited")
+        body = F.coalesce("edited", "message_edited", "message")
+        said = delta.where(_is("send")).drop("edited").join(yes, "outreach_id", "left").join(texts, "outreach_id", "left")
+        said = said.select("lead_id", "channel", "outreach_id", F.lit("outbound").alias("direction"), body.alias("body"), c("at").alias("sent_at"))
+        out["messages"] = state["messages"].unionByName(said.select(state["messages"].columns))
+    if asked & {"companies", "suppressions"}:
+        gone = delta.where(_is("opt_out")).groupBy("company_id").agg(F.max_by("reason", _order()).alias("_reason"), F.min(F.struct(_order().alias("o"), "reason")).alias("_first"))
+        firms = stored(state["companies"].join(gone.withColumn("_gone", F.lit(True)), "company_id", "left"))
+        if "companies" in asked:
+            mark = F.coalesce("_gone", F.lit(False))
+            out["companies"] = firms.withColumns({"suppressed": mark | F.coalesce("suppressed", F.lit(False)), "suppressed_reason": F.when(mark, c("_reason")).otherwise(c("suppressed_reason"))}).select(state["companies"].columns)
+        if "suppressions" in asked:
+            out["suppressions"] = state["suppressions"].unionByName(_barred(firms, state["suppressions"]))
+    if "applied" in asked:
+        out["applied"] = state["applied"].select("event_id").unionByName(weighed.select("event_id"))
     return out, weighed.where("why is not null").select("event_id", "at", "kind", "outreach_id", "lead_id", "why")
+
+
+def _barred(firms: DataFrame, before: DataFrame) -> DataFrame:
+    """The keys of companies that are gone, where they are not suppressed yet."""
+    keys = F.array(F.struct(F.lit("company_id").alias("key_type"), c("company_id").cast("string").alias("key_value")), F.struct(F.lit("instagram_handle").alias("key_type"), c("instagram_handle").alias("key_value")))
+    rows = firms.where("_gone").select(F.explode(keys).alias("k"), c("_first").alias("reason")).select("k.*", "reason").where("key_value is not null")
+    rows = rows.groupBy("key_type", "key_value").agg(F.min("reason").alias("first")).select("key_type", "key_value", c("first.reason").alias("reason"))
+    return rows.join(before.select("key_type", "key_value"), ["key_type", "key_value"], "left_anti")

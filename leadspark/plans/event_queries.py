@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import stored
 from leadspark.operators import events as E
 from leadspark.plans.inputs import table, with_sql
 
@@ -66,9 +67,12 @@ BEFORE = {
 }
 
 
-def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "outreach").groupBy("lead_id", "line").agg(F.min("created_at").alias("created_at"))
+
+
+def _frame(spark: SparkSession, sf_dir: str, name: str, drafts: DataFrame) -> DataFrame:
     t = lambda x: table(spark, sf_dir, x)
-    drafts = t("outreach").groupBy("lead_id", "line").agg(F.min("created_at").alias("created_at"))
     source = {
         "e_leads": lambda: t("leads"), "e_outreach": lambda: drafts, "e_followups": lambda: drafts.where("line between 2 and 4 and lead_id % 3 = 0"),
         "e_talks": lambda: t("leads").where("lead_id % 4 = 0"), "e_firms": lambda: t("companies"), "e_events": lambda: drafts.withColumn("j", F.explode(F.array(F.lit(1), F.lit(2)))),
@@ -77,7 +81,8 @@ def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def state_and_events(spark: SparkSession, sf_dir: str) -> tuple[E.State, DataFrame]:
-    f = lambda n: _frame(spark, sf_dir, n)
+    drafts = stored(_drafts(spark, sf_dir))
+    f = lambda n: _frame(spark, sf_dir, n, drafts)
     empty = lambda schema: spark.createDataFrame([], schema)
     state = {
         "leads": f("e_leads"), "outreach": f("e_outreach"), "followups": f("e_followups"), "conversations": f("e_talks"), "companies": f("e_firms"),
@@ -105,7 +110,7 @@ def _after(name: str):
     what, columns = SHOWN[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return E.apply_events(*state_and_events(spark, sf_dir))[0][what].select(*columns)
+        return E.apply_events(*state_and_events(spark, sf_dir), [what])[0][what].select(*columns)
 
     return run
 

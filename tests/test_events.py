@@ -193,3 +193,35 @@ def test_no_events(spark):
     assert late.count() == 0
     for k in ("leads", "outreach", "followups", "conversations"):
         assert rows(state[k], k) == rows(start[k], k), k
+
+
+def test_what_is_kept_on_disk_is_small(spark):
+    """Rows between the steps stay on disk in compressed columns; one table asked for needs few of them."""
+    import os
+
+    from leadspark.components import shared_folder
+
+    size = lambda: sum(os.path.getsize(os.path.join(f, n)) for f, _, ns in os.walk(shared_folder(spark).removeprefix("file:")) for n in ns if n.startswith("part-"))
+    n = 200_000
+    null = lambda schema: [f"cast(null as {x.strip().split()[1]}) as {x.strip().split()[0]}" for x in schema.split(",")]
+    with_ids = lambda schema, **ids: spark.range(n).selectExpr(*(f"cast({ids[x.split()[-1]]} as int) as {x.split()[-1]}" if x.split()[-1] in ids else x for x in null(schema)))
+    state = {k: spark.createDataFrame([], v) for k, v in SCHEMAS.items() if k != "plans"}
+    state["leads"] = with_ids(SCHEMAS["leads"], lead_id="id", company_id="id % 10")
+    state["outreach"] = with_ids(SCHEMAS["outreach"], outreach_id="id", lead_id="id").withColumns({"channel": E.F.lit("instagram"), "status": E.F.lit("APPROVED")})
+    events = with_ids(EVENTS, event_id="id", outreach_id="id").withColumns({"at": E.F.lit(at(1)), "kind": E.F.lit("send"), "send_mode": E.F.lit("manual")})
+    before = size()
+    state, late = E.apply_events(state, events, ["conversations"])
+    assert late.count() == 0 and state["conversations"].count() == n
+    assert size() - before < 40 * n
+
+
+def test_repeated_and_applied_events_count_once(spark):
+    s, events = made(5, 12)
+    ev = lambda es: spark.createDataFrame([tuple(e[n] for n in names(EVENTS)) for e in es], EVENTS)
+    s["applied"] = [{"event_id": e["event_id"]} for e in events[::4]]
+    once, late = E.apply_events(frames(spark, s), ev(events))
+    twice, late2 = E.apply_events(frames(spark, s), ev(events + events[::3]), ["conversations", "messages", "applied"])
+    assert sorted(r.event_id for r in late.collect()) == sorted(r.event_id for r in late2.collect())
+    for k in ("conversations", "messages", "applied"):
+        assert rows(twice[k], k) == rows(once[k], k), k
+    assert len(rows(once["applied"], "applied")) == len(events)
