@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadspark.components import stored
 from leadspark.config import evidence as EV
 from leadspark.functions import texts as X
 from leadspark.operators.v1 import _number as number
@@ -95,9 +96,10 @@ def _entries() -> Column:
 
 def lead_evidence(facts: DataFrame) -> DataFrame:
     """One row for each lead with pages. A role counts as hiring once a careers page or words
-    about hiring were seen, on this page or before."""
+    about hiring were seen, on this page or before. The facts are stored: sums and lists both read
+    them, and a page is parsed once."""
     before = Window.partitionBy("lead_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = facts.withColumn("seen", F.max("careers").over(before))
+    rows = stored(facts).withColumn("seen", F.max("careers").over(before))
     rows = rows.withColumn("has_role", c("role").isNotNull() & (c("seen") | c("hires").isNotNull()))
     ok = c("readable")
     first = lambda v, when: F.min_by(v, F.when(when, c("page_no")))

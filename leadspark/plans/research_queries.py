@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.components import dealt
 from leadspark.config import evidence as EV
 from leadspark.operators import research as E
 
@@ -45,7 +46,7 @@ LEADS = {
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr(*(f"{e} as {n}" for n, e in PAGES.items()))
+    return dealt(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id").selectExpr(*(f"{e} as {n}" for n, e in PAGES.items()))
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +54,13 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.selectExpr(*(f"{e} as {n}" for n, e in LEADS.items()))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.lead_evidence(E.page_facts(pages(spark, sf_dir)))
+def _evidence(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    return E.lead_evidence(E.page_facts(pages(spark, sf_dir).where(which)))
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Some leads have no pages at all.
-    return E.with_evidence(leads(spark, sf_dir), _evidence(spark, sf_dir).where("lead_id % 10 <> 9"))
+    return E.with_evidence(leads(spark, sf_dir), _evidence(spark, sf_dir, "lead_id % 10 <> 9"))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,32 @@ def test_evidence(spark):
     assert not got[2].website_reachable and got[2].first_failure == "403" and "(403)" in got[2].notes
     assert got[3].email == [f"m{i}@x.co" for i in range(1, 6)] and got[3].mailto_count == 8
     assert E.lead_evidence(E.page_facts(df.limit(0))).count() == 0
+
+
+def test_facts_of_a_page_are_made_once(spark):
+    """Sums and lists read the same facts; pages are not parsed for each of them."""
+    from pyspark.sql import functions as F
+
+    from leadspark.operators import research as E
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(url):
+        seen.add(1)
+        return url
+
+    pages = spark.range(40).selectExpr(
+        "id % 8 as lead_id", "id as page_no", "concat('https://s.co/', id) as url", "'homepage' as label", "'<a href=\"/cart\">add to cart</a> cdn.shopify.com' as html",
+        "true as ok", "cast(null as int) as status", "cast(null as string) as error",
+    )
+    facts = E.page_facts(pages).withColumn("url", F.udf(told, "string")("url"))
+    rows = E.lead_evidence(facts).select("lead_id", "pages_read", "first_url", "shop").collect()
+    assert len(rows) == 8 and all(r.pages_read == 5 and r.first_url and r.shop for r in rows)
+    assert seen.value == 40
+
+
+def test_pages_of_one_file_reach_many_tasks(spark):
+    from leadspark.plans import research_queries as Q
+
+    sizes = Q.pages(spark, "/root/testdata/sf0.001").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(n > 0 for n in sizes) >= spark.sparkContext.defaultParallelism
