@@ -5,11 +5,14 @@ of a group of documents are counted in the group's task, summed over groups by w
 come back to the group, so no row stands for an occurrence.
 
 Subwords: one layer of causal self-attention over subword ids of a public tokenizer,
-trained in numpy. Ids fall into classes by their counts over all training documents (the
-most frequent ones alone, the rest by equal shares); the model gives the class, counts
-give the id within it. Every window of every training document is learned from once: each
-round takes its share of the windows; groups train from common weights, and their weights
-are averaged, weighted by windows. Groups are dealt by hash, so the model depends on the
+trained in numpy. Every id has a vector of its own at the input, and the output is a
+softmax over all ids in steps (`Within`): ids fall into classes by their counts over all
+training documents (the most frequent ones alone, the rest by equal shares), classes into
+the branches of a tree with the ids as leaves; the model gives the class and each branch
+down to the id from the context. Every window of every training document is learned from
+once: each round takes its share of the windows; groups train from common weights, and
+their weights are averaged, weighted by windows. Vectors of ids and branches are averaged
+over the groups that saw them. Groups are dealt by hash, so the model depends on the
 rows alone, not on their partitions. Texts are encoded once and scored in windows of
 `CONTEXT + SCORED` ids, of which the last `SCORED` are scored, so each id is scored once;
 attention is masked before the text's start and ahead.
@@ -35,8 +38,10 @@ from leadspark.llm import common as C
 CONTEXT, SCORED = 16, 48
 WIDTH, CLASSES, ALONE = 16, 64, 40
 ROUNDS, BATCH, RATE = 2, 64, 0.01
-#: Windows that are scored at once.
-STEP = 32
+#: Branches of a node below the classes; places of one node that are computed at once.
+BRANCH, TOGETHER = 32, 32
+#: Windows that are scored at once, and such steps before the ids within classes are.
+STEP, STEPS = 32, 32
 #: Bytes of text in a group of documents.
 GROUP_BYTES = 6 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,25 +112,27 @@ class Model:
         logits = h @ w["w"] + w["b"]
         return (logits, x, q, k, v, s, mixed, h) if keep else logits
 
-    def log_probs(self, classes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probs(self, inputs: np.ndarray, target: np.ndarray, within: Within | None = None, following: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the target classes (n, SCORED); 0 where there is no target.
-        The same as `forward`, with each class's and place's part of queries, keys and values in tables."""
+        The same as `forward`, with each input's and place's part of queries, keys and values in tables.
+        With `within`, inputs are ids, and so are `following`, the targets, whose logarithms are given."""
         w = self.w
         scale = np.float32(WIDTH**-0.5)
-        e, p = w["e"], w["p"]
+        e, p = within.inputs(w["e"]) if within else w["e"], w["p"]
         q, k, v = (w["q"] * scale, w["k"], w["v"] @ w["o"])
         eq, pq, ek, pk, ev, pv = e @ q, p[CONTEXT:] @ q, e @ k, p @ k, e @ v, p @ v
         out = np.empty(target.shape, np.float32)
         room = np.empty((STEP * SCORED, CLASSES), np.float32)  # stays in the processor's cache
-        for i in range(0, len(classes), STEP):
-            c, t = classes[i : i + STEP], target[i : i + STEP]
+        kept: list[np.ndarray] = []
+        for i in range(0, len(inputs), STEP):
+            c, t = inputs[i : i + STEP], target[i : i + STEP]
             last = c[:, CONTEXT:]
             s = (eq[last] + pq) @ (ek[c] + pk).transpose(0, 2, 1)
             bounded_exp(s)
             s *= _SEEN
-            void = np.flatnonzero((c == CLASSES).any(1))
+            void = np.flatnonzero((c == len(e) - 1).any(1))
             if len(void):
-                s[void] *= seen_places(c[void])
+                s[void] *= seen_places(c[void], len(e) - 1)
             mixed = s @ (ev[c] + pv)
             mixed /= np.maximum(s.sum(2, keepdims=True), 1e-30)
             mixed += e[last] + p[CONTEXT:]
@@ -135,14 +142,25 @@ class Model:
             bounded_exp(logits)
             got = np.minimum(top, MOST) - np.log((logits @ _ONES)[:, 0])
             out[i : i + STEP] = np.where(t == CLASSES, 0, got.reshape(t.shape))
+            if within:
+                kept.append(mixed.reshape(-1, WIDTH))
+                if len(kept) == STEPS or i + STEP >= len(inputs):
+                    done = slice(i + len(c) - sum(map(len, kept)) // SCORED, i + len(c))
+                    f = following[done].reshape(-1)
+                    real = np.flatnonzero(f < within.ids)
+                    out[done].reshape(-1)[real] += within.log_probs(np.concatenate(kept)[real], f[real])
+                    kept = []
         return out
 
-    def gradient(self, classes: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of the mean negative logarithm of the targets' probabilities."""
+    def gradient(self, classes: np.ndarray, target: np.ndarray, within: Within | None = None, ids: np.ndarray | None = None, following: np.ndarray | None = None):
+        """Of the mean negative logarithm of the targets' probabilities. With `within` also by the
+        vectors of input ids and of nodes: (gradient, ids, theirs, nodes, theirs)."""
         w, g = self.w, Model(np.zeros(self.SIZE, np.float32))
         rows, length, scale = len(classes), CONTEXT + SCORED, np.float32(WIDTH**-0.5)
         flat = lambda a: a.reshape(-1, a.shape[-1])
         x = w["e"][classes] + w["p"]
+        if within:
+            x += within.at[ids]
         last = np.ascontiguousarray(x[:, CONTEXT:])
         q = (flat(last) @ (w["q"] * scale)).reshape(rows, SCORED, WIDTH)
         k = (flat(x) @ w["k"]).reshape(rows, length, WIDTH)
@@ -168,6 +186,9 @@ class Model:
         g.w["w"][:] = h.T @ p
         g.w["b"][:] = p.sum(0)
         dh = p @ w["w"].T
+        if within:
+            below, nodes, dn = within.gradient(h[real], following.reshape(-1)[real])
+            dh[real] += below
         g.w["o"][:] = flat(mixed).T @ dh
         dm = (dh @ w["o"].T).reshape(mixed.shape)
         dv = s.transpose(0, 2, 1) @ dm
@@ -184,33 +205,75 @@ class Model:
         dx = dx.reshape(x.shape)
         dx[:, CONTEXT:] += (dh + dq @ (w["q"].T * scale)).reshape(last.shape)
         g.w["p"][:] = dx.sum(0)
-        c = classes.reshape(-1)
-        order = np.argsort(c, kind="stable")
-        kinds, first = np.unique(c[order], return_index=True)
-        g.w["e"][kinds] = np.add.reduceat(flat(dx)[order], first, axis=0)
+        mean = np.float32(1 / max(1, len(real)))
+        if within:
+            kinds, di = summed(ids.reshape(-1), flat(dx))
+            di[kinds == within.ids] = 0
+            some, de = summed(within.of[kinds], di)
+        else:
+            some, de = summed(classes.reshape(-1), flat(dx))
+        g.w["e"][some] = de
         g.w["e"][-1] = 0
-        g.flat /= max(1, len(real))
-        return g.flat
+        g.flat *= mean
+        return (g.flat, kinds, di * mean, nodes, dn * mean) if within else g.flat
 
     def train(self, classes: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One pass with Adam, in an order that mixes the texts."""
-        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        order = np.random.default_rng(len(classes)).permutation(len(classes))
-        for t, i in enumerate(range(0, len(order), BATCH), 1):
-            part = order[i : i + BATCH]
-            g = self.gradient(classes[part], target[part])
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        adam = Adam(self.flat, rate)
+        for t, part in enumerate(mixed_parts(len(classes)), 1):
+            adam.step(t, slice(None), self.gradient(classes[part], target[part]))
+
+    def train_ids(self, ids: np.ndarray, following: np.ndarray, within: Within, rate: float = RATE) -> None:
+        """The same with the vectors of ids and nodes, which take a step where a batch has them."""
+        whole, at, below = Adam(self.flat, rate), Adam(within.at, rate), Adam(within.below, rate)
+        for t, part in enumerate(mixed_parts(len(ids)), 1):
+            i, f = ids[part], following[part]
+            g, kinds, di, nodes, dn = self.gradient(within.of[i], within.of[f], within, i, f)
+            whole.step(t, slice(None), g)
+            at.step(t, kinds, di)
+            below.step(t, nodes, dn)
+
+
+class Adam:
+    def __init__(self, x: np.ndarray, rate: float) -> None:
+        self.x, self.rate, self.m, self.v = x, rate, np.zeros_like(x), np.zeros_like(x)
+
+    def step(self, t: int, at, g: np.ndarray) -> None:
+        """A step of the rows `at`; other rows stay as they are."""
+        m, v = self.m[at], self.v[at]
+        m += np.float32(0.1) * (g - m)
+        g = g * g
+        g -= v
+        g *= np.float32(0.01)
+        v += g
+        self.m[at], self.v[at] = m, v
+        root = np.sqrt(v * np.float32(1 / (1 - 0.99**t)))
+        root += np.float32(1e-8)
+        m = m / root
+        m *= np.float32(self.rate / (1 - 0.9**t))
+        self.x[at] -= m
+
+
+def mixed_parts(n: int) -> Iterator[np.ndarray]:
+    order = np.random.default_rng(n).permutation(n)
+    return (order[i : i + BATCH] for i in range(0, n, BATCH))
+
+
+def summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(x[order], first, axis=0) if len(first) else x
 
 
 _CAUSAL = np.where(np.arange(CONTEXT + SCORED)[None, :] > np.arange(CONTEXT, CONTEXT + SCORED)[:, None], np.float32(-1e9), np.float32(0))
 _SEEN = (_CAUSAL == 0).astype(np.float32)
 
 
-def seen_places(classes: np.ndarray) -> np.ndarray:
+def seen_places(inputs: np.ndarray, nothing: int = CLASSES) -> np.ndarray:
     """0 at the places of windows where there is nothing, to be multiplied with attention."""
-    seen = (classes != CLASSES).astype(np.float32)
+    seen = (inputs != nothing).astype(np.float32)
     seen[:, CONTEXT] += 1e-20 * (seen[:, CONTEXT] == 0)  # never all masked
     return seen[:, None, :]
 
@@ -231,7 +294,108 @@ class Classes:
         self.within = np.log(smooth / total[self.of]).astype(np.float64)
 
 
-def windows_of(ids: np.ndarray, off: np.ndarray, of: np.ndarray, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Within:
+    """Ids below their classes. The ids of a class are the leaves of a tree; a node has up to
+    `BRANCH` children of about equal mass, each an id or a node. A node's softmax over its
+    children is of their counts' logarithms and of learned vectors times the model's output.
+    `at` are the vectors of input ids (and of nothing, 0), `below` those of the children."""
+
+    def __init__(self, counts: np.ndarray, of: np.ndarray) -> None:
+        self.ids = len(counts)
+        self.of = np.append(of, CLASSES).astype(np.uint8)
+        kind = np.uint16 if self.ids < 1 << 16 else np.int32
+        self.id_kind = kind
+        self.leaf, self.slot = np.full(self.ids, -1, np.int32), np.zeros(self.ids, np.int8)
+        up, up_slot, offset = [], [], []
+        order = np.argsort(-counts, kind="stable")
+        smooth = counts + 0.5
+        by_class = order[np.argsort(of[order], kind="stable")]
+        cut = np.searchsorted(of[by_class], np.arange(CLASSES + 1))
+        todo = [(by_class[a:b], -1, 0) for a, b in zip(cut[:-1], cut[1:]) if b - a > 1]
+        while todo:
+            ids, parent, place = todo.pop()
+            node = len(up)
+            up.append(parent)
+            up_slot.append(place)
+            mass = smooth[ids]
+            # By the middle of an id's mass, so that no branch holds all; ids of equal mass fill their nodes.
+            parts = BRANCH if mass[0] > mass[-1] else min(BRANCH, -(-len(ids) // BRANCH))
+            part = ((np.cumsum(mass) - mass / 2) / mass.sum() * parts).astype(np.int64) if len(ids) > BRANCH else np.arange(len(ids))
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            total = np.full(BRANCH, -1e4)
+            total[: len(first)] = np.log(np.add.reduceat(mass, first) / mass.sum())
+            offset.append(total)
+            for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(ids)))):
+                if b - a > 1:
+                    todo.append((ids[a:b], node, k))
+                else:
+                    self.leaf[ids[a]], self.slot[ids[a]] = node, k
+        self.up, self.up_slot = np.array(up, np.int32), np.array(up_slot, np.int8)
+        self.offset = np.array(offset, np.float32).reshape(-1, BRANCH)
+        self.hold(np.zeros((self.ids + 1, WIDTH), np.float32), np.zeros((len(up), BRANCH, WIDTH), np.float32))
+
+    def hold(self, at: np.ndarray, below: np.ndarray) -> None:
+        self.at, self.below = at, below
+
+    def inputs(self, e: np.ndarray) -> np.ndarray:
+        return e[self.of] + self.at
+
+    def _steps(self, h: np.ndarray, ids: np.ndarray):
+        """The branches taken to the ids, by node: (row, where among the logits, branch), logits
+        of `TOGETHER` places of a node at once, the places, their nodes, nodes and their first group."""
+        row, node, slot, found = np.arange(len(ids)), self.leaf[ids], self.slot[ids], []
+        while len(row := row[some := np.flatnonzero(node >= 0)]):
+            node, slot = node[some], slot[some]
+            found.append((row, node, slot))
+            node, slot = self.up[node], self.up_slot[node]
+        if not found:
+            return None
+        row, node, slot = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(node.astype(np.uint16) if len(self.up) < 1 << 16 else node, kind="stable")
+        row, node, slot = row[order], node[order], slot[order]
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        size = np.diff(np.append(first, len(node)))
+        groups = -(-size // TOGETHER)
+        begin = np.cumsum(groups) - groups
+        where = np.arange(len(node)) + np.repeat(begin * TOGETHER - first, size)
+        own = np.repeat(node[first], groups)
+        places = np.zeros((len(own) * TOGETHER, WIDTH), np.float32)
+        places[where] = h[row]
+        places = places.reshape(-1, TOGETHER, WIDTH)
+        z = places @ self.below[own].transpose(0, 2, 1)
+        z += self.offset[own][:, None, :]
+        return row, where, slot, z, places, own, node[first], begin
+
+    def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the ids' probabilities in their classes, for outputs h."""
+        steps = self._steps(h, ids)
+        if not steps:
+            return np.zeros(len(ids))
+        row, where, slot, z, *_ = steps
+        z = z.reshape(-1, BRANCH)
+        top = z[where, slot]
+        bounded_exp(z)
+        return np.bincount(row, weights=np.minimum(top, MOST) - np.log(z.sum(1)[where]), minlength=len(ids))
+
+    def gradient(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sum of the negative logarithms: by h, the nodes, by their children's vectors."""
+        out = np.zeros(h.shape, np.float32)
+        steps = self._steps(h, ids)
+        if not steps:
+            return out, np.zeros(0, np.int32), np.zeros((0, BRANCH, WIDTH), np.float32)
+        row, where, slot, z, places, own, nodes, begin = steps
+        bounded_exp(z)
+        z /= z.sum(2, keepdims=True)
+        z.reshape(-1, BRANCH)[where, slot] -= 1
+        cut = np.append(begin, len(own)) * TOGETHER
+        z2, places = z.reshape(-1, BRANCH), places.reshape(-1, WIDTH)
+        by_child = np.stack([z2[a:b].T @ places[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
+        some, back = summed(row, (z @ self.below[own]).reshape(-1, WIDTH)[where])
+        out[some] = back
+        return out, nodes, by_child
+
+
+def windows_of(ids: np.ndarray, off: np.ndarray, of: np.ndarray, share: int = 0, shares: int = 1, nothing: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids: of all texts, each with its end id. Classes ahead of and at each window's scored
     places, targets, and the text of each window; of every `shares` windows one, if given."""
     size = np.diff(off)
@@ -240,7 +404,7 @@ def windows_of(ids: np.ndarray, off: np.ndarray, of: np.ndarray, share: int = 0,
     first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * SCORED
     text, first = text[share::shares], first[share::shares]
     place = first[:, None] + np.arange(-CONTEXT, SCORED)[None, :]  # of the target that follows
-    cls = np.concatenate((of[ids], [CLASSES]))
+    cls = np.concatenate((of[ids], np.array([nothing], of.dtype)))
     base = off[text][:, None]
     # The input before target i is id i - 1; before the first it is an end id.
     inside = (place >= 1) & (place < size[text][:, None])
@@ -361,54 +525,72 @@ def cuts(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def fit(groups: DataFrame, classes: Classes, kind: str) -> np.ndarray:
-    """Weights, averaged over the groups by their windows."""
-    spark = groups.sparkSession
-    weights = Model.start(classes.share).flat
+#: Rows of `WIDTH` numbers that the model takes; those of ids and of nodes' children follow.
+WHOLE = Model.SIZE // WIDTH
+
+
+def split(weights: np.ndarray, ids: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model, vectors of ids and of nodes' children: copies."""
+    return Model(weights[:WHOLE].ravel().copy()), weights[WHOLE : WHOLE + ids + 1].copy(), weights[WHOLE + ids + 1 :].reshape(-1, BRANCH, WIDTH).copy()
+
+
+def id_windows(ids: np.ndarray, off: np.ndarray, within: Within, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return windows_of(ids, off, np.arange(within.ids, dtype=within.id_kind), share, shares, within.ids)
+
+
+def fit(groups: DataFrame, classes: Classes, within: Within, kind: str) -> np.ndarray:
+    """Weights, averaged over the groups by their windows; rows of ids and nodes over the groups that have them."""
+    sc = groups.sparkSession.sparkContext
+    rows = WHOLE + within.ids + 1 + within.below.shape[0] * BRANCH
+    weights = np.zeros((rows, WIDTH), np.float32)
+    weights[:WHOLE] = Model.start(classes.share).flat.reshape(-1, WIDTH)
+    tree = sc.broadcast(within)
+    names = [f"w{i}" for i in range(WIDTH)]
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((weights, classes.of.astype(np.int16)))
+        shared = sc.broadcast(weights)
 
         def run(batches, shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            start, of = shared.value
+            within, start = tree.value, shared.value
             for ids, off, _, _, held in groups_of(batches, kind):
                 size = np.diff(off)[~held]
                 if not len(size):
                     continue
                 ids = ids[np.repeat(~held, np.diff(off))]
-                before, target, _ = windows_of(ids, np.concatenate(([0], np.cumsum(size))), of, r, ROUNDS)
-                n = len(target)
+                before, following, _ = id_windows(ids, np.concatenate(([0], np.cumsum(size))), within, r, ROUNDS)
+                n = len(before)
                 if n:
-                    model = Model(start.copy())
-                    model.train(before, target, RATE / (1 + r))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(Model.SIZE, dtype=np.int32)), pa.array(model.flat.astype(np.float64) * n), pa.array(np.full(Model.SIZE, n, np.int64))], names=["i", "w", "n"]
-                    )
-
-        means = groups.mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
-        # Model.SIZE rows, whatever the corpus.
+                    model, at, below = split(start, within.ids)
+                    within.hold(at, below)
+                    model.train_ids(before, following, within, RATE / (1 + r))
+                    got = np.concatenate((model.flat.reshape(-1, WIDTH), at, below.reshape(-1, WIDTH)))
+                    moved = np.flatnonzero((got != start).any(1)).astype(np.int32)
+                    x = got[moved].astype(np.float64) * n
+                    yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(np.full(len(moved), n, np.int64)), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WIDTH))], names=["i", "n", *names])
+
+        means = groups.mapInArrow(run, "i int, n long, " + ", ".join(f"{x} double" for x in names)).groupBy("i").agg(*((F.sum(x) / F.sum("n")).cast("float").alias(x) for x in names))
+        # At most one row for each id and branch of the vocabulary, whatever the corpus.
         got = means.toArrow()
         weights = weights.copy()
-        weights[got.column("i").to_numpy()] = got.column("w").to_numpy()
+        weights[got.column("i").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names], 1)
     return weights
 
 
-def attention_scores(groups: DataFrame, weights: np.ndarray, classes: Classes, kind: str) -> DataFrame:
+def attention_scores(groups: DataFrame, weights: np.ndarray, classes: Classes, within: Within, kind: str) -> DataFrame:
     """(d, th, score, unigram_score) of every text, repeats included."""
-    shared = groups.sparkSession.sparkContext.broadcast((weights, classes))
+    shared = groups.sparkSession.sparkContext.broadcast((weights, classes, within))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        weights, classes = shared.value
-        model = Model(weights)
-        of = classes.of.astype(np.int16)
+        weights, classes, within = shared.value
+        model, *vectors = split(weights, within.ids)
+        within.hold(*vectors)
         alone = (classes.within + np.log(classes.share)[classes.of]) / math.log(10)
-        within = classes.within / math.log(10)
         for ids, off, d, th, _ in groups_of(batches, kind):
             score, single = [], []
             for a, b in cuts(off, 1 << 19):
                 mine, start = ids[off[a] : off[b]], off[a:b] - off[a]
-                before, target, text = windows_of(mine, off[a : b + 1] - off[a], of)
-                lp = np.bincount(text, weights=model.log_probs(before, target).sum(1, dtype=np.float64), minlength=b - a)
-                score.append(lp / math.log(10) + np.add.reduceat(within[mine], start))
+                before, following, text = id_windows(mine, off[a : b + 1] - off[a], within)
+                lp = model.log_probs(before, within.of[following], within, following)
+                score.append(np.bincount(text, weights=lp.sum(1, dtype=np.float64), minlength=b - a) / math.log(10))
                 single.append(np.add.reduceat(alone[mine], start))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(th), pa.array(np.concatenate(score)), pa.array(np.concatenate(single))], names=["d", "th", "score", "unigram_score"])
 
@@ -440,9 +622,10 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     subwords = np.zeros(vocabulary)
     subwords[got.column("h").to_numpy()] = got.column("n").to_numpy()
     classes = Classes(subwords)
+    within = Within(subwords, classes.of)
     kind = narrow(tokenizer)
     coded = raw.where("kind = 2").select(*BLOBS)
-    scores = C.settle(attention_scores(coded, fit(coded, classes, kind), classes, kind).dropDuplicates(["d", "th"]))
+    scores = C.settle(attention_scores(coded, fit(coded, classes, within, kind), classes, within, kind).dropDuplicates(["d", "th"]))
 
     # A word has at most one row for each group, so no word is more than a column of groups.
     sums = words.join(counts, "h").select("pid", "h", "c")

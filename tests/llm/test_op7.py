@@ -93,3 +93,68 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
     got = [{r.doc_id: r.score for r in op7.lm_scores(d, op7.tokenizer_path()).collect()} for d in (docs.coalesce(1), docs.repartition(5))]
     assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-6 * abs(got[0][k]) for k in got[0])
+
+
+def ids_model(r, n=3000):
+    counts = np.sort(r.integers(0, 500, n))[::-1].astype(float)
+    within = op7.Within(counts, op7.Classes(counts).of)
+    model = op7.Model(r.normal(0, 0.3, op7.Model.SIZE))
+    return counts, within, model
+
+
+def test_probabilities_of_all_ids_add_up_to_one_and_depend_on_the_context():
+    r = np.random.default_rng(3)
+    counts, within, model = ids_model(r)
+    classes = op7.Classes(counts)
+    h = r.normal(0, 1, (2, op7.WIDTH)).astype(np.float32)
+    every = np.arange(len(counts))
+    # Before anything is learned they are those of the counts.
+    assert np.allclose(within.log_probs(np.repeat(h[:1], len(every), 0), every), classes.within, atol=1e-4)
+    within.hold(within.at, r.normal(0, 0.5, within.below.shape).astype(np.float32))
+    a, b = (within.log_probs(np.repeat(x[None], len(every), 0), every) for x in h)
+    for lp in (a, b):
+        assert np.allclose(np.bincount(classes.of, weights=np.exp(lp), minlength=op7.CLASSES), 1, atol=1e-4)
+    assert np.abs(a - b).max() > 0.5
+
+
+def test_gradients_of_ids_and_branches_are_right():
+    r = np.random.default_rng(4)
+    counts, within, model = ids_model(r)
+    at = r.normal(0, 0.3, within.at.shape).astype(np.float32)
+    at[-1] = 0
+    within.hold(at, r.normal(0, 0.3, within.below.shape).astype(np.float32))
+    ids, off = r.integers(0, len(counts), 170), np.array([0, 100, 170])
+    before, following, _ = op7.id_windows(ids, off, within)
+    loss = lambda: -model.log_probs(before, within.of[following], within, following).sum(dtype=np.float64) / len(ids)
+    g, kinds, di, nodes, dn = model.gradient(within.of[before], within.of[following], within, before, following)
+
+    def near(array, i):
+        was, step, out = array[i], 1e-2, []
+        for x in (was + step, was - step):
+            array[i] = x
+            out.append(loss())
+        array[i] = was
+        return (out[0] - out[1]) / (2 * step)
+
+    for i in r.integers(0, len(model.flat), 15).tolist():
+        assert abs(near(model.flat, i) - g[i]) < 2e-3 + 0.05 * abs(g[i])
+    for i in r.integers(0, len(kinds) - 1, 15).tolist():
+        assert abs(near(at, (kinds[i], 3)) - di[i, 3]) < 5e-4 + 0.05 * abs(di[i, 3])
+    for i in r.integers(0, len(nodes), 15).tolist():
+        assert abs(near(within.below, (nodes[i], 0, 5)) - dn[i, 0, 5]) < 5e-4 + 0.05 * abs(dn[i, 0, 5])
+
+
+def test_ids_of_one_class_are_told_apart_by_their_context():
+    # Rare ids come in fixed pairs; by classes and counts alone a pair's second id is a guess.
+    r = np.random.default_rng(5)
+    pair = r.integers(0, 400, 20_000)
+    ids = np.stack((pair, pair + 400), 1).reshape(-1)
+    counts = np.bincount(ids, minlength=900).astype(float)
+    classes = op7.Classes(counts)
+    within, model = op7.Within(counts, classes.of), op7.Model.start(classes.share)
+    before, following, _ = op7.id_windows(ids, np.array([0, len(ids)]), within)
+    for _ in range(3):
+        model.train_ids(before, following, within)
+    lp = model.log_probs(before, within.of[following], within, following)[:, 1::2]
+    alone = (classes.within + np.log(classes.share)[classes.of])[400:800].mean()
+    assert lp[following[:, 1::2] < 900].mean() > 0.8 * alone
