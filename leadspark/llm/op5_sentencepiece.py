@@ -66,6 +66,11 @@ class Pieces:
         self.text = [normal[i] for i in order]
         self.id = np.array([ids[i] for i in order])
         self.size = np.array([len(t) for t in self.text])
+        self.head = np.array([int.from_bytes(t[:8].ljust(8, b"\0"), "big") for t in self.text], np.uint64)
+        self.tail = np.array([int.from_bytes(t[:8].ljust(8, b"\xff"), "big") for t in self.text], np.uint64)
+        #: Of ids: 0 for the best score, equal for equal scores.
+        self.rank = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
+        self.decoded = pa.array(self.out, pa.large_binary())
         self.cache: dict[str, bytes] = {}
 
     def edges(self, data: bytes, starts: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +79,13 @@ class Pieces:
         padded = np.frombuffer(data + bytes(16), np.uint8)
         words = np.ndarray((len(data) + 9,), ">u8", padded, 0, (1,))
         high, low = words[starts].astype(np.uint64), words[starts + 8].astype(np.uint64)
-        order = np.lexsort((low, high))
+        order = np.argsort(high)
+        equal = np.diff(high[order]) == 0
+        tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        mine = order[tied]
+        order[tied] = mine[np.lexsort((low[mine], high[mine]))]
         starts, limit, high, low = starts[order], limit[order], high[order], low[order]
-        head = np.array([int.from_bytes(t[:8].ljust(8, b"\0"), "big") for t in self.text], np.uint64)
-        tail = np.array([int.from_bytes(t[:8].ljust(8, b"\xff"), "big") for t in self.text], np.uint64)
-        left, right = np.searchsorted(high, head, "left"), np.searchsorted(high, tail, "right")
+        left, right = np.searchsorted(high, self.head, "left"), np.searchsorted(high, self.tail, "right")
         for i in np.flatnonzero((self.size > 8) & (right > left)).tolist():
             part = low[left[i] : right[i]]
             rest = self.text[i][8:16]
@@ -93,7 +100,7 @@ class Pieces:
         for i in np.flatnonzero((self.size[piece] > 16) & ok).tolist():
             ok[i] = data[start[i] : end[i]] == self.text[piece[i]]
         start, end, piece = start[ok], end[ok], piece[ok]
-        order = np.lexsort((end, start))
+        order = np.argsort(start * (int(self.size.max(initial=0)) + 1) + (end - start))
         return start[order], end[order], self.id[piece[order]]
 
     def encode_new(self, chunks: list[str]) -> list[bytes]:
@@ -102,7 +109,8 @@ class Pieces:
         raw = np.frombuffer(data, np.uint8)
         off = np.concatenate(([0], np.cumsum([len(c) for c in coded])))
         starts = np.flatnonzero((raw & 0xC0) != 0x80)
-        limit = off[np.searchsorted(off, starts, "right")]
+        chars = np.diff(np.searchsorted(starts, off))
+        limit = np.repeat(off[1:], chars)
         start, end, piece = self.edges(data, starts, limit)
         n = len(raw)
         # Symbols as the place of the next one; at first each is a character.
@@ -111,8 +119,7 @@ class Pieces:
         live = np.zeros(n + 1, bool)
         live[starts] = True
         live[n] = True
-        chunk = np.searchsorted(off, start, "right") - 1
-        chars = np.bincount(np.searchsorted(off, starts, "right") - 1, minlength=len(coded))
+        chunk = np.repeat(np.arange(len(coded)), np.diff(off))[start]
         name = np.full(n + 1, -1, np.int64)
         single = after[start] == end
         name[start[single]] = piece[single]
@@ -123,17 +130,19 @@ class Pieces:
             mine = np.flatnonzero(chunk == c)
             self._one_by_one(start[mine], end[mine], piece[mine], int(off[c]), int(off[c + 1]), after, live, name)
         start, end, piece, chunk = start[~long], end[~long], piece[~long], chunk[~long]
-        score = self.score[piece]
+        # The best of a chunk, and the leftmost of equal ones, has the least key.
+        key = self.rank[piece] * (n + 1) + start
         while len(start):
-            alive = live[start] & (live[end] | (end == n))
-            start, end, piece, chunk, score = start[alive], end[alive], piece[alive], chunk[alive], score[alive]
+            alive = np.flatnonzero(live[start] & live[end])
+            start, end, piece, chunk, key = start[alive], end[alive], piece[alive], chunk[alive], key[alive]
             ready = np.flatnonzero((after[start] != end) & (after[np.minimum(after[start], n)] == end))
             if not len(ready):
                 break
-            # The best of each chunk, the leftmost of equal ones.
-            order = ready[np.lexsort((start[ready], -score[ready], chunk[ready]))]
-            c = chunk[order]
-            best = order[np.concatenate(([True], c[1:] != c[:-1]))]
+            c = chunk[ready]
+            first = np.flatnonzero(np.diff(c, prepend=-1))
+            least = np.minimum.reduceat(key[ready], first)
+            best = ready[key[ready] == np.repeat(least, np.diff(np.append(first, len(c))))]
+            best = best[np.diff(chunk[best], prepend=-1) > 0]
             live[after[start[best]]] = False
             after[start[best]] = end[best]
             name[start[best]] = piece[best]
@@ -204,10 +213,14 @@ class Pieces:
         return [b"".join(map(get, c)) for c in cut]
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        get = self.out.__getitem__
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        every = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        raw, off = C.buffers(self.decoded.take(pa.array(every)))
+        cut = off[np.concatenate(([0], np.cumsum(size)))].tolist()
+        data = raw.tobytes()
         out = []
-        for x in ids:
-            text = b"".join(map(get, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            text = data[a:b].decode(errors="replace")
             out.append(text[1:] if text.startswith(" ") else text)
         return out
 

@@ -102,3 +102,14 @@ def test_query_digest(spark):
         r = got[d.doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
+
+
+def test_tied_suffixes_and_equal_scores_are_merged_as_in_the_library():
+    # Chunks whose suffixes agree in 8 or 16 bytes, among them runs longer than any piece.
+    sp = sentencepiece.SentencePieceProcessor(model_file=op5.model_path())
+    p = op5.Pieces(op5.model_path())
+    part = [a + b for a in ("", "inter", "aaaa", "éé", "aaaaaaaaaaaaaaaaaaa") for b in ("nationalisation", "nationalisations", "aaaaaaaaaaaaaaaa", "=" * 40, "ééééééééé", "ation" * 9)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in p.encode(part)] == [sp.encode(t) for t in part]
+    # Bytes of a broken character, and no texts at all.
+    lone = np.array([p.byte_id[0xC3], p.byte_id[0x41]], "<u4").tobytes()
+    assert p.decode([b"", lone, b""]) == ["", "�A", ""] and p.decode([]) == []
