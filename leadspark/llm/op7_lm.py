@@ -25,6 +25,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -337,6 +338,12 @@ class Within:
     def hold(self, at: np.ndarray, below: np.ndarray) -> None:
         self.at, self.below = at, below
 
+    def bare(self) -> Within:
+        """The tree without vectors, to be sent."""
+        out = copy.copy(self)
+        out.hold(None, None)
+        return out
+
     def inputs(self, e: np.ndarray) -> np.ndarray:
         return e[self.of] + self.at
 
@@ -544,7 +551,7 @@ def fit(groups: DataFrame, classes: Classes, within: Within, kind: str) -> np.nd
     rows = WHOLE + within.ids + 1 + within.below.shape[0] * BRANCH
     weights = np.zeros((rows, WIDTH), np.float32)
     weights[:WHOLE] = Model.start(classes.share).flat.reshape(-1, WIDTH)
-    tree = sc.broadcast(within)
+    tree = sc.broadcast(within.bare())
     names = [f"w{i}" for i in range(WIDTH)]
     for r in range(ROUNDS):
         shared = sc.broadcast(weights)
@@ -572,12 +579,17 @@ def fit(groups: DataFrame, classes: Classes, within: Within, kind: str) -> np.nd
         got = means.toArrow()
         weights = weights.copy()
         weights[got.column("i").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names], 1)
+        # A round's weights and shuffled rows are not needed again.
+        shared.destroy()
+        del means
+        C.drop_shuffles(groups.sparkSession)
+    tree.destroy()
     return weights
 
 
 def attention_scores(groups: DataFrame, weights: np.ndarray, classes: Classes, within: Within, kind: str) -> DataFrame:
     """(d, th, score, unigram_score) of every text, repeats included."""
-    shared = groups.sparkSession.sparkContext.broadcast((weights, classes, within))
+    shared = groups.sparkSession.sparkContext.broadcast((weights, classes, within.bare()))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         weights, classes, within = shared.value
