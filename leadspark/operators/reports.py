@@ -139,10 +139,21 @@ def small_samples(performance: DataFrame, least: int = 20) -> DataFrame:
 def leads_full(leads: DataFrame, companies: DataFrame, campaigns: DataFrame, niches: DataFrame, contacts: DataFrame, qualifications: DataFrame, research: DataFrame, outreach: DataFrame) -> DataFrame:
     """Q1: each lead with its campaign and company (both must exist), niche, contact and the latest qualification,
     research and draft. The three histories have lead_id, created_at and seq, which breaks ties; each is one
-    grouped maximum, so a lead's history never meets in a list."""
+    grouped maximum, so a lead's history never meets in a list. Leads travel whole once, by their id: companies and
+    contacts come to them by pairs of ids, so leads without a contact, or of one company, don't fill one task."""
 
     def last(rows: DataFrame, *names: str) -> DataFrame:
-        return rows.groupBy("lead_id").agg(F.max_by(F.struct(*names), F.struct("created_at", "seq")).alias("x")).select("lead_id", "x.*")
+        return rows.groupBy("lead_id").agg(F.max(F.struct("created_at", "seq", *names)).alias("x")).select("lead_id", *(f"x.{k}" for k in names))
+
+    def of_leads(rows: DataFrame, key: str) -> DataFrame:
+        """The rows by lead, with the lead's key as _key."""
+        pairs = leads.where(c(key).isNotNull()).select("lead_id", key).repartition(key).distinct()
+        return pairs.join(rows, key).withColumnsRenamed({"lead_id": "_lead", key: "_key"})
+
+    def with_own(own: DataFrame, rows: DataFrame, key: str, how: str) -> DataFrame:
+        # Two comparisons, not one equality: the join stays dealt by the lead alone, as all others are.
+        same = (c("lead_id") == c("_lead")) & (c(key) <= c("_key")) & (c(key) >= c("_key"))
+        return own.join(of_leads(rows, key), same, how).drop("_lead", "_key")
 
     q = last(qualifications.withColumnRenamed("reason", "qualification_reason"), "qualification_reason", "potential_pain_points")
     r = last(research, "business_summary", "why_relevant")
@@ -159,8 +170,11 @@ def leads_full(leads: DataFrame, companies: DataFrame, campaigns: DataFrame, nic
     own = leads
     for rows in (q, r, o):
         own = own.join(rows, "lead_id", "left")
-    own = own.join(campaigns.select("campaign_id", c("name").alias("campaign_name")), "campaign_id").join(co, "company_id")
-    return own.join(niches.select("niche_id", c("name").alias("niche_name")), "niche_id", "left").join(ct, "contact_id", "left")
+    co = co.join(niches.select("niche_id", c("name").alias("niche_name")), "niche_id", "left")
+    own = with_own(with_own(own.where(c("lead_id").isNotNull()), co, "company_id", "inner"), ct, "contact_id", "left")
+    nameless = leads.where(c("lead_id").isNull()).join(co, "company_id").join(ct, "contact_id", "left")
+    own = own.unionByName(nameless, allowMissingColumns=True)
+    return own.join(campaigns.select("campaign_id", c("name").alias("campaign_name")), "campaign_id")
 
 
 def export(full: DataFrame) -> DataFrame:
