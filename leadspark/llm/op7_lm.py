@@ -38,9 +38,12 @@ from leadspark.llm import common as C
 
 CONTEXT, SCORED = 16, 48
 WIDTH, CLASSES, ALONE = 16, 64, 40
-ROUNDS, BATCH, RATE = 2, 64, 0.01
-#: Branches of a node below the classes; places of one node that are computed at once.
-BRANCH, TOGETHER = 32, 32
+ROUNDS, BATCH, RATE = 2, 256, 0.04
+LENGTH = CONTEXT + SCORED
+#: Branches of a node below the classes.
+BRANCH = 32
+#: Windows whose gradient is made at once.
+BLOCK = 16
 #: Windows that are scored at once, and such steps before the ids within classes are.
 STEP, STEPS = 32, 32
 #: Bytes of text in a group of documents.
@@ -66,6 +69,21 @@ def bounded_exp(x: np.ndarray) -> None:
     np.exp(x, out=x)
 
 
+_ROOM: dict[str, np.ndarray] = {}
+
+
+def room(name: str, *shape: int) -> np.ndarray:
+    """An array of this shape with any content, which is used again under its name."""
+    n = math.prod(shape)
+    if name not in _ROOM or _ROOM[name].size < n:
+        _ROOM[name] = np.empty(n, np.float32)
+    return _ROOM[name][:n].reshape(shape)
+
+
+def flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
 class Model:
     """Weights in one vector, so that they can be averaged."""
 
@@ -118,95 +136,134 @@ class Model:
         The same as `forward`, with each input's and place's part of queries, keys and values in tables.
         With `within`, inputs are ids, and so are `following`, the targets, whose logarithms are given."""
         w = self.w
-        scale = np.float32(WIDTH**-0.5)
         e, p = within.inputs(w["e"]) if within else w["e"], w["p"]
-        q, k, v = (w["q"] * scale, w["k"], w["v"] @ w["o"])
-        eq, pq, ek, pk, ev, pv = e @ q, p[CONTEXT:] @ q, e @ k, p @ k, e @ v, p @ v
+        # Keys, values and 1, so that sums of attention come with the mixed values; queries and what is passed by.
+        keys = np.concatenate((w["k"], w["v"] @ w["o"], np.zeros((WIDTH, 1), np.float32)), 1)
+        asks = np.concatenate((w["q"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, dtype=np.float32)), 1)
+        e_keys, p_keys, e_asks, p_asks = e @ keys, p @ keys, e @ asks, p[CONTEXT:] @ asks
+        e_keys[:, -1] = 1
         out = np.empty(target.shape, np.float32)
-        room = np.empty((STEP * SCORED, CLASSES), np.float32)  # stays in the processor's cache
         kept: list[np.ndarray] = []
         for i in range(0, len(inputs), STEP):
-            c, t = inputs[i : i + STEP], target[i : i + STEP]
-            last = c[:, CONTEXT:]
-            s = (eq[last] + pq) @ (ek[c] + pk).transpose(0, 2, 1)
+            c, t = inputs[i : i + STEP].astype(np.intp), target[i : i + STEP]
+            n = len(c)
+            k = np.take(e_keys, c, axis=0, out=room("keys", n, LENGTH, 2 * WIDTH + 1), mode="clip")
+            k += p_keys
+            void = np.flatnonzero(c.reshape(-1) == len(e) - 1)
+            if len(void):
+                flat(k)[void] = 0
+            q = np.take(e_asks, c[:, CONTEXT:], axis=0, out=room("asks", n, SCORED, 2 * WIDTH), mode="clip")
+            q += p_asks
+            across = room("across", n, WIDTH, LENGTH)
+            across[:] = k[:, :, :WIDTH].transpose(0, 2, 1)
+            s = np.matmul(q[:, :, :WIDTH], across, out=room("s", n, SCORED, LENGTH))
             bounded_exp(s)
             s *= _SEEN
-            void = np.flatnonzero((c == len(e) - 1).any(1))
-            if len(void):
-                s[void] *= seen_places(c[void], len(e) - 1)
-            mixed = s @ (ev[c] + pv)
-            mixed /= np.maximum(s.sum(2, keepdims=True), 1e-30)
-            mixed += e[last] + p[CONTEXT:]
-            logits = np.matmul(mixed.reshape(-1, WIDTH), w["w"], out=room[: mixed.shape[0] * SCORED])
+            mixed = flat(np.matmul(s, k[:, :, WIDTH:], out=room("mixed", n, SCORED, WIDTH + 1)))
+            h = mixed[:, :-1] * (np.float32(1) / np.maximum(mixed[:, -1:], np.float32(1e-30)))
+            h += flat(q)[:, WIDTH:]
+            logits = np.matmul(h, w["w"], out=room("logits", n * SCORED, CLASSES))
             logits += w["b"]
-            top = logits[np.arange(len(logits)), np.minimum(t, CLASSES - 1).reshape(-1)]
+            t = t.reshape(-1)
+            top = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + np.minimum(t, CLASSES - 1)]
             bounded_exp(logits)
             got = np.minimum(top, MOST) - np.log((logits @ _ONES)[:, 0])
-            out[i : i + STEP] = np.where(t == CLASSES, 0, got.reshape(t.shape))
+            out[i : i + n] = np.where(t == CLASSES, 0, got).reshape(n, SCORED)
             if within:
-                kept.append(mixed.reshape(-1, WIDTH))
+                kept.append(h)
                 if len(kept) == STEPS or i + STEP >= len(inputs):
-                    done = slice(i + len(c) - sum(map(len, kept)) // SCORED, i + len(c))
+                    done = slice(i + n - sum(map(len, kept)) // SCORED, i + n)
                     f = following[done].reshape(-1)
-                    real = np.flatnonzero(f < within.ids)
-                    out[done].reshape(-1)[real] += within.log_probs(np.concatenate(kept)[real], f[real])
+                    out[done] += within.log_probs(np.concatenate(kept), f).reshape(-1, SCORED)
                     kept = []
         return out
 
     def gradient(self, classes: np.ndarray, target: np.ndarray, within: Within | None = None, ids: np.ndarray | None = None, following: np.ndarray | None = None):
         """Of the mean negative logarithm of the targets' probabilities. With `within` also by the
-        vectors of input ids and of nodes: (gradient, ids, theirs, nodes, theirs)."""
+        vectors of input ids and of nodes: (gradient, ids, theirs, nodes, theirs).
+        Forward and back go over `BLOCK` windows at once, which stay in the processor's cache. Attention and
+        softmax are kept as exponentials: a column of ones gives their sums, by which narrow factors are divided."""
         w, g = self.w, Model(np.zeros(self.SIZE, np.float32))
-        rows, length, scale = len(classes), CONTEXT + SCORED, np.float32(WIDTH**-0.5)
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        x = w["e"][classes] + w["p"]
+        rows, scale = len(classes), np.float32(WIDTH**-0.5)
+        query, key_value = w["q"] * scale, np.concatenate((w["k"], w["v"]), 1)
+        logits_of, back_of = np.concatenate((w["w"], w["b"][None])), w["w"].T.copy()
+        across = np.zeros((2 * WIDTH + 1, WIDTH), np.float32)
+        across[:-1] = key_value.T
+        x, last = room("x", rows, LENGTH, WIDTH), room("last", rows, SCORED, WIDTH)
+        kv, kv_across, q = room("kv", rows, LENGTH, 2 * WIDTH + 1), room("kv_across", rows, 2 * WIDTH + 1, LENGTH), room("q", rows, SCORED, WIDTH)
+        s, mixed = room("s", rows, SCORED, LENGTH), room("mixed", rows, SCORED, WIDTH + 1)
+        h, dx = room("h", rows * SCORED, WIDTH + 1), room("dx", rows, LENGTH, WIDTH)
+        np.take(w["e"], classes, axis=0, out=x, mode="clip")
         if within:
-            x += within.at[ids]
-        last = np.ascontiguousarray(x[:, CONTEXT:])
-        q = (flat(last) @ (w["q"] * scale)).reshape(rows, SCORED, WIDTH)
-        k = (flat(x) @ w["k"]).reshape(rows, length, WIDTH)
-        v = (flat(x) @ w["v"]).reshape(rows, length, WIDTH)
-        s = q @ k.transpose(0, 2, 1)
-        bounded_exp(s)
-        s *= _SEEN
-        void = np.flatnonzero((classes == CLASSES).any(1))
-        if len(void):
-            s[void] *= seen_places(classes[void])
-        s /= np.maximum(s.sum(2, keepdims=True), 1e-30)
-        mixed = s @ v
-        h = flat(last) + flat(mixed) @ w["o"]
-        p = h @ w["w"]
-        p += w["b"]
-        bounded_exp(p)
-        p /= p @ _ONES
-        t = target.reshape(-1)
-        real = np.flatnonzero(t < CLASSES)
-        p[real, t[real]] -= 1
-        if len(real) < len(t):
-            p[t == CLASSES] = 0
-        g.w["w"][:] = h.T @ p
-        g.w["b"][:] = p.sum(0)
-        dh = p @ w["w"].T
+            x += np.take(within.at, ids, axis=0, out=dx, mode="clip")
+        x += w["p"]
+        last[:] = x[:, CONTEXT:]
+        h[:, -1] = 1
+        blocks = [slice(i, min(i + BLOCK, rows)) for i in range(0, rows, BLOCK)]
+        void = [np.flatnonzero(classes[b].reshape(-1) == CLASSES) for b in blocks]
+        for i, b in enumerate(blocks):
+            np.matmul(flat(x[b]), key_value, out=flat(kv[b])[:, :-1])
+            kv[b, :, -1] = 1
+            np.matmul(across, x[b].transpose(0, 2, 1), out=kv_across[b])
+            kv_across[b, -1] = 1
+            if len(void[i]):
+                flat(kv[b])[void[i]] = 0
+                kv_across[b][void[i] // LENGTH, :, void[i] % LENGTH] = 0
+            np.matmul(flat(last[b]), query, out=flat(q[b]))
+            np.matmul(q[b], kv_across[b, :WIDTH], out=s[b])
+            bounded_exp(s[b])
+            s[b] *= _SEEN
+            np.matmul(s[b], kv[b, :, WIDTH:], out=mixed[b])
+        sums = np.float32(1) / np.maximum(mixed[:, :, -1:], np.float32(1e-30))
+        values = flat(mixed)[:, :-1]
+        values *= flat(sums)
+        np.matmul(values, w["o"], out=h[:, :-1])
+        h[:, :-1] += flat(last)
+        t = target.reshape(-1).astype(np.intp)
+        is_real = t < CLASSES
         if within:
-            below, nodes, dn = within.gradient(h[real], following.reshape(-1)[real])
-            dh[real] += below
-        g.w["o"][:] = flat(mixed).T @ dh
-        dm = (dh @ w["o"].T).reshape(mixed.shape)
-        dv = s.transpose(0, 2, 1) @ dm
-        ds = dm @ v.transpose(0, 2, 1)
-        ds -= (dm * mixed).sum(2, keepdims=True)
-        ds *= s
-        dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
-        dv = flat(dv)
-        g.w["q"][:] = flat(last).T @ dq * scale
-        g.w["k"][:] = flat(x).T @ dk
-        g.w["v"][:] = flat(x).T @ dv
-        dx = dk @ w["k"].T
-        dx += dv @ w["v"].T
-        dx = dx.reshape(x.shape)
-        dx[:, CONTEXT:] += (dh + dq @ (w["q"].T * scale)).reshape(last.shape)
+            below, nodes, dn = within.gradient(h[:, :-1], following.reshape(-1))
+        to_class = np.zeros((WIDTH + 1, CLASSES), np.float32)
+        to_key_value = np.zeros((WIDTH, 2 * WIDTH), np.float32)
+        dh = room("dh", rows * SCORED, WIDTH)
+        for b in blocks:
+            f = slice(b.start * SCORED, b.stop * SCORED)
+            p = np.matmul(h[f], logits_of, out=room("p", f.stop - f.start, CLASSES))
+            bounded_exp(p)
+            total = p @ _ONES[:, 0]
+            p.reshape(-1)[np.arange(0, p.size, CLASSES) + np.minimum(t[f], CLASSES - 1)] -= total
+            share = (is_real[f] / total)[:, None]
+            to_class += (h[f] * share).T @ p
+            np.matmul(p, back_of, out=dh[f])
+            dh[f] *= share
+        if within:
+            dh += below
+        g.w["w"][:], g.w["b"][:] = to_class[:-1], to_class[-1]
+        g.w["o"][:] = values.T @ dh
+        dm = np.empty((rows * SCORED, WIDTH + 1), np.float32)
+        np.matmul(dh, w["o"].T, out=dm[:, :-1])
+        dm[:, -1] = -np.einsum("ij,ij->i", dm[:, :-1], values)
+        dm *= flat(sums)
+        dm = dm.reshape(rows, SCORED, WIDTH + 1)
+        dq = room("dq", rows, SCORED, WIDTH)
+        for i, b in enumerate(blocks):
+            n = b.stop - b.start
+            ds = np.matmul(dm[b], kv_across[b, WIDTH:], out=room("ds", n, SCORED, LENGTH))
+            ds *= s[b]
+            dkv = room("dkv", n, LENGTH, 2 * WIDTH)
+            np.matmul(ds.transpose(0, 2, 1), q[b], out=dkv[:, :, :WIDTH])
+            np.matmul(s[b].transpose(0, 2, 1), dm[b, :, :-1], out=dkv[:, :, WIDTH:])
+            if len(void[i]):
+                flat(dkv)[void[i]] = 0
+            np.matmul(ds, kv[b, :, :WIDTH], out=dq[b])
+            to_key_value += flat(x[b]).T @ flat(dkv)
+            np.matmul(flat(dkv), key_value.T, out=flat(dx[b]))
+        g.w["k"][:], g.w["v"][:] = to_key_value[:, :WIDTH], to_key_value[:, WIDTH:]
+        g.w["q"][:] = flat(last).T @ flat(dq) * scale
+        dh += flat(dq) @ query.T
+        dx[:, CONTEXT:] += dh.reshape(last.shape)
         g.w["p"][:] = dx.sum(0)
-        mean = np.float32(1 / max(1, len(real)))
+        mean = np.float32(1 / max(1, is_real.sum()))
         if within:
             kinds, di = summed(ids.reshape(-1), flat(dx))
             di[kinds == within.ids] = 0
@@ -261,24 +318,22 @@ def mixed_parts(n: int) -> Iterator[np.ndarray]:
 
 
 def summed(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order, and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-    return key[first], np.add.reduceat(x[order], first, axis=0) if len(first) else x
+    """Different keys (small numbers) in order, and the sums of their rows."""
+    at = np.zeros(int(key.max(initial=0)) + 1, np.intp)
+    at[key] = 1
+    some = np.flatnonzero(at)
+    at[some] = np.arange(len(some))
+    at = at[key]
+    out = np.empty((len(some), x.shape[1]), np.float32)
+    for i, column in enumerate(np.ascontiguousarray(x.T)):
+        out[:, i] = np.bincount(at, weights=column, minlength=len(some))
+    return some, out
 
 
 _CAUSAL = np.where(np.arange(CONTEXT + SCORED)[None, :] > np.arange(CONTEXT, CONTEXT + SCORED)[:, None], np.float32(-1e9), np.float32(0))
 _SEEN = (_CAUSAL == 0).astype(np.float32)
 
 
-def seen_places(inputs: np.ndarray, nothing: int = CLASSES) -> np.ndarray:
-    """0 at the places of windows where there is nothing, to be multiplied with attention."""
-    seen = (inputs != nothing).astype(np.float32)
-    seen[:, CONTEXT] += 1e-20 * (seen[:, CONTEXT] == 0)  # never all masked
-    return seen[:, None, :]
-
-
 class Classes:
     """Of ids, from their counts: (class, log probability within the class)."""
 
@@ -306,7 +361,8 @@ class Within:
         self.of = np.append(of, CLASSES).astype(np.uint8)
         kind = np.uint16 if self.ids < 1 << 16 else np.int32
         self.id_kind = kind
-        self.leaf, self.slot = np.full(self.ids, -1, np.int32), np.zeros(self.ids, np.int8)
+        # An id's node and branch; nothing has none.
+        self.leaf, self.slot = np.full(self.ids + 1, -1, np.int32), np.zeros(self.ids + 1, np.int8)
         up, up_slot, offset = [], [], []
         order = np.argsort(-counts, kind="stable")
         smooth = counts + 0.5
@@ -348,41 +404,42 @@ class Within:
         return e[self.of] + self.at
 
     def _steps(self, h: np.ndarray, ids: np.ndarray):
-        """The branches taken to the ids, by node: (row, where among the logits, branch), logits
-        of `TOGETHER` places of a node at once, the places, their nodes, nodes and their first group."""
+        """The branches taken to the ids, by node: rows of h of each level, the order by node, branches,
+        the rows' outputs, logits, and of each node (its first row, the end, the node)."""
         row, node, slot, found = np.arange(len(ids)), self.leaf[ids], self.slot[ids], []
-        while len(row := row[some := np.flatnonzero(node >= 0)]):
-            node, slot = node[some], slot[some]
+        while len(some := np.flatnonzero(node >= 0)):
+            row, node, slot = row[some], node[some], slot[some]
             found.append((row, node, slot))
             node, slot = self.up[node], self.up_slot[node]
         if not found:
             return None
         row, node, slot = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(node.astype(np.uint16) if len(self.up) < 1 << 16 else node, kind="stable")
-        row, node, slot = row[order], node[order], slot[order]
+        node, slot = node[order], slot[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        size = np.diff(np.append(first, len(node)))
-        groups = -(-size // TOGETHER)
-        begin = np.cumsum(groups) - groups
-        where = np.arange(len(node)) + np.repeat(begin * TOGETHER - first, size)
-        own = np.repeat(node[first], groups)
-        places = np.zeros((len(own) * TOGETHER, WIDTH), np.float32)
-        places[where] = h[row]
-        places = places.reshape(-1, TOGETHER, WIDTH)
-        z = places @ self.below[own].transpose(0, 2, 1)
-        z += self.offset[own][:, None, :]
-        return row, where, slot, z, places, own, node[first], begin
+        nodes = list(zip(first.tolist(), [*first[1:].tolist(), len(node)], node[first].tolist(), strict=True))
+        outputs = np.take(h, row[order], axis=0)
+        z = np.empty((len(node), BRANCH), np.float32)
+        for a, b, k in nodes:
+            np.matmul(outputs[a:b], self.below[k].T, out=z[a:b])
+        z += np.take(self.offset, node, axis=0)
+        return [r for r, *_ in found], order, slot, outputs, z, nodes
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logarithms of the ids' probabilities in their classes, for outputs h."""
         steps = self._steps(h, ids)
         if not steps:
             return np.zeros(len(ids))
-        row, where, slot, z, *_ = steps
-        z = z.reshape(-1, BRANCH)
-        top = z[where, slot]
+        levels, order, slot, _, z, _ = steps
+        top = z.reshape(-1)[np.arange(0, z.size, BRANCH) + slot]
         bounded_exp(z)
-        return np.bincount(row, weights=np.minimum(top, MOST) - np.log(z.sum(1)[where]), minlength=len(ids))
+        got = np.empty(len(z), np.float32)
+        got[order] = np.minimum(top, MOST) - np.log(z @ _ONES[:BRANCH, 0])
+        out, at = np.zeros(len(ids)), 0
+        for row in levels:  # a level has a row once
+            out[row] += got[at : at + len(row)]
+            at += len(row)
+        return out
 
     def gradient(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the sum of the negative logarithms: by h, the nodes, by their children's vectors."""
@@ -390,16 +447,21 @@ class Within:
         steps = self._steps(h, ids)
         if not steps:
             return out, np.zeros(0, np.int32), np.zeros((0, BRANCH, WIDTH), np.float32)
-        row, where, slot, z, places, own, nodes, begin = steps
+        levels, order, slot, outputs, z, nodes = steps
         bounded_exp(z)
-        z /= z.sum(2, keepdims=True)
-        z.reshape(-1, BRANCH)[where, slot] -= 1
-        cut = np.append(begin, len(own)) * TOGETHER
-        z2, places = z.reshape(-1, BRANCH), places.reshape(-1, WIDTH)
-        by_child = np.stack([z2[a:b].T @ places[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
-        some, back = summed(row, (z @ self.below[own]).reshape(-1, WIDTH)[where])
-        out[some] = back
-        return out, nodes, by_child
+        z /= (z @ _ONES[:BRANCH, 0])[:, None]
+        z.reshape(-1)[np.arange(0, z.size, BRANCH) + slot] -= 1
+        by_child = np.empty((len(nodes), BRANCH, WIDTH), np.float32)
+        back = np.empty_like(outputs)
+        for (a, b, k), child in zip(nodes, by_child, strict=True):
+            np.matmul(z[a:b].T, outputs[a:b], out=child)
+            np.matmul(z[a:b], self.below[k], out=back[a:b])
+        by_level, at = np.empty_like(back), 0
+        by_level[order] = back
+        for row in levels:  # a level has a row once
+            out[row] += by_level[at : at + len(row)]
+            at += len(row)
+        return out, np.array([k for *_, k in nodes], np.int32), by_child
 
 
 def windows_of(ids: np.ndarray, off: np.ndarray, of: np.ndarray, share: int = 0, shares: int = 1, nothing: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,6 +523,106 @@ def _subwords(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(coded), np.concatenate(([0], np.cumsum([len(x) for x in coded])))
 
 
+#: First bytes of white space beyond ASCII, and what is such white space.
+_WIDE_LEADS = np.isin(np.arange(256), (0xC2, 0xE1, 0xE2, 0xE3))
+_WIDE = np.array([chr(c).encode().ljust(3, b"\0") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)], "S3")
+
+
+def with_wide_space(low: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows that hold white space beyond ASCII."""
+    at = np.flatnonzero(_WIDE_LEADS[low])
+    after = np.concatenate((low, np.zeros(2, np.uint8)))
+    three = np.stack((low[at], after[at + 1], np.where(low[at] == 0xC2, 0, after[at + 2])), 1)
+    at = at[np.isin(np.ascontiguousarray(three).view("S3")[:, 0], _WIDE)]
+    return np.unique(np.searchsorted(off, at, "right") - 1)
+
+
+def spans(a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places a, a + 1, ... of every span, one after another."""
+    return np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def opens_with_space(tokenizer: str) -> np.ndarray:
+    name = f"{tokenizer}: opens with a space"
+    if name not in _LOADED:
+        e = encoder(tokenizer)
+        _LOADED[name] = np.array([e.decode_single_token_bytes(i)[:1] == b" " for i in range(e.max_token_value + 1)])
+    return _LOADED[name]
+
+
+def coded_texts(low: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, woff: np.ndarray, kind: np.ndarray, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with its end id, and their offsets, as `_subwords` gives them. The pattern
+    never joins a word to white space behind it, so a word of a kind is coded once with one space ahead;
+    words with other white space ahead, and what ends a text, are coded with it, each kind once; texts with
+    white space beyond ASCII as a whole."""
+    e, rows, n = encoder(tokenizer), len(off) - 1, len(start)
+    row = np.repeat(np.arange(rows), np.diff(woff))
+    ahead = np.concatenate(([0], end[:-1])) if n else end
+    first = woff[:-1][np.diff(woff) > 0]
+    ahead[first] = off[:-1][np.diff(woff) > 0]
+    tail = off[:-1].copy()
+    tail[np.diff(woff) > 0] = end[woff[1:][np.diff(woff) > 0] - 1]
+    wide = np.zeros(rows, bool)
+    wide[with_wide_space(low, off)] = True
+    plain = (start - ahead == 1) & ~wide[row]
+    plain[plain] = low[ahead[plain]] == 32
+
+    # Entries: words with one space ahead, then everything else that occurs, nothing, and the end.
+    some = np.flatnonzero(plain)
+    one = np.full(int(kind.max(initial=-1)) + 1, -1)
+    one[kind[some]] = some
+    had = np.flatnonzero(one >= 0)
+    one = one[had]
+    entry_of = np.zeros(int(kind.max(initial=-1)) + 1, np.intp)
+    entry_of[had] = np.arange(len(had))
+    joined = low[spans(ahead[one], end[one] - ahead[one])].tobytes().decode()
+    ids = np.array(e.encode_ordinary(joined), np.uint32)
+    begin = np.flatnonzero(opens_with_space(tokenizer)[ids]) if len(ids) else np.zeros(0, np.intp)
+    if len(begin) != len(had):
+        raise ValueError("a word with a space ahead has no ids of its own")
+
+    raw, others, more = low.tobytes(), {b"": len(had)}, [np.zeros(0, np.uint32)]
+
+    def entry(a: int, b: int) -> int:
+        text = raw[a:b]
+        if text not in others:
+            others[text] = len(had) + len(more)
+            more.append(np.array(e.encode_ordinary(text.decode()), np.uint32))
+        return others[text]
+
+    of_word = np.full(n, len(had))
+    of_word[some] = entry_of[kind[some]]
+    rest = np.flatnonzero(~plain & ~wide[row])
+    of_word[rest] = [entry(a, b) for a, b in zip(ahead[rest].tolist(), end[rest].tolist(), strict=True)]
+    tail[wide] = off[:-1][wide]
+    of_tail = np.full(rows, len(had))
+    rest = np.flatnonzero(tail < off[1:])
+    of_tail[rest] = [entry(a, b) for a, b in zip(tail[rest].tolist(), off[1:][rest].tolist(), strict=True)]
+    more.append(np.array([e.max_token_value + 1], np.uint32))
+
+    size = np.concatenate((np.diff(np.append(begin, len(ids))), [len(x) for x in more]))
+    table = np.concatenate((ids, *more))
+    # Per text: its words, its tail, its end.
+    items = np.empty(n + 2 * rows, np.intp)
+    items[np.arange(n) + 2 * row] = of_word
+    items[woff[1:] + 2 * np.arange(rows)] = of_tail
+    items[woff[1:] + 2 * np.arange(rows) + 1] = len(size) - 1
+    length = size[items]
+    return table[spans((np.cumsum(size) - size)[items], length)], np.concatenate(([0], np.cumsum(length)[woff[1:] + 2 * np.arange(rows) + 1]))
+
+
+def place_of(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places of hashes among sorted different hashes that hold them all."""
+    bits = len(among).bit_length() + 1
+    begin = np.searchsorted(among, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    at = begin[(x >> np.uint64(64 - bits)).astype(np.intp)]
+    left = np.flatnonzero(among[at] != x)
+    while len(left):
+        at[left] += 1
+        left = left[among[at[left]] != x[left]]
+    return at
+
+
 def gather(groups: DataFrame, tokenizer: str) -> DataFrame:
     """By group (pid), kind 0: word (h) and its training count (n; 0 for words of held-out
     texts only); 1: subword id and its training count; 2: the ids of the group's texts, each
@@ -468,7 +630,7 @@ def gather(groups: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         pid: int | None = None
-        held: list[tuple] = []  # of each text batch: word hashes, in training, ids, sizes, d, th, held out
+        held: list[tuple] = []  # of each text batch: words' hashes and training counts, ids, sizes, d, th, held out
 
         def rows(kind: int, h, n, **more) -> pa.RecordBatch:
             k = len(h)
@@ -478,7 +640,7 @@ def gather(groups: DataFrame, tokenizer: str) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             words, in_train, ids, sizes, d, th, out = (np.concatenate(x) for x in zip(*held, strict=True))
-            kinds, at = np.unique(words, return_inverse=True)
+            kinds, at = np.unique(words, return_inverse=True) if len(held) > 1 else (words, np.arange(len(words)))
             count = np.bincount(at, weights=in_train, minlength=len(kinds)).astype(np.int64)
             for i in range(0, len(kinds), 50_000):
                 yield rows(0, kinds[i : i + 50_000].view(np.int64), count[i : i + 50_000])
@@ -488,7 +650,7 @@ def gather(groups: DataFrame, tokenizer: str) -> DataFrame:
             yield rows(1, some, count[some])
             yield rows(2, [0], [0], ids=ids.astype(narrow(tokenizer)).tobytes(), sizes=sizes.astype("<i8").tobytes(), d=d.tobytes(), th=th.tobytes(), held=out.tobytes())
 
-        for b in C.all_pieces(batches, 1 << 21):
+        for b in C.all_pieces(batches, 1 << 22):
             every = b.column("pid").to_numpy()
             for g in np.unique(every).tolist():
                 part = b.filter(pa.array(every == g))
@@ -497,10 +659,12 @@ def gather(groups: DataFrame, tokenizer: str) -> DataFrame:
                     held = []
                 pid = g
                 out = part.column("held_out").to_numpy(zero_copy_only=False)
-                texts, low, off = _texts(part.column("text"))
+                _, low, off = _texts(part.column("text"))
                 start, end, woff = C.word_bounds(low, off)
-                ids, ioff = _subwords(texts, tokenizer)
-                held.append((C.word_hashes(low, start, end), np.repeat(~out, np.diff(woff)), ids.astype(np.uint32), np.diff(ioff), part.column("d").to_numpy(), part.column("th").to_numpy(), out))
+                kinds, at = np.unique(C.word_hashes(low, start, end), return_inverse=True)
+                count = np.bincount(at, weights=np.repeat(~out, np.diff(woff)), minlength=len(kinds))
+                ids, ioff = coded_texts(low, off, start, end, woff, at, tokenizer)
+                held.append((kinds, count, ids, np.diff(ioff), part.column("d").to_numpy(), part.column("th").to_numpy(), out))
         if pid is not None:
             yield from close()
 
@@ -652,7 +816,7 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in C.all_pieces(left.combine_chunks().to_batches(), 1 << 21):
             _, low, off = _texts(b.column("text"))
             start, end, woff = C.word_bounds(low, off)
-            at = np.searchsorted(h, C.word_hashes(low, start, end))
+            at = place_of(C.word_hashes(low, start, end), h)
             row = np.repeat(np.arange(b.num_rows), np.diff(woff))
             logs = np.bincount(row, weights=logs10[at], minlength=b.num_rows) + math.log10(ends + 1)
             seen = np.bincount(row, weights=c[at] > 0, minlength=b.num_rows).astype(np.int64) + (ends > 0)

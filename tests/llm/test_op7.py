@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from leadspark.llm import common as C
 from leadspark.llm import op7_lm as op7
 
 
@@ -158,3 +160,56 @@ def test_ids_of_one_class_are_told_apart_by_their_context():
     lp = model.log_probs(before, within.of[following], within, following)[:, 1::2]
     alone = (classes.within + np.log(classes.share)[classes.of])[400:800].mean()
     assert lp[following[:, 1::2] < 900].mean() > 0.8 * alone
+
+
+def coded_both_ways(texts):
+    whole = op7._subwords(op7._texts(texts)[0], op7.tokenizer_path())
+    _, low, off = op7._texts(texts)
+    start, end, woff = C.word_bounds(low, off)
+    kinds, at = np.unique(C.word_hashes(low, start, end), return_inverse=True)
+    assert (op7.place_of(kinds[at], kinds) == at).all()
+    return whole, op7.coded_texts(low, off, start, end, woff, at, op7.tokenizer_path())
+
+
+def test_words_coded_once_give_the_ids_of_whole_texts():
+    parts = [*"aab'Sté1,.!", "don't", "́", "\U0001f600", *" " * 8, "\n", "\t", "\r\n", "  ", "\xa0", "　", "\x85", "\x1c", "​", " ", " "]
+    for seed in range(100):
+        r = np.random.default_rng(seed)
+        texts = ["".join(r.choice(parts, r.integers(0, 40))) for _ in range(r.integers(1, 12))]
+        whole, coded = coded_both_ways(pa.array([*texts, "", " ", "\n a", "a\n"]))
+        assert all((a == b).all() for a, b in zip(whole, coded, strict=True))
+
+
+def test_a_word_is_coded_once_however_often_it_occurs(monkeypatch):
+    given, e = [], op7.encoder(op7.tokenizer_path())
+
+    class Counting:
+        max_token_value, decode_single_token_bytes = e.max_token_value, e.decode_single_token_bytes
+
+        def encode_ordinary(self, text):
+            given.append(len(text))
+            return e.encode_ordinary(text)
+
+    text = "start " + "some words that come again and again\n" * 1000
+    low = pa.array([text] * 3)
+    whole, _ = coded_both_ways(low)
+    monkeypatch.setitem(op7._LOADED, op7.tokenizer_path(), Counting())
+    _, words, off = op7._texts(low)
+    start, end, woff = C.word_bounds(words, off)
+    at = np.unique(C.word_hashes(words, start, end), return_inverse=True)[1]
+    assert (op7.coded_texts(words, off, start, end, woff, at, op7.tokenizer_path())[0] == whole[0]).all()
+    assert sum(given) < 100
+
+
+def test_a_batch_of_several_blocks_is_the_sum_of_its_windows():
+    # Windows with nothing ahead, with few targets, and more windows than are taken at once.
+    r = np.random.default_rng(6)
+    counts, within, model = ids_model(r)
+    within.hold(r.normal(0, 0.3, within.at.shape).astype(np.float32), r.normal(0, 0.3, within.below.shape).astype(np.float32))
+    within.at[-1] = 0
+    ids, off = r.integers(0, len(counts), 48 * 39 + 5), np.array([0, 7, 300, 48 * 39 + 5])
+    before, following, _ = op7.id_windows(ids, off, within)
+    assert len(before) > 2 * op7.BLOCK
+    whole = model.gradient(within.of[before], within.of[following], within, before, following)[0] * len(ids)
+    single = [model.gradient(within.of[before[[i]]], within.of[following[[i]]], within, before[[i]], following[[i]])[0] * (following[i] < within.ids).sum() for i in range(len(before))]
+    assert np.allclose(whole, np.sum(single, 0), rtol=1e-3, atol=2e-3)
