@@ -8,10 +8,12 @@ they miss each other with a chance of 2 * (1 - 0.8**TOGETHER)**SIDE, 7e-5 here.
 
 Texts with one set of shingles are one entry. Every table key has a hub, its least entry;
 each other entry of the key is compared with it on the full sets, a hub with many partners
-in many tasks. Verified links give components. Keys whose other entries do not lie in one
-component by then are compared entry against entry: their entries form groups, a group
-is cut into blocks of about `BLOCK`, and a pair of blocks is a task's unit, so no pair is
-ever a row; entries that are in one component already are not compared again.
+in many tasks. Verified links give components. Entries of keys that do not lie in one
+component by then are open. What two open sets of different components share at the
+similarity is known to hold a shingle that is among the rare ones of both, at a place that
+leaves room for the rest (`rare_meetings`, exact). Entries that so meet form groups; a group is
+cut into blocks by bytes and entries, and a pair of blocks is a task's unit, so no pair is
+ever a row. A group's largest component is not compared with itself.
 
 Defined results: A-Z count as a-z; a text of fewer than four words has all its words as its
 one shingle; a text without words (null, empty) has no shingles, is linked with nothing and
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadspark.components import connected_components
@@ -38,9 +40,12 @@ GRAM = 4
 #: Least similarity in hundredths.
 LEAST = 80
 SIDE, TOGETHER = 10, 2
+#: Partners of a hub in one unit; a block has 8 times as many entries, and SHINGLES shingles.
 BLOCK = 128
-#: Shingles that are compared at once inside a pair of blocks.
-COLUMNS = 1 << 14
+SHINGLES = 1 << 18
+#: Shingles that are compared at once inside a pair of blocks, if more than FEW entries hold them.
+COLUMNS = 1 << 12
+FEW = 16
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
@@ -111,7 +116,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of different sets, in bounded strips of shingles."""
+    """Sizes of the intersections of all pairs of different sets: shingles of few sets by their
+    pairs, the others in bounded strips."""
     k = len(sets)
     grams = np.concatenate(sets)
     row = np.repeat(np.arange(k), [len(s) for s in sets])
@@ -119,14 +125,25 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     grams, row = grams[order], row[order]
     new = np.concatenate(([True], grams[1:] != grams[:-1]))
     column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
+    held = np.bincount(column)
+    out = np.zeros(k * k, np.int64)
+    few = (held[column] > 1) & (held[column] <= FEW)
+    r, c = row[few], column[few]
+    out += np.bincount(r * (k + 1), minlength=k * k)
+    for far in range(1, FEW):
+        same = np.flatnonzero(c[far:] == c[:-far])
+        if not len(same):
+            break
+        i, j = r[same], r[same + far]
+        out += np.bincount(np.concatenate((i * k + j, j * k + i)), minlength=k * k)
+    out = out.reshape(k, k)
+    many = held > FEW
+    keep = many[column]
     row = row[keep]
-    column = (np.cumsum(shared) - 1)[column[keep]]
-    out = np.zeros((k, k), np.int64)
-    for low in range(0, int(shared.sum()), COLUMNS):
+    column = (np.cumsum(many) - 1)[column[keep]]
+    for low in range(0, int(many.sum()), COLUMNS):
         a, b = np.searchsorted(column, (low, low + COLUMNS))
-        strip = np.zeros((k, COLUMNS), np.float32)
+        strip = np.zeros((k, min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
         strip[row[a:b], column[a:b] - low] = 1
         out += np.rint(strip @ strip.T).astype(np.int64)
     return out
@@ -165,25 +182,26 @@ def star_links(unit: Unit) -> list[tuple[int, int]]:
 
 
 def block_links(unit: Unit) -> list[tuple[int, int]]:
-    """A spanning forest of the links between entries of two blocks (mark: block and component)."""
+    """A spanning forest of the links between entries of two blocks that lie in different components (mark)."""
     k = len(unit)
+    _, part = np.unique(np.array([r[3] for r in unit], np.int64), return_inverse=True)
+    if part.max() == 0:
+        return []
     both = common_counts([r[5] for r in unit])
     size = np.array([len(r[5]) for r in unit])
-    near = 100 * both >= LEAST * (size[:, None] + size[None, :] - both)
-    root = list(range(k))
-
-    def top(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
+    near = (100 + LEAST) * both >= LEAST * (size[:, None] + size[None, :])
+    near &= part[:, None] != part[None, :]
+    free = np.ones(k, bool)
     out = []
-    for i, j in np.argwhere(np.triu(near, 1)).tolist():
-        p, q = top(i), top(j)
-        if p != q:
-            root[q] = p
-            out.append((unit[j][4], unit[i][4]))
+    for start in np.flatnonzero(near.any(1)).tolist():
+        todo = [start] if free[start] else []
+        free[start] = False
+        while todo:
+            v = todo.pop()
+            found = np.flatnonzero(near[v] & free).tolist()
+            free[found] = False
+            todo += found
+            out += [(unit[w][4], unit[v][4]) for w in found]
     return out
 
 
@@ -196,12 +214,56 @@ def star(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return by_units(rows.repartition("g", "x").sortWithinPartitions("g", "x", "mark"), star_links)
 
 
+def spread(sets: DataFrame) -> DataFrame:
+    """sets: (name, t, grams). (name, t, n, gram) of every shingle; n is the size of its set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.all_pieces(batches, 1 << 20, "grams"):
+            raw, off = C.buffers(b.column("grams"))
+            n = np.diff(off) // 8
+            at = pa.array(np.repeat(np.arange(b.num_rows), n))
+            yield pa.RecordBatch.from_arrays([b.column("name").take(at), b.column("t").take(at), pa.array(n).take(at), pa.array(raw.view(np.int64))], names=["name", "t", "n", "gram"])
+
+    return sets.select("name", "t", "grams").mapInArrow(run, "name long, t long, n long, gram long")
+
+
+def rare_meetings(opened: DataFrame, held: DataFrame) -> DataFrame:
+    """opened: (name, t): entries and their components. (a, b): edges that join all entries of
+    different components that reach the similarity, and as few others as shingles tell.
+
+    Only shingles that lie in two components count; each entry has them in one order, from the
+    rarest. The rarest that two entries share has `place` of an entry's shingles from there on,
+    so they share no more than that. At the similarity they share LEAST percent of either, and
+    LEAST / (100 + LEAST) of both sizes: this bounds the place and the other's size.
+    """
+    each = spread(opened.join(held, "name"))
+    common = each.groupBy("gram").agg(F.count("*").alias("df"), F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("gram", "df")
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("df"), F.desc("gram")))
+    first = each.join(common, "gram").select("gram", "name", "t", "n", place.alias("place"))
+    first = C.settle(first.where(F.col("place") * 100 >= F.col("n") * LEAST))
+    sizes = first.groupBy("gram").agg(F.min("n").alias("smallest"))
+    fits = F.col("place") * (100 + LEAST) >= (F.col("n") + F.col("smallest")) * LEAST
+    fitting = C.settle(first.join(sizes, "gram").where(fits).select("gram", "name", "t"))
+    least = fitting.groupBy("gram").agg(F.min("name").alias("b"), F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("gram", "b")
+    return fitting.join(least, "gram").select(F.col("name").alias("a"), "b").distinct()
+
+
+def blocks(entries: Column, shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(entries / (8 * BLOCK)), F.ceil(shingles / SHINGLES)).cast("int")
+
+
 def between(groups: DataFrame, held: DataFrame) -> DataFrame:
-    """groups: (g, name, t): links between the entries of a group, by pairs of blocks."""
-    size = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = groups.join(size, "g").select("g", "name", "blocks", F.pmod(F.xxhash64("name"), "blocks").cast("int").alias("mine"))
-    dealt = mine.select("g", "name", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("g", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("mine").alias("mark"), "name").join(held, "name")
+    """groups: (g, name, t): links between the entries of a group, by pairs of blocks. The blocks of
+    the group's largest component t come first, and do not meet each other."""
+    parts = groups.join(held.select("name", (F.octet_length("grams") / 8).alias("n")), "name").groupBy("g", "t").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    whole = parts.groupBy("g").agg(F.max(F.struct("n", "c", "t")).alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    size = whole.select("g", F.col("main.t").alias("main"), blocks(F.col("main.c"), F.col("main.n")).alias("own"), blocks(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("rest"))
+    inner = F.col("t") == F.col("main")
+    hashed = F.xxhash64("name")
+    mine = F.when(inner, F.pmod(hashed, "own")).otherwise(F.col("own") + F.pmod(hashed, "rest")).cast("int")
+    other = F.sequence(F.when(inner, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("rest") - 1)
+    dealt = groups.join(size, "g").select("g", "name", "t", mine.alias("mine"), F.explode(other).alias("other"))
+    dealt = dealt.select("g", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), F.col("t").alias("mark"), "name").join(held, "name")
     return by_units(dealt.select("g", "x", "y", "mark", "name", "grams").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "name"), block_links)
 
 
@@ -223,11 +285,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     parts = connected_components(found).select(F.col("node").alias("name"), F.col("label").alias("t"))
     # Entries of a key besides its hub that are not in one component have still to be compared.
     at = met.join(parts, "name", "left").select("key", "name", F.coalesce("t", "name").alias("t"))
-    open_keys = at.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.min("name").alias("least")).where("low <> high").select("key", "least")
-    left = C.settle(at.join(open_keys, "key").select("name", "t", "least").distinct())
+    open_keys = at.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key")
+    left = C.settle(at.join(open_keys, "key").select("name", "t").distinct())
     if left.limit(1).count():
-        groups = connected_components(left.where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")))
-        more = C.settle(between(groups.select(F.col("label").alias("g"), F.col("node").alias("name")), held))
+        groups = connected_components(rare_meetings(left, held)).select(F.col("label").alias("g"), F.col("node").alias("name"))
+        more = C.settle(between(groups.join(left, "name").select("g", "name", "t"), held))
         known = parts.select(F.col("name").alias("a"), F.col("t").alias("b")).where("a <> b")
         parts = connected_components(known.unionByName(more)).select(F.col("node").alias("name"), F.col("label").alias("t"))
     first = sets.select("name", F.col("r.d").alias("least")).join(parts, "name", "left")

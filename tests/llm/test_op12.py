@@ -93,3 +93,38 @@ def test_empty_and_odd_ids(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
     with pytest.raises(TypeError):
         op12.near_copies(op12.C.keyed(spark.createDataFrame([("a", "b")], "doc_id string, text string")))
+
+
+def test_texts_of_one_common_line_are_not_compared_all_with_all(spark, tmp_path, monkeypatch):
+    """Texts that meet in tables by a line alone, and a family about the threshold: blocks get few rows, and no link is lost."""
+    monkeypatch.setattr(op12, "BLOCK", 2)
+    r = random.Random(5)
+    line = [f"line{i}" for i in range(14)]
+    rows = [(d, " ".join(line + [f"w{d}x{i}" for i in range(14)])) for d in range(400)]
+    base = [f"b{i}" for i in range(150)]
+    for d in range(400, 520):
+        b = list(base)
+        for _ in range(r.randint(0, 12)):
+            b[r.randrange(150)] = f"y{r.random()}"
+        rows.append((d, " ".join(b)))
+    dealt = []
+    by_units = op12.by_units
+
+    def counted(units, links):
+        if links is op12.block_links:
+            dealt.append(units.count())
+        return by_units(units, links)
+
+    monkeypatch.setattr(op12, "by_units", counted)
+    assert run(spark, tmp_path, rows) == brute(rows)
+    assert sum(dealt) < 20 * len(rows)
+
+
+def test_counts_of_rare_and_common_shingles(monkeypatch):
+    monkeypatch.setattr(op12, "COLUMNS", 8)
+    r = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate((r.integers(0, 30, 20), r.integers(100, 400, 20), 1000 * k + np.arange(1000, 1003)))).astype(np.uint64) for k in range(40)]
+    both = op12.common_counts(sets)
+    for i in range(40):
+        for j in range(i):
+            assert both[i, j] == both[j, i] == len(np.intersect1d(sets[i], sets[j]))
